@@ -52,10 +52,9 @@ def coded_windows(spark, sf_dir):
     coded = encode_column(ended.events, "activity", vocab, "activity_id")
     rows = prefix_rows(ended.with_events(coded), ["activity", "activity_id"], window)
     rows = rows.where(F.col("prefix_len") > 5)
-    eos = vocab.where(F.col("label") == "EOS").select(F.col("id").alias("eos_id"))
     rows = rows.withColumn("ids", pad_left(F.col("activity_id"), window, F.lit(0)))
     rows = rows.withColumn("labels", pad_left(F.col("activity"), window, F.lit(None).cast("string")))
-    return rows.join(F.broadcast(eos)), window
+    return rows, window
 
 
 @query(
@@ -210,7 +209,7 @@ def window_masks(spark, sf_dir):
         "case_id",
         "prefix_len",
         joined("labels").alias("labels"),
-        F.array_join(eos_mask(F.col("ids"), F.col("eos_id")), "").alias("eos_mask"),
+        F.array_join(eos_mask(F.col("labels"), "EOS"), "").alias("eos_mask"),
         F.array_join(zero, "").alias("zero_mask"),
         i64(total(zero)).alias("active"),
     )
@@ -254,7 +253,7 @@ def turn_prefix_suffix_cuts(spark, sf_dir):
 )
 def window_parts(spark, sf_dir):
     rows, window = coded_windows(spark, sf_dir)
-    mask = both_masks(eos_mask(F.col("ids"), F.col("eos_id")), zero_mask(F.col("ids")))
+    mask = both_masks(eos_mask(F.col("labels"), "EOS"), zero_mask(F.col("ids")))
     return rows.select(
         "case_id",
         "prefix_len",

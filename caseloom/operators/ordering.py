@@ -144,8 +144,9 @@ def running(
     *,
     through: bool = False,
     keys: Sequence[str] = (),
+    reverse: bool = False,
 ) -> EventLog:
-    """Running aggregates of the earlier events of a case.
+    """Running aggregates of the earlier (``reverse``: later) events of a case.
 
     ``specs`` maps an output name to (``sum|count|max|min|last``, column).
     ``through`` includes the event itself; ``keys`` narrows the group.
@@ -153,22 +154,27 @@ def running(
     """
     group = [CASE, *keys]
     end = 0 if through else -1
-    order = log.sort if not keys else ("pos",)
-    window = Window.partitionBy(*group, *(["block"] if log.spans else [])).orderBy(*order)
+    order = ("pos",) if keys or reverse else log.sort
+
+    def in_order(names: Sequence[str]) -> list[Column]:
+        return [F.col(c).desc() if reverse else F.col(c) for c in names]
+
+    window = Window.partitionBy(*group, *(["block"] if log.spans else [])).orderBy(*in_order(order))
     frame = window.rowsBetween(Window.unboundedPreceding, end)
     local = log.events.withColumns(
         {name: _fold(kind, F.col(col)).over(frame) for name, (kind, col) in specs.items()}
     )
     if not log.spans:
         return log.with_events(local)
+    nearest = F.min_by if reverse else F.max_by
     totals = log.events.groupBy(*group, "block").agg(
         *[
-            (F.max_by(col, F.when(F.col(col).isNotNull(), F.col("pos"))) if kind == "last" else _fold(kind, F.col(col)))
+            (nearest(col, F.when(F.col(col).isNotNull(), F.col("pos"))) if kind == "last" else _fold(kind, F.col(col)))
             .alias(f"carry_{name}")
             for name, (kind, col) in specs.items()
         ]
     )
-    earlier = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy(*in_order(["block"])).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumns(
         {
             f"carry_{name}": (
