@@ -205,11 +205,11 @@ def padded_cases(spark, sf_dir):
 def window_masks(spark, sf_dir):
     rows, _ = coded_windows(spark, sf_dir)
     zero = zero_mask(F.col("ids"))
-    return rows.select(
+    return rows.withColumn("ended", eos_mask(F.col("labels"), "EOS")).select(
         "case_id",
         "prefix_len",
         joined("labels").alias("labels"),
-        F.array_join(eos_mask(F.col("labels"), "EOS"), "").alias("eos_mask"),
+        F.array_join("ended", "").alias("eos_mask"),
         F.array_join(zero, "").alias("zero_mask"),
         i64(total(zero)).alias("active"),
     )

@@ -19,6 +19,7 @@ from caseloom.operators.flow import (
     replay,
     sync_events,
 )
+from caseloom.session import small
 from caseloom.sources.logs import events_log, items_log, orders_log, turns_log
 
 
@@ -93,7 +94,7 @@ def decision_places_after_label(spark, sf_dir):
 def activity_decision_place(spark, sf_dir):
     log = orders_log(spark, sf_dir)
     context = decision_context(net_from_edges(directly_follows(log)))
-    return log.events.join(F.broadcast(context), "activity", "left").select("case_id", "pos", "place")
+    return log.events.join(small(context), "activity", "left").select("case_id", "pos", "place")
 
 
 @query(

@@ -50,3 +50,8 @@ def joined6(col: str | Column, sep: str = ">") -> Column:
 
 def i64(col: str | Column) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("bigint")
+
+
+def r6up(col: str | Column) -> Column:
+    """Like :func:`r6` for averages: exact halves of the sixth place always round up."""
+    return F.round((F.col(col) if isinstance(col, str) else col).cast("double") + 1e-9, 6)
