@@ -1,0 +1,222 @@
+"""Suffix prediction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseloom.catalog import sql
+from caseloom.catalog.registry import i64, joined, query, r6, r6up
+from caseloom.catalog.shared import dist_text
+from caseloom.operators.cases import only_split, prefix_suffix_pairs, split_cases, window_size, with_split
+from caseloom.operators.features import since_case_start
+from caseloom.operators.ordering import around
+from caseloom.operators.predict import (
+    attach_state,
+    attribute_model,
+    collect_samples,
+    count_model,
+    decode_beam,
+    decode_greedy,
+    decode_samples,
+    next_distribution,
+    roll_attributes,
+    roll_state,
+    sample_number,
+    start_state_features,
+    with_limit,
+)
+from caseloom.functions.distributions import uniform
+from caseloom.session import scratch_path, small
+from caseloom.sources.logs import orders_log, turns_log
+from caseloom.sources.reader import read_table, write_table
+
+MIN_SUFFIX = 5
+SUPPORT = 5
+SAMPLES = 3
+
+
+def prepared(spark, sf_dir, make=orders_log, extra=()):
+    """Model from the training cases; limited prefixes of the test cases."""
+    log = make(spark, sf_dir)
+    log = with_split(log, split_cases(log.events))
+    train, test = only_split(log, "train"), only_split(log, "test")
+    window = window_size(train, MIN_SUFFIX)
+    model = count_model(train, 2, SUPPORT)
+    pairs = with_limit(prefix_suffix_pairs(test, window, MIN_SUFFIX, extra), window, MIN_SUFFIX)
+    return log, train, model, pairs, window - MIN_SUFFIX
+
+
+MODEL = f"""nx AS (SELECT log.case_id, pos, activity, lag(activity) OVER (PARTITION BY case_id ORDER BY pos) AS prev,
+     coalesce(lead(activity) OVER (PARTITION BY case_id ORDER BY pos), 'EOS') AS nxt FROM log JOIN split USING (case_id) WHERE split = 'train'),
+  obs AS (SELECT '' AS ctx, nxt FROM nx UNION ALL SELECT activity, nxt FROM nx UNION ALL SELECT prev || chr(31) || activity, nxt FROM nx WHERE prev IS NOT NULL),
+  cnt AS (SELECT ctx, nxt AS label, count(*) AS n FROM obs GROUP BY ALL),
+  sup AS (SELECT *, sum(n) OVER (PARTITION BY ctx) AS total FROM cnt),
+  mdl0 AS (SELECT ctx, label, n / total AS p, sum(n) OVER (PARTITION BY ctx ORDER BY n DESC, label ROWS UNBOUNDED PRECEDING) / total AS cum,
+     row_number() OVER (PARTITION BY ctx ORDER BY n DESC, label) AS r FROM sup WHERE total >= {SUPPORT} OR ctx = ''),
+  states AS (SELECT DISTINCT ctx FROM mdl0),
+  mdl AS MATERIALIZED (SELECT m.*, CASE WHEN label = 'EOS' THEN NULL WHEN s2.ctx IS NOT NULL THEN s2.ctx WHEN s1.ctx IS NOT NULL THEN s1.ctx ELSE '' END AS next_ctx
+     FROM mdl0 m LEFT JOIN states s2 ON m.ctx <> '' AND s2.ctx = split_part(m.ctx, chr(31), -1) || chr(31) || label LEFT JOIN states s1 ON s1.ctx = label)"""
+TESTED = f"""tlog AS (SELECT log.* FROM log JOIN split USING (case_id) WHERE split = 'test'),
+  win AS (SELECT CAST(round_even(quantile_cont(n + 5, 0.985), 0) AS BIGINT) + 5 AS w FROM log JOIN split USING (case_id) WHERE pos = 1 AND split = 'train'),
+  whole AS (SELECT case_id, list(activity ORDER BY pos) AS acts FROM tlog, win WHERE pos > n - (w - 5) GROUP BY case_id),
+  pairs AS (SELECT case_id, CAST(k AS BIGINT) AS prefix_len, acts[1:k] AS prefix, acts[k+1:] AS target_suffix, w - 5 - k + 1 AS lim FROM whole, win, unnest(range(1, len(acts))) AS t(k)),
+  starts AS MATERIALIZED (SELECT p.*, coalesce(s2.ctx, s1.ctx, '') AS ctx FROM pairs p LEFT JOIN states s2 ON len(prefix) >= 2 AND s2.ctx = prefix[-2] || chr(31) || prefix[-1] LEFT JOIN states s1 ON s1.ctx = prefix[-1])"""
+BASE = f"{sql.SPLIT}, {MODEL}, {TESTED}"
+GREEDY = """walk(case_id, prefix_len, lim, k, path, ctx, done) AS (
+   SELECT case_id, prefix_len, lim, 0, []::VARCHAR[], ctx, false FROM starts
+   UNION ALL SELECT w.case_id, w.prefix_len, w.lim, w.k + 1, CASE WHEN m.label = 'EOS' THEN w.path ELSE list_append(w.path, m.label) END, m.next_ctx, m.label = 'EOS'
+   FROM walk w JOIN mdl m ON m.ctx = w.ctx AND m.r = 1 WHERE NOT w.done AND w.k < w.lim),
+ greedy AS (SELECT case_id, prefix_len, arg_max(path, k) AS path FROM walk GROUP BY case_id, prefix_len)"""
+
+
+@query(
+    "next_activity_distribution",
+    "J1",
+    f"""WITH {sql.ORDERS}, {BASE}, txt AS (SELECT ctx, string_agg(label || '=' || CAST(CAST(round(p * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY label) AS p FROM mdl GROUP BY ctx)
+    SELECT case_id, prefix_len, p FROM starts JOIN txt USING (ctx)""",
+)
+def next_activity_distribution(spark, sf_dir):
+    _, _, model, pairs, _ = prepared(spark, sf_dir)
+    rows = next_distribution(attach_state(pairs, model, F.col("prefix")), model)
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), dist_text("p").alias("p"))
+
+
+GREEDY_SQL = "WITH RECURSIVE {log}, " + BASE + ", " + GREEDY + f" SELECT case_id, prefix_len, {sql.arrow('path')} AS suffix FROM greedy"
+
+
+def greedy_rows(spark, sf_dir, make):
+    _, _, model, pairs, steps = prepared(spark, sf_dir, make)
+    rows = decode_greedy(pairs, model, steps)
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), joined(F.get("decoded_suffixes", F.lit(0))).alias("suffix"))
+
+
+@query("argmax_suffixes", "J2 J20", GREEDY_SQL.format(log=sql.ORDERS))
+def argmax_suffixes(spark, sf_dir):
+    return greedy_rows(spark, sf_dir, orders_log)
+
+
+@query("turn_argmax_suffixes", "J2 J20", GREEDY_SQL.format(log=sql.TURNS))
+def turn_argmax_suffixes(spark, sf_dir):
+    return greedy_rows(spark, sf_dir, turns_log)
+
+
+BEAM = """beam(case_id, prefix_len, lim, k, seq, score, ctx, done) AS (
+   SELECT case_id, prefix_len, lim, 0, []::VARCHAR[], 0.0::DOUBLE, ctx, false FROM starts
+   UNION ALL SELECT case_id, prefix_len, lim, k, seq, score, ctx, done FROM (
+     SELECT *, row_number() OVER (PARTITION BY case_id, prefix_len ORDER BY round(score, 9) DESC, array_to_string(seq, chr(31))) AS rn FROM (
+       SELECT b.case_id, b.prefix_len, b.lim, b.k + 1 AS k, CASE WHEN b.done THEN b.seq ELSE list_append(b.seq, m.label) END AS seq,
+         CASE WHEN b.done THEN b.score ELSE b.score + ln(m.p) END AS score, CASE WHEN b.done THEN b.ctx ELSE coalesce(m.next_ctx, '') END AS ctx, b.done OR m.label = 'EOS' AS done
+       FROM beam b LEFT JOIN mdl m ON NOT b.done AND m.ctx = b.ctx AND m.r <= 3 WHERE b.k < b.lim)) WHERE rn <= 3),
+ beams AS (SELECT *, row_number() OVER (PARTITION BY case_id, prefix_len ORDER BY round(score, 9) DESC, array_to_string(seq, chr(31))) AS beam FROM beam WHERE k = lim)"""
+
+
+@query(
+    "beam_suffixes",
+    "J3 J20",
+    f"WITH RECURSIVE {sql.ORDERS}, {BASE}, {BEAM} SELECT case_id, prefix_len, beam, {sql.arrow(chr(39).join(['list_filter(seq, lambda x: x <> ', 'EOS', ')']))} AS suffix, round(score, 6) AS score FROM beams",
+)
+def beam_suffixes(spark, sf_dir):
+    _, _, model, pairs, steps = prepared(spark, sf_dir)
+    rows = decode_beam(pairs, model, steps, 3)
+    zipped = F.arrays_zip("decoded_suffixes", "scores")
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), F.posexplode(zipped).alias("no", "b")).select(
+        "case_id", "prefix_len", i64(F.col("no") + 1).alias("beam"), joined("b.decoded_suffixes").alias("suffix"), r6("b.scores").alias("score")
+    )
+
+
+def uniform_sql(text: str) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+DRAWS = f"""draws(case_id, prefix_len, lim, sample, k, path, ctx, done) AS (
+   SELECT case_id, prefix_len, lim, s, 0, []::VARCHAR[], ctx, false FROM starts, unnest(range(1, {SAMPLES} + 1)) AS t(s)
+   UNION ALL SELECT case_id, prefix_len, lim, sample, k + 1, CASE WHEN label = 'EOS' THEN path ELSE list_append(path, label) END, next_ctx, label = 'EOS' FROM (
+     SELECT d.*, m.label, m.next_ctx, row_number() OVER (PARTITION BY d.case_id, d.prefix_len, d.sample ORDER BY m.r) AS rn
+     FROM draws d JOIN mdl m ON m.ctx = d.ctx AND m.cum > {uniform_sql("d.case_id || '|' || d.prefix_len || '|' || d.sample || '|' || d.k || '|17'")}
+     WHERE NOT d.done AND d.k < d.lim) WHERE rn = 1),
+ sampled AS (SELECT case_id, prefix_len, sample, arg_max(path, k) AS path FROM draws GROUP BY ALL)"""
+
+
+@query(
+    "sampled_suffixes",
+    "J4 J20",
+    f"WITH RECURSIVE {sql.ORDERS}, {BASE}, {DRAWS} SELECT case_id, prefix_len, sample, {sql.arrow('path')} AS suffix FROM sampled",
+)
+def sampled_suffixes(spark, sf_dir):
+    _, _, model, pairs, steps = prepared(spark, sf_dir)
+    rows = decode_samples(pairs, model, steps, SAMPLES)
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), i64("sample").alias("sample"), joined("suffix").alias("suffix"))
+
+
+@query(
+    "sampled_next_attributes",
+    "J5",
+    f"""WITH {sql.ORDERS}, {sql.SPLIT}, train AS (SELECT log.* FROM log JOIN split USING (case_id) WHERE split = 'train'),
+    a AS (SELECT activity, avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM train GROUP BY activity),
+    d AS (SELECT case_id, pos, mean, std, {uniform_sql("case_id || '|' || pos || '|u1'")} AS u1, {uniform_sql("case_id || '|' || pos || '|u2'")} AS u2 FROM log JOIN a USING (activity))
+    SELECT case_id, pos, round(mean + std * sqrt(-2 * ln(greatest(u1, 1e-12))) * cos(2 * pi() * u2), 4) AS price FROM d""",
+)
+def sampled_next_attributes(spark, sf_dir):
+    log = orders_log(spark, sf_dir)
+    train = only_split(with_split(log, split_cases(log.events)), "train")
+    attributes = attribute_model(train, [], ["o_totalprice"])
+    rows = log.events.join(small(attributes), "activity")
+    price = sample_number(F.col("o_totalprice__mean"), F.col("o_totalprice__std"), [F.col("case_id"), F.col("pos")])
+    return rows.select("case_id", "pos", F.round(price, 4).alias("price"))
+
+
+@query(
+    "rolled_attributes",
+    "J6 J7",
+    f"""WITH RECURSIVE {sql.ORDERS}, {BASE}, {GREEDY}, timed AS (SELECT *, (us - min(us) OVER (PARTITION BY case_id)) / 1e6 AS elapsed FROM log),
+    ttrain AS (SELECT timed.* FROM timed JOIN split USING (case_id) WHERE split = 'train'),
+    a AS (SELECT activity, avg(o_totalprice) AS price, avg(elapsed) AS el FROM ttrain GROUP BY activity),
+    c AS (SELECT activity, o_orderstatus, row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, o_orderstatus) AS r FROM ttrain GROUP BY ALL),
+    lastrow AS (SELECT g.case_id, g.prefix_len, g.path[1] AS nxt, t.o_orderstatus, t.o_totalprice, t.elapsed FROM greedy g, win, timed t WHERE t.case_id = g.case_id AND t.pos = g.prefix_len + greatest(0, t.n - (w - 5)))
+    SELECT case_id, prefix_len, nxt AS next_activity, coalesce(c.o_orderstatus, l.o_orderstatus) AS o_orderstatus, round(coalesce(a.price, l.o_totalprice), 4) AS o_totalprice,
+      round(greatest(coalesce(a.el, elapsed), elapsed), 4) AS case_elapsed_time FROM lastrow l LEFT JOIN a ON a.activity = nxt LEFT JOIN c ON c.activity = nxt AND c.r = 1""",
+)
+def rolled_attributes(spark, sf_dir):
+    make = lambda s, d: since_case_start(orders_log(s, d))
+    cats, nums = ["o_orderstatus"], ["o_totalprice", "case_elapsed_time"]
+    _, train, model, pairs, steps = prepared(spark, sf_dir, make, [*cats, *nums])
+    rows = decode_greedy(pairs, model, steps).withColumn("next_activity", F.get(F.get("decoded_suffixes", F.lit(0)), F.lit(0)))
+    rows = rows.withColumns({c: F.element_at(c, -1) for c in [*cats, *nums]})
+    rolled = roll_attributes(rows, small(attribute_model(train, cats, nums)), cats, nums, F.col("next_activity"), ["case_elapsed_time"])
+    return rolled.select(
+        "case_id", i64("prefix_len").alias("prefix_len"), "next_activity", "o_orderstatus",
+        F.round("o_totalprice", 4).alias("o_totalprice"), F.round("case_elapsed_time", 4).alias("case_elapsed_time"),
+    )
+
+
+@query(
+    "rolled_data_state",
+    "J8",
+    f"""WITH RECURSIVE {sql.ORDERS}, {BASE}, {GREEDY}, ttrain AS (SELECT log.* FROM log JOIN split USING (case_id) WHERE split = 'train'),
+    a AS (SELECT activity, avg(o_totalprice) AS price FROM ttrain GROUP BY activity),
+    seen AS (SELECT case_id, list(o_totalprice ORDER BY pos) AS prices, list(o_orderstatus ORDER BY pos) AS st FROM tlog, win WHERE pos > n - (w - 5) GROUP BY case_id),
+    st AS (SELECT g.case_id, g.prefix_len, g.path[1] AS nxt, prices[1:g.prefix_len] AS before, st[1:g.prefix_len] AS h FROM greedy g JOIN seen USING (case_id))
+    SELECT case_id, prefix_len, round(coalesce(a.price, before[-1]), 4) AS o_totalprice,
+      round((CASE WHEN nxt IS NULL THEN CASE WHEN prefix_len > 1 THEN list_avg(before[1:prefix_len - 1]) ELSE before[-1] END ELSE list_avg(before) END) + 1e-9, 6) AS past_avg,
+      CASE WHEN nxt IS NULL AND prefix_len = 1 THEN h[1] ELSE list_sort(list_transform(list_distinct(hh), lambda x: {{'c': -len(list_filter(hh, lambda y: y = x)), 'f': list_position(hh, x), 'v': x}}))[1].v END AS past_mode
+    FROM (SELECT *, CASE WHEN nxt IS NULL THEN h[1:prefix_len - 1] ELSE h END AS hh FROM st) LEFT JOIN a ON a.activity = nxt""",
+)
+def rolled_data_state(spark, sf_dir):
+    cats, nums = ["o_orderstatus"], ["o_totalprice"]
+    _, train, model, pairs, steps = prepared(spark, sf_dir, extra=[*cats, *nums])
+    rows = decode_greedy(pairs, model, steps).withColumn("next_activity", F.get(F.get("decoded_suffixes", F.lit(0)), F.lit(0)))
+    state = start_state_features(rows, cats, nums)
+    attributes = small(attribute_model(train, cats, nums))
+    rolled = roll_state(state, attributes, cats, nums, F.col("next_activity").isNotNull(), F.col("next_activity"))
+    return rolled.select(
+        "case_id", i64("prefix_len").alias("prefix_len"), F.round("o_totalprice", 4).alias("o_totalprice"),
+        r6up("o_totalprice_past_avg").alias("past_avg"), F.col("o_orderstatus_past_mode").alias("past_mode"),
+    )
+
+
+@query("stored_decoded_rows", "A8", GREEDY_SQL.format(log=sql.ORDERS))
+def stored_decoded_rows(spark, sf_dir):
+    _, _, model, pairs, steps = prepared(spark, sf_dir)
+    rows = decode_greedy(pairs, model, steps)
+    back = read_table(spark, write_table(rows, scratch_path(spark, "decoded")), rows.schema)
+    return back.select("case_id", i64("prefix_len").alias("prefix_len"), joined(F.get("decoded_suffixes", F.lit(0))).alias("suffix"))
