@@ -1,15 +1,33 @@
-"""Suffix prediction."""
+"""Suffix prediction, plain and guided."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from caseloom.catalog import sql
+from caseloom.catalog.flow import DECISIONS, PLACES, edges_sql
+from caseloom.catalog.mining import DATA_GUARDS, PRIORS, STATE, TRAINED, as_guards, data_guards, planted_models
 from caseloom.catalog.registry import i64, joined, query, r6, r6up
-from caseloom.catalog.shared import dist_text
-from caseloom.operators.cases import only_split, prefix_suffix_pairs, split_cases, window_size, with_split
+from caseloom.catalog.shared import dist_text, mined_priors
+from caseloom.functions.distributions import Guidance, is_conflict, reweight, supported
+from caseloom.operators.cases import next_event_rows, only_split, prefix_suffix_pairs, split_cases, window_size, with_split
 from caseloom.operators.features import since_case_start
-from caseloom.operators.ordering import around
+from caseloom.operators.flow import align, decision_context, decisions, directly_follows, net_from_edges
+from caseloom.operators.guide import (
+    attribute_checks,
+    best_guards,
+    conditioned_branches,
+    explain,
+    fixed_decisions,
+    guided_beams,
+    guided_mode,
+    guided_samples,
+    reasoning_counters,
+    reasoning_steps,
+    state_decisions,
+    tree_scorer,
+)
+from caseloom.operators.mine import distributions, feature_state, guards, prior_guards, priors
 from caseloom.operators.predict import (
     attach_state,
     attribute_model,
@@ -25,7 +43,6 @@ from caseloom.operators.predict import (
     start_state_features,
     with_limit,
 )
-from caseloom.functions.distributions import uniform
 from caseloom.session import scratch_path, small
 from caseloom.sources.logs import orders_log, turns_log
 from caseloom.sources.reader import read_table, write_table
@@ -171,7 +188,7 @@ def sampled_next_attributes(spark, sf_dir):
     f"""WITH RECURSIVE {sql.ORDERS}, {BASE}, {GREEDY}, timed AS (SELECT *, (us - min(us) OVER (PARTITION BY case_id)) / 1e6 AS elapsed FROM log),
     ttrain AS (SELECT timed.* FROM timed JOIN split USING (case_id) WHERE split = 'train'),
     a AS (SELECT activity, avg(o_totalprice) AS price, avg(elapsed) AS el FROM ttrain GROUP BY activity),
-    c AS (SELECT activity, o_orderstatus, row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, o_orderstatus) AS r FROM ttrain GROUP BY ALL),
+    c AS (SELECT activity, o_orderstatus, row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, o_orderstatus) AS r FROM ttrain GROUP BY activity, o_orderstatus),
     lastrow AS (SELECT g.case_id, g.prefix_len, g.path[1] AS nxt, t.o_orderstatus, t.o_totalprice, t.elapsed FROM greedy g, win, timed t WHERE t.case_id = g.case_id AND t.pos = g.prefix_len + greatest(0, t.n - (w - 5)))
     SELECT case_id, prefix_len, nxt AS next_activity, coalesce(c.o_orderstatus, l.o_orderstatus) AS o_orderstatus, round(coalesce(a.price, l.o_totalprice), 4) AS o_totalprice,
       round(greatest(coalesce(a.el, elapsed), elapsed), 4) AS case_elapsed_time FROM lastrow l LEFT JOIN a ON a.activity = nxt LEFT JOIN c ON c.activity = nxt AND c.r = 1""",
@@ -220,3 +237,327 @@ def stored_decoded_rows(spark, sf_dir):
     rows = decode_greedy(pairs, model, steps)
     back = read_table(spark, write_table(rows, scratch_path(spark, "decoded")), rows.schema)
     return back.select("case_id", i64("prefix_len").alias("prefix_len"), joined(F.get("decoded_suffixes", F.lit(0))).alias("suffix"))
+
+
+# --- guidance ------------------------------------------------------------------
+
+CFG = Guidance(support_threshold=0.2)
+PLACE_RULES = f"{edges_sql(0.0)}, {PLACES}, {DECISIONS}"
+GUIDED_BASE = f"{PLACE_RULES}, {BASE}, {PRIORS}"
+SUPPORTED = "supp AS (SELECT place, list_sort(list(label)) AS labels FROM prior WHERE p >= 0.2 GROUP BY place)"
+
+
+def guided_setup(spark, sf_dir, cfg=CFG, extra=()):
+    """Limited test prefixes, model, prior decisions."""
+    log, train, model, pairs, steps = prepared(spark, sf_dir, orders_log, extra)
+    edges = directly_follows(log)
+    net = net_from_edges(edges)
+    split = log.events.where("pos = 1").select("case_id", "split")
+    records = decisions(align(log, edges), net).join(split, "case_id")
+    table = priors(records.where("split = 'train'"))
+    decide = fixed_decisions(decision_context(net), distributions(table), cfg)
+    return model, pairs, steps, decide, table
+
+
+WEIGHT = "m.p * pow(0.001 + 0.999 * coalesce(z.p, 0), 2.0 * exp(-0.1 * {k}))"
+
+
+@query(
+    "reweighted_distributions",
+    "J9",
+    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, steps AS (SELECT unnest([0, 1, 5]) AS step),
+    w AS (SELECT s.case_id, s.prefix_len, step, m.label, m.p, {WEIGHT.format(k="step")} AS wt FROM starts s JOIN mdl m USING (ctx), steps
+       LEFT JOIN prior z ON z.place = 'p_' || s.prefix[-1] AND z.label = m.label),
+    n AS (SELECT *, wt / sum(wt) OVER (PARTITION BY case_id, prefix_len, step) AS q FROM w)
+    SELECT case_id, prefix_len, step, string_agg(label || '=' || CAST(CAST(round(q * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY label) AS p FROM n GROUP BY ALL""",
+)
+def reweighted_distributions(spark, sf_dir):
+    model, pairs, _, decide, _ = guided_setup(spark, sf_dir)
+    rows = next_distribution(attach_state(pairs, model, F.col("prefix")), model).withColumn("activity", F.element_at("prefix", -1))
+    rows = rows.join(small(decide.context), "activity", "left")
+    parts = F.array(
+        *[F.struct(F.lit(s).alias("step"), reweight(F.col("p"), F.col("z"), F.lit(s), CFG).alias("q")) for s in (0, 1, 5)]
+    )
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), F.inline(parts)).select(
+        "case_id", "prefix_len", i64("step").alias("step"), dist_text("q").alias("p")
+    )
+
+
+GATED = Guidance(support_threshold=0.2, min_base_entropy=0.97, min_decision_confidence=0.19, max_guided_steps=1)
+
+
+@query(
+    "gated_guidance",
+    "J9",
+    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, steps AS (SELECT unnest([0, 1, 2]) AS step), top AS (SELECT place, max(p) AS c FROM prior GROUP BY place),
+    ent AS (SELECT ctx, -sum(p * ln(p)) / ln(count(*)) AS h FROM mdl GROUP BY ctx)
+    SELECT s.case_id, s.prefix_len, step, CASE WHEN step <= 1 AND c >= 0.19 AND h >= 0.97 THEN 'guided' ELSE 'left alone' END AS outcome
+    FROM starts s JOIN ent USING (ctx) LEFT JOIN top ON place = 'p_' || s.prefix[-1], steps""",
+)
+def gated_guidance(spark, sf_dir):
+    model, pairs, _, decide, _ = guided_setup(spark, sf_dir)
+    rows = next_distribution(attach_state(pairs, model, F.col("prefix")), model).withColumn("activity", F.element_at("prefix", -1))
+    rows = rows.join(small(decide.context), "activity", "left")
+
+    def outcome(step: int):
+        changed = dist_text(reweight(F.col("p"), F.col("z"), F.lit(step), GATED, F.size("p"))) != dist_text("p")
+        return F.struct(F.lit(step).alias("step"), F.when(changed, "guided").otherwise("left alone").alias("outcome"))
+
+    parts = F.array(*[outcome(s) for s in (0, 1, 2)])
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), F.inline(parts)).withColumn("step", i64("step"))
+
+
+@query(
+    "decision_conflicts",
+    "J10",
+    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, {SUPPORTED}, nexts AS (SELECT case_id, pos, activity, lead(activity) OVER (PARTITION BY case_id ORDER BY pos) AS nxt FROM log)
+    SELECT case_id, pos, coalesce(array_to_string(labels, ','), '') AS supported, labels IS NOT NULL AND NOT list_contains(labels, nxt) AS conflict
+    FROM nexts LEFT JOIN supp ON place = 'p_' || activity WHERE nxt IS NOT NULL""",
+)
+def decision_conflicts(spark, sf_dir):
+    m = mined_priors(spark, sf_dir)
+    nexts = next_event_rows(m.log).events.where("next_activity <> 'EOS'")
+    z = m.z.withColumn("activity", F.expr("substring(place, 3)"))
+    rows = nexts.join(small(z), "activity", "left").withColumn("support", supported(F.col("z"), 0.2))
+    return rows.select(
+        "case_id", "pos", F.coalesce(F.array_join("support", ","), F.lit("")).alias("supported"),
+        F.coalesce(is_conflict(F.col("next_activity"), F.col("support")), F.lit(False)).alias("conflict"),
+    )
+
+
+def guided_walk(beta: str = "2.0") -> str:
+    weight = WEIGHT.replace("2.0", beta).format(k="w.k")
+    return f"""gwalk(case_id, prefix_len, lim, k, path, ctx, act, done, place, prob) AS (
+   SELECT case_id, prefix_len, lim, 0, []::VARCHAR[], ctx, prefix[-1], false, NULL::VARCHAR, NULL::DOUBLE FROM starts
+   UNION ALL SELECT case_id, prefix_len, lim, k + 1, CASE WHEN label = 'EOS' THEN path ELSE list_append(path, label) END, next_ctx, CASE WHEN label = 'EOS' THEN act ELSE label END, label = 'EOS',
+      CASE WHEN label = 'EOS' THEN NULL ELSE at_place END, q FROM (
+     SELECT *, row_number() OVER (PARTITION BY case_id, prefix_len ORDER BY round(q, 9) DESC, label) AS rn FROM (
+       SELECT *, CASE WHEN at_place IS NULL THEN p0 ELSE wt / sum(wt) OVER (PARTITION BY case_id, prefix_len) END AS q FROM (
+         SELECT w.case_id, w.prefix_len, w.lim, w.k, w.path, w.act, m.label, m.next_ctx, m.p AS p0, d.place AS at_place, {weight} AS wt
+         FROM gwalk w JOIN mdl m ON m.ctx = w.ctx LEFT JOIN (SELECT DISTINCT place FROM prior) d ON d.place = 'p_' || w.act LEFT JOIN prior z ON z.place = 'p_' || w.act AND z.label = m.label
+         WHERE NOT w.done AND w.k < w.lim))) WHERE rn = 1),
+ guided AS (SELECT case_id, prefix_len, arg_max(path, k) AS path FROM gwalk GROUP BY case_id, prefix_len),
+ gsteps AS (SELECT case_id, prefix_len, k - 1 AS step, gwalk.place, path[-1] AS label, prob, coalesce(NOT list_contains(labels, path[-1]), false) AS conflict, len(coalesce(labels, [])) >= 2 AS non_trivial,
+     CASE WHEN coalesce(NOT list_contains(labels, path[-1]), false) THEN 'conflict_not_supported' WHEN g.p >= 0.15 THEN 'matched_trivial_rule' ELSE 'no_rule_for_branch' END AS status
+   FROM gwalk LEFT JOIN supp ON supp.place = gwalk.place LEFT JOIN prior g ON g.place = gwalk.place AND g.label = path[-1] WHERE k > 0 AND gwalk.place IS NOT NULL)"""
+
+
+GUIDED_SQL = f"WITH RECURSIVE {sql.ORDERS}, {GUIDED_BASE}, {SUPPORTED}, {guided_walk()}"
+
+
+@query(
+    "guided_argmax_suffixes",
+    "J17",
+    GUIDED_SQL + f" SELECT case_id, prefix_len, {sql.arrow('path')} AS suffix FROM guided",
+)
+def guided_argmax_suffixes(spark, sf_dir):
+    model, pairs, steps, decide, _ = guided_setup(spark, sf_dir)
+    rows = guided_mode(pairs, model, steps, decide)
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), joined("suffix").alias("suffix"))
+
+
+@query(
+    "guided_reasoning_steps",
+    "J15 J17 J21",
+    GUIDED_SQL + " SELECT case_id, prefix_len, step, place, label, round(prob, 6) AS prob, conflict, non_trivial, status FROM gsteps",
+)
+def guided_reasoning_steps(spark, sf_dir):
+    model, pairs, steps, decide, table = guided_setup(spark, sf_dir)
+    rows = reasoning_steps(guided_mode(pairs, model, steps, decide), ["case_id", "prefix_len"])
+    told = explain(rows, prior_guards(table), ["case_id", "prefix_len"])
+    return told.select(
+        "case_id", i64("prefix_len").alias("prefix_len"), i64("step").alias("step"), "place", "label",
+        r6("model_prob").alias("prob"), "conflict", "non_trivial", F.col("explanation_status").alias("status"),
+    )
+
+
+@query(
+    "guided_decode_rows",
+    "J16 J21",
+    GUIDED_SQL
+    + f""", c AS (SELECT case_id, prefix_len, count(*) AS decision_steps, count(*) FILTER (WHERE conflict) AS conflicts, count(*) FILTER (WHERE non_trivial) AS non_trivial_decision_steps,
+      count(*) FILTER (WHERE status = 'matched_trivial_rule') AS matched_trivial_rule, count(*) FILTER (WHERE status = 'no_rule_for_branch') AS no_rule_for_branch FROM gsteps GROUP BY ALL)
+    SELECT case_id, prefix_len, {sql.arrow('path')} AS suffix, coalesce(decision_steps, 0) AS decision_steps, coalesce(conflicts, 0) AS conflicts, round(coalesce(conflicts / decision_steps, 0), 6) AS conflict_rate,
+      coalesce(non_trivial_decision_steps, 0) AS non_trivial_decision_steps, coalesce(matched_trivial_rule, 0) AS matched_trivial_rule, coalesce(no_rule_for_branch, 0) AS no_rule_for_branch
+    FROM guided LEFT JOIN c USING (case_id, prefix_len)""",
+)
+def guided_decode_rows(spark, sf_dir):
+    model, pairs, steps, decide, table = guided_setup(spark, sf_dir)
+    rows = guided_mode(pairs, model, steps, decide)
+    told = explain(reasoning_steps(rows, ["case_id", "prefix_len"]), prior_guards(table), ["case_id", "prefix_len"])
+    counters = reasoning_counters(told, ["case_id", "prefix_len"])
+    both = rows.join(counters, ["case_id", "prefix_len"], "left")
+    names = ["decision_steps", "conflicts", "non_trivial_decision_steps", "matched_trivial_rule", "no_rule_for_branch"]
+    return both.select(
+        "case_id", i64("prefix_len").alias("prefix_len"), joined("suffix").alias("suffix"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in names], r6(F.coalesce("conflict_rate", F.lit(0.0))).alias("conflict_rate"),
+    )
+
+
+GUIDED_BEAM = f"""gbeam(case_id, prefix_len, lim, k, seq, score, ctx, act, done) AS (
+   SELECT case_id, prefix_len, lim, 0, []::VARCHAR[], 0.0::DOUBLE, ctx, prefix[-1], false FROM starts
+   UNION ALL SELECT case_id, prefix_len, lim, k, seq, score, ctx, act, done FROM (
+     SELECT *, row_number() OVER (PARTITION BY case_id, prefix_len ORDER BY round(score, 9) DESC, array_to_string(seq, chr(31))) AS rn FROM (
+       SELECT case_id, prefix_len, lim, k + 1 AS k, CASE WHEN was THEN seq ELSE list_append(seq, label) END AS seq, CASE WHEN was THEN score ELSE score + ln(q + 1e-12) END AS score,
+         CASE WHEN was THEN ctx ELSE coalesce(next_ctx, '') END AS ctx, CASE WHEN was OR label = 'EOS' THEN act ELSE label END AS act, was OR label = 'EOS' AS done FROM (
+         SELECT *, row_number() OVER (PARTITION BY case_id, prefix_len, seq ORDER BY round(q, 9) DESC, label) AS option FROM (
+           SELECT *, CASE WHEN was THEN 1 ELSE wt / sum(wt) OVER (PARTITION BY case_id, prefix_len, seq) END AS q FROM (
+             SELECT b.case_id, b.prefix_len, b.lim, b.k, b.seq, b.score, b.ctx, b.act, b.done AS was, m.label, m.next_ctx, {WEIGHT.format(k='b.k')} AS wt
+             FROM gbeam b LEFT JOIN mdl m ON NOT b.done AND m.ctx = b.ctx LEFT JOIN prior z ON z.place = 'p_' || b.act AND z.label = m.label WHERE b.k < b.lim))) WHERE was OR option <= 3)) WHERE rn <= 3),
+ gbeams AS (SELECT *, row_number() OVER (PARTITION BY case_id, prefix_len ORDER BY round(score, 9) DESC, array_to_string(seq, chr(31))) AS beam FROM gbeam WHERE k = lim)"""
+
+
+@query(
+    "guided_beam_suffixes",
+    "J19",
+    f"WITH RECURSIVE {sql.ORDERS}, {GUIDED_BASE}, {GUIDED_BEAM} SELECT case_id, prefix_len, beam, {sql.arrow(chr(39).join(['list_filter(seq, lambda x: x <> ', 'EOS', ')']))} AS suffix, round(score, 6) AS score FROM gbeams",
+)
+def guided_beam_suffixes(spark, sf_dir):
+    model, pairs, steps, decide, _ = guided_setup(spark, sf_dir)
+    rows = guided_beams(pairs, model, steps, decide, 3)
+    return rows.select(
+        "case_id", i64("prefix_len").alias("prefix_len"), i64("beam").alias("beam"), joined("suffix").alias("suffix"), r6("score").alias("score")
+    )
+
+
+@query("guided_samples", "J18")
+def guided_sampled_suffixes(spark, sf_dir):
+    model, pairs, steps, decide, _ = guided_setup(spark, sf_dir)
+    rows = guided_samples(pairs, model, steps, decide, 2)
+    return rows.select("case_id", i64("prefix_len").alias("prefix_len"), "sample", joined("suffix").alias("suffix"), F.size("trace").alias("decision_steps"))
+
+
+# --- rules against observed states -------------------------------------------------
+
+OBSERVED = f"""{DATA_GUARDS}, {STATE}, obs_state AS (SELECT nexts.case_id, nexts.pos, 'p_' || activity AS place, next_activity AS label, state.o_orderstatus, state.o_totalprice, past_avg, c_nationkey, c_mktsegment
+     FROM nexts JOIN state USING (case_id, pos) WHERE next_activity IS NOT NULL),
+  matched AS (SELECT o.*, dg.*, dg.place IS NOT NULL AS has_guard,
+      coalesce(o_totalprice > low AND past_avg <= high AND list_contains(statuses, o_orderstatus) AND list_contains(nations, c_nationkey) AND (c_mktsegment IS NULL OR c_mktsegment <> segment), false) AS hit_a,
+      coalesce(past_avg <= low AND (c_mktsegment IS NULL OR c_mktsegment <> segment), false) AS hit_b FROM obs_state o LEFT JOIN dg USING (place, label))"""
+
+
+def observed_steps(spark, sf_dir):
+    """Observed decisions with their data state, and two rules per branch read off the data."""
+    log = orders_log(spark, sf_dir)
+    first = as_guards(data_guards(log))
+    double = "map<string,struct<low:double,high:double>>"
+    narrow = F.transform_values(
+        F.map_filter("intervals", lambda k, _: k == "o_totalprice"),
+        lambda _, v: F.struct(F.lit(None).cast("double").alias("low"), v["low"].alias("high")),
+    )
+    second = first.withColumn("intervals", F.create_map(F.lit("o_totalprice_past_avg"), narrow["o_totalprice"]).cast(double)).withColumn(
+        "allowed", F.create_map().cast("map<string,array<string>>")
+    )
+    rules = first.withColumn("raw_rule", F.lit("A")).withColumn("score", F.col("support") * 1.0).unionByName(
+        second.withColumn("raw_rule", F.lit("B")).withColumn("score", F.col("support") * 0.5)
+    )
+    rules = rules.withColumn("rule", F.col("raw_rule")).withColumn("prob_model", F.lit(0.5))
+    state = feature_state(next_event_rows(log), ["o_orderstatus"], ["o_totalprice"], []).events.where("next_activity <> 'EOS'")
+    steps = state.select(
+        "case_id", "pos", F.concat(F.lit("p_"), "activity").alias("place"), F.col("next_activity").alias("label"),
+        F.create_map(F.lit("o_totalprice"), "o_totalprice", F.lit("o_totalprice_past_avg"), "o_totalprice_past_avg").alias("nums"),
+        F.create_map(F.lit("o_orderstatus"), "o_orderstatus", F.lit("c_nationkey"), "c_nationkey", F.lit("c_mktsegment"), "c_mktsegment").alias("cats"),
+    )
+    return steps, rules
+
+
+@query(
+    "best_matching_guards",
+    "J11 J12 J13",
+    f"""WITH {sql.ORDERS}, {OBSERVED} SELECT case_id, pos, true AS branch_has_rule, CASE WHEN hit_a THEN 'A' WHEN hit_b THEN 'B' END AS guard FROM matched""",
+)
+def best_matching_guards(spark, sf_dir):
+    steps, rules = observed_steps(spark, sf_dir)
+    best = best_guards(steps, rules, ["case_id", "pos"])
+    branch = small(conditioned_branches(rules).withColumn("branch_has_rule", F.lit(True)))
+    out = steps.join(best, ["case_id", "pos"], "left").join(branch, ["place", "label"], "left")
+    return out.select("case_id", "pos", F.coalesce("branch_has_rule", F.lit(False)).alias("branch_has_rule"), F.col("guard.raw_rule").alias("guard"))
+
+
+@query(
+    "attribute_checks",
+    "J14",
+    f"""WITH {sql.ORDERS}, {OBSERVED}, a AS (SELECT * FROM matched WHERE hit_a OR NOT hit_b)
+    SELECT case_id, pos, 'o_totalprice' AS attr, round(o_totalprice, 6) AS value, NULL AS text, o_totalprice > low AS in_rule_set, 'interval' AS rule_type, '(' || low || ', ]' AS bound FROM a
+    UNION ALL SELECT case_id, pos, 'o_totalprice_past_avg', round(past_avg + 1e-9, 6), NULL, past_avg <= high, 'interval', '(, ' || high || ']' FROM a
+    UNION ALL SELECT case_id, pos, 'o_orderstatus', NULL, o_orderstatus, list_contains(statuses, o_orderstatus), 'categorical_allowed', array_to_string(statuses, ', ') FROM a
+    UNION ALL SELECT case_id, pos, 'c_nationkey', NULL, c_nationkey, coalesce(list_contains(nations, c_nationkey), false), 'categorical_allowed', array_to_string(nations, ', ') FROM a
+    UNION ALL SELECT case_id, pos, 'c_mktsegment', NULL, c_mktsegment, c_mktsegment IS NULL OR c_mktsegment <> segment, 'categorical_excluded', segment FROM a""",
+)
+def checks(spark, sf_dir):
+    steps, rules = observed_steps(spark, sf_dir)
+    best = best_guards(steps, rules, ["case_id", "pos"]).where("guard.raw_rule = 'B'")
+    wide = steps.join(best, ["case_id", "pos"], "left_anti").join(small(rules.where("raw_rule = 'A'")), ["place", "label"])
+    out = wide.select(
+        "case_id", "pos", "nums", F.explode(attribute_checks(*[F.col(c) for c in ("nums", "cats", "intervals", "allowed", "excluded")])).alias("c")
+    )
+    number = F.col("c.rule_type") == "interval"
+    return out.select(
+        "case_id", "pos", F.col("c.attr").alias("attr"),
+        F.when(F.col("c.attr") == "o_totalprice", r6(F.col("nums")["o_totalprice"])).when(number, r6up(F.col("nums")[F.col("c.attr")])).alias("value"),
+        F.when(~number, F.col("c.value")).alias("text"), F.col("c.in_rule_set").alias("in_rule_set"), F.col("c.rule_type").alias("rule_type"), F.col("c.bound").alias("bound"),
+    )
+
+
+OBSERVED_STATUS = f"""{TRAINED}, {PRIORS}, {SUPPORTED}, {OBSERVED}, told AS (SELECT case_id, pos, m.place, m.label, coalesce(NOT list_contains(labels, m.label), false) AS conflict, len(coalesce(labels, [])) >= 2 AS non_trivial,
+     hit_a OR hit_b AS hit FROM matched m LEFT JOIN supp ON supp.place = m.place),
+  status AS (SELECT *, NOT conflict AND hit AS explained, CASE WHEN conflict THEN 'conflict_not_supported' WHEN hit THEN 'explained' ELSE 'rule_unmatched' END AS status FROM told)"""
+
+
+def observed_reasoning(spark, sf_dir):
+    steps, rules = observed_steps(spark, sf_dir)
+    z = mined_priors(spark, sf_dir).z
+    rows = steps.join(small(z), "place", "left").withColumn("supported", supported(F.col("z"), 0.2))
+    rows = rows.withColumns(
+        {
+            "conflict": F.coalesce(is_conflict(F.col("label"), F.col("supported")), F.lit(False)),
+            "non_trivial": F.coalesce(F.size("supported") >= 2, F.lit(False)),
+        }
+    )
+    return explain(rows, rules, ["case_id", "pos"])
+
+
+@query(
+    "observed_reasoning",
+    "J15",
+    f"WITH {sql.ORDERS}, {OBSERVED_STATUS} SELECT case_id, pos, place, label, conflict, non_trivial, explained, status FROM status",
+)
+def observed_reasoning_rows(spark, sf_dir):
+    return observed_reasoning(spark, sf_dir).select(
+        "case_id", "pos", "place", "label", "conflict", "non_trivial", "explained", F.col("explanation_status").alias("status")
+    )
+
+
+@query(
+    "reasoning_counters",
+    "J16",
+    f"""WITH {sql.ORDERS}, {OBSERVED_STATUS} SELECT case_id, count(*) AS decision_steps, count(*) FILTER (WHERE conflict) AS conflicts, count(*) FILTER (WHERE explained) AS explained_steps,
+      count(*) FILTER (WHERE NOT conflict) AS explainable_decision_steps, count(*) FILTER (WHERE non_trivial) AS non_trivial_decision_steps, count(*) FILTER (WHERE non_trivial AND explained) AS non_trivial_explained_steps,
+      count(*) FILTER (WHERE status = 'rule_unmatched') AS no_matching_rule, round(count(*) FILTER (WHERE conflict) / count(*), 6) AS conflict_rate,
+      round(coalesce(count(*) FILTER (WHERE explained) / nullif(count(*) FILTER (WHERE NOT conflict), 0), 0), 6) AS rule_explained_rate FROM status GROUP BY case_id""",
+)
+def counters(spark, sf_dir):
+    rows = reasoning_counters(observed_reasoning(spark, sf_dir), ["case_id"])
+    return rows.select(
+        "case_id", "decision_steps", "conflicts", "explained_steps", "explainable_decision_steps", "non_trivial_decision_steps",
+        "non_trivial_explained_steps", "no_matching_rule", r6("conflict_rate").alias("conflict_rate"), r6("rule_explained_rate").alias("rule_explained_rate"),
+    )
+
+
+@query("tree_guided_reasoning", "J8 J15 J17 J21")
+def tree_guided_reasoning(spark, sf_dir):
+    """Guided decoding on the planted log: decisions scored on the rolled data state, explained by mined rules."""
+    cats, nums, statics = ["o_orderstatus"], ["o_totalprice"], ["c_mktsegment"]
+    log, net, _, result = planted_models(spark, sf_dir)
+    train, test = only_split(log, "train"), only_split(log, "test")
+    window = window_size(train, MIN_SUFFIX)
+    model = count_model(train, 2, SUPPORT)
+    pairs = with_limit(prefix_suffix_pairs(test, window, MIN_SUFFIX, [*cats, *nums, *statics]), window, MIN_SUFFIX)
+    state = start_state_features(pairs, cats, nums).withColumns({c: F.element_at(c, -1) for c in statics})
+    decide = state_decisions(
+        decision_context(net), CFG, tree_scorer(spark, result), attribute_model(train, cats, nums), cats, nums, statics
+    )
+    done = guided_mode(state, model, window - MIN_SUFFIX, decide)
+    told = explain(reasoning_steps(done, ["case_id", "prefix_len"]), guards(spark, result), ["case_id", "prefix_len"])
+    out = reasoning_counters(told, ["case_id", "prefix_len"])
+    return out.select("case_id", "prefix_len", "decision_steps", "conflicts", "explained_steps", "explainable_decision_steps", "rule_unmatched")

@@ -373,19 +373,18 @@ def leaf_statistics(model: PlaceModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def tree_rules(spark: SparkSession, model: PlaceModel) -> DataFrame:
-    """``leaf, raw_rule, intervals, allowed, excluded`` from the saved node table (at most 31 nodes)."""
+def tree_leaves(spark: SparkSession, model: PlaceModel) -> list[tuple[list[tuple[str, str, float]], list[float]]]:
+    """Paths and class distributions of the leaves, from the saved node table (at most 31 nodes)."""
     path = scratch_path(spark, "surrogate")
     model.tree.write().overwrite().save(path)
     nodes = {r["id"]: r for r in spark.read.parquet(f"{path}/data").collect()}
-    rows, leaf = [], 0
+    leaves = []
 
-    def walk(node: int, path: list[tuple[str, str, float]]) -> None:
-        nonlocal leaf
+    def walk(node: int, conditions: list[tuple[str, str, float]]) -> None:
         r = nodes[node]
         if r["leftChild"] < 0:
-            rows.append((leaf, *_conditions(path)))
-            leaf += 1
+            stats = list(r["impurityStats"])
+            leaves.append((conditions, [x / (sum(stats) or 1.0) for x in stats]))
             return
         split = r["split"]
         name = model.features[split["featureIndex"]]
@@ -394,15 +393,46 @@ def tree_rules(spark: SparkSession, model: PlaceModel) -> DataFrame:
             left, right, at = "<=", ">", values[0]
         else:  # a 0/1 dummy: the side that holds 0 is the "not this value" side
             left, right, at = ("<=", ">", 0.5) if 0.0 in values else (">", "<=", 0.5)
-        walk(r["leftChild"], [*path, (name, left, at)])
-        walk(r["rightChild"], [*path, (name, right, at)])
+        walk(r["leftChild"], [*conditions, (name, left, at)])
+        walk(r["rightChild"], [*conditions, (name, right, at)])
 
     walk(0, [])
+    return leaves
+
+
+def tree_rules(spark: SparkSession, model: PlaceModel) -> DataFrame:
+    """``leaf, raw_rule, intervals, allowed, excluded`` of the surrogate tree."""
+    rows = [(float(i), *_conditions(path)) for i, (path, _) in enumerate(tree_leaves(spark, model))]
     schema = (
         "leaf double, raw_rule string, intervals map<string,struct<low:double,high:double>>, "
         "allowed map<string,array<string>>, excluded map<string,array<string>>"
     )
-    return spark.createDataFrame([(float(r[0]), *r[1:]) for r in rows], schema)
+    return spark.createDataFrame(rows, schema)
+
+
+def tree_expression(spark: SparkSession, model: PlaceModel) -> Column:
+    """The surrogate tree as one expression over raw attributes: a distribution per leaf.
+
+    Leaves are rescaled from the weighted classes back to the observed shares.
+    """
+    if model.tree is None:
+        return F.create_map(*[F.lit(x) for kv in sorted(model.priors.items()) for x in kv])
+    out = None
+    for path, stats in tree_leaves(spark, model):
+        mass = [s * model.priors[lab] for s, lab in zip(stats, model.labels)]
+        total = sum(mass) or 1.0
+        dist = F.create_map(*[F.lit(x) for lab, m in zip(model.labels, mass) if m > 0 for x in (lab, m / total)])
+        cond = F.lit(True)
+        for name, op, at in path:
+            base, eq, value = name.partition("=")
+            if eq:
+                is_value = F.coalesce(F.col(base).cast("string"), F.lit(MISSING)) == value
+                cond = cond & (is_value if op == ">" else ~is_value)
+            else:
+                number = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+                cond = cond & (number > at if op == ">" else number <= at)
+        out = F.when(cond, dist) if out is None else out.when(cond, dist)
+    return out
 
 
 def _conditions(path: list[tuple[str, str, float]]) -> tuple:
