@@ -27,6 +27,7 @@ from caseloom.operators.guide import (
     state_decisions,
     tree_scorer,
 )
+from caseloom.operators.ordering import settle
 from caseloom.operators.mine import distributions, feature_state, guards, prior_guards, priors
 from caseloom.operators.predict import (
     attach_state,
@@ -55,7 +56,7 @@ SAMPLES = 3
 def prepared(spark, sf_dir, make=orders_log, extra=()):
     """Model from the training cases; limited prefixes of the test cases."""
     log = make(spark, sf_dir)
-    log = with_split(log, split_cases(log.events))
+    log = settle(with_split(log, split_cases(log.events)))
     train, test = only_split(log, "train"), only_split(log, "test")
     window = window_size(train, MIN_SUFFIX)
     model = count_model(train, 2, SUPPORT)
@@ -265,8 +266,8 @@ WEIGHT = "m.p * pow(0.001 + 0.999 * coalesce(z.p, 0), 2.0 * exp(-0.1 * {k}))"
 @query(
     "reweighted_distributions",
     "J9",
-    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, steps AS (SELECT unnest([0, 1, 5]) AS step),
-    w AS (SELECT s.case_id, s.prefix_len, step, m.label, m.p, {WEIGHT.format(k="step")} AS wt FROM starts s JOIN mdl m USING (ctx), steps
+    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, hops AS (SELECT unnest([0, 1, 5]) AS step),
+    w AS (SELECT s.case_id, s.prefix_len, step, m.label, m.p, {WEIGHT.format(k="step")} AS wt FROM starts s JOIN mdl m USING (ctx), hops
        LEFT JOIN prior z ON z.place = 'p_' || s.prefix[-1] AND z.label = m.label),
     n AS (SELECT *, wt / sum(wt) OVER (PARTITION BY case_id, prefix_len, step) AS q FROM w)
     SELECT case_id, prefix_len, step, string_agg(label || '=' || CAST(CAST(round(q * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY label) AS p FROM n GROUP BY ALL""",
@@ -289,10 +290,10 @@ GATED = Guidance(support_threshold=0.2, min_base_entropy=0.97, min_decision_conf
 @query(
     "gated_guidance",
     "J9",
-    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, steps AS (SELECT unnest([0, 1, 2]) AS step), top AS (SELECT place, max(p) AS c FROM prior GROUP BY place),
+    f"""WITH {sql.ORDERS}, {GUIDED_BASE}, hops AS (SELECT unnest([0, 1, 2]) AS step), top AS (SELECT place, max(p) AS c FROM prior GROUP BY place),
     ent AS (SELECT ctx, -sum(p * ln(p)) / ln(count(*)) AS h FROM mdl GROUP BY ctx)
     SELECT s.case_id, s.prefix_len, step, CASE WHEN step <= 1 AND c >= 0.19 AND h >= 0.97 THEN 'guided' ELSE 'left alone' END AS outcome
-    FROM starts s JOIN ent USING (ctx) LEFT JOIN top ON place = 'p_' || s.prefix[-1], steps""",
+    FROM starts s JOIN ent USING (ctx) LEFT JOIN top ON place = 'p_' || s.prefix[-1], hops""",
 )
 def gated_guidance(spark, sf_dir):
     model, pairs, _, decide, _ = guided_setup(spark, sf_dir)

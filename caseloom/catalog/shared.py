@@ -11,7 +11,7 @@ from caseloom.operators.cases import split_cases, with_split
 from caseloom.operators.flow import Net, align, decisions, directly_follows, net_from_edges
 from caseloom.operators.label import label_events
 from caseloom.operators.mine import distributions, priors
-from caseloom.operators.ordering import EventLog
+from caseloom.operators.ordering import EventLog, settle
 from caseloom.session import small
 from caseloom.sources.logs import orders_log
 
@@ -30,7 +30,7 @@ class Mined:
 
 def mined_priors(spark, sf_dir, make=orders_log, threshold: float = 0.0) -> Mined:
     log = make(spark, sf_dir)
-    log = with_split(log, split_cases(log.events))
+    log = settle(with_split(log, split_cases(log.events)))
     edges = directly_follows(log, threshold)
     net = net_from_edges(edges)
     records = decisions(align(log, edges), net)

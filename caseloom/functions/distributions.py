@@ -80,8 +80,12 @@ def reweight(dist: Column, z: Column, step: Column, cfg: Guidance, classes: Colu
     weighted = F.transform_values(
         dist, lambda a, p: p * F.pow(eps + (1 - eps) * F.coalesce(z[a], F.lit(0.0)), beta)
     )
-    norm = mass(weighted)
-    return F.when(apply & (norm > 0), F.transform_values(weighted, lambda _, p: p / norm)).otherwise(dist)
+    # the mass is computed once and then shared by every entry
+    scaled = F.get(
+        F.transform(F.array(mass(weighted)), lambda norm: F.when(norm > 0, F.transform_values(weighted, lambda _, p: p / norm))),
+        F.lit(0),
+    )
+    return F.when(apply, F.coalesce(scaled, dist)).otherwise(dist)
 
 
 def supported(z: Column, tau: float) -> Column:

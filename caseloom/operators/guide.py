@@ -20,7 +20,7 @@ from caseloom.operators.predict import (
     roll_state,
     start_state_features,
 )
-from caseloom.session import small
+from caseloom.session import settled, small
 
 # --- rules against data states ------------------------------------------------
 
@@ -196,7 +196,7 @@ def state_decisions(
     statics: Sequence[str] = (),
 ) -> Decisions:
     """Decisions scored on the data state, which is rolled with predicted attributes."""
-    table = small(attributes)
+    table = settled(attributes)
 
     def roll(df: DataFrame) -> DataFrame:
         moved = ~F.col("_before") & (F.element_at("seq", -1) != "EOS")

@@ -26,7 +26,7 @@ from caseloom.functions.distributions import (
 )
 from caseloom.functions.text import EOS
 from caseloom.operators.ordering import CASE, EventLog, around
-from caseloom.session import cut, small
+from caseloom.session import cut, settled, small
 
 SEP = "\x1f"
 TRACE = (
@@ -204,6 +204,7 @@ def start_frontier(df: DataFrame) -> DataFrame:
         {
             "seq": F.array().cast("array<string>"),
             "score": F.lit(0.0),
+            "step": F.lit(0),
             "done": F.lit(False),
             "trace": F.array().cast(TRACE),
         }
@@ -228,62 +229,92 @@ def _feature_maps(d: Decisions) -> tuple[Column, Column]:
     return nums, cats
 
 
-def _expand(frontier: DataFrame, table: DataFrame, step: int, decisions: Decisions | None, context: DataFrame | None) -> DataFrame:
-    """Look up the (guided) distribution of every running row."""
-    df = frontier.join(table, "state", "left")
-    base = F.when(~F.col("done"), entry_map(F.col("entries")))
+def describe(df: DataFrame, cfg: Guidance) -> DataFrame:
+    """What a reasoning row says about a decision: support, confidence, top branch."""
+    df = df.withColumns({"support": supported(F.col("z"), cfg.support_threshold), "top": F.get(_ranked(F.col("z")), F.lit(0))})
+    return df.withColumns({"confidence": top_probability(F.col("z"))})
+
+
+DESCRIBED = ("place", "z", "support", "top", "confidence")
+
+
+def _tables(model: NextModel, decisions: Decisions | None) -> tuple[DataFrame, DataFrame | None]:
+    table = small(model.table.select("state", "entries", entry_map(F.col("entries")).alias("base")))
     if decisions is None:
-        return df.withColumn("dist", base)
-    df = df.withColumn("base", base).join(context, "activity", "left")
-    if decisions.score is not None:
-        df = decisions.score(df)
-    classes = F.size("base")
-    guided = reweight(F.col("base"), F.col("z"), F.lit(step), decisions.cfg, classes)
-    return df.withColumn("dist", guided).drop("base")
+        return table, None
+    context = decisions.context
+    if decisions.score is None:
+        context = describe(context, decisions.cfg).select("activity", *DESCRIBED)
+    return table, settled(context)
 
 
-def _advance(df: DataFrame, chosen: Column, step: int, decisions: Decisions | None) -> DataFrame:
-    """Append the chosen activity (struct label, p), move the state, record the decision."""
-    df = df.withColumn("chosen", F.when(~F.col("done"), chosen))
+@dataclass(frozen=True)
+class _Step:
+    """Expressions of one decode step, built once; ``step`` is a column."""
+
+    dist: Column | None
+    cols: dict[str, Column]
+    drop: tuple[str, ...]
+
+
+def _step(decisions: Decisions | None) -> _Step:
+    """How a row changes once ``chosen`` (label, p) is known."""
     label = F.col("chosen.label")
     running = ~F.col("done")
     goes_on = running & (label != EOS)
     found = F.get(F.filter("entries", lambda e: e["label"] == label), F.lit(0))
     cols = {
+        "_before": F.col("done"),
         "seq": F.when(running, F.concat("seq", F.array(label))).otherwise(F.col("seq")),
         "state": F.when(goes_on, found["next_state"]).otherwise(F.col("state")),
-        "done": F.col("done") | (label == EOS) | (F.lit(step + 1) >= F.col("limit")),
+        "done": F.col("done") | (label == EOS) | (F.col("step") + 1 >= F.col("limit")),
+        "activity": F.when(goes_on, label).otherwise(F.col("activity")),
+        "step": F.col("step") + 1,
     }
-    drop = ["entries", "total", "dist", "chosen", "_before"]
-    if decisions is not None:
-        nums, cats = _feature_maps(decisions)
-        support = supported(F.col("z"), decisions.cfg.support_threshold)
-        top = F.get(_ranked(F.col("z")), F.lit(0))
-        item = F.struct(
-            F.lit(step).alias("step"),
-            F.col("place").alias("place"),
-            F.col("activity").alias("input_event"),
-            label.alias("next_event"),
-            F.col("chosen.p").alias("model_prob"),
-            top_probability(F.col("z")).alias("confidence"),
-            top["label"].alias("top_event"),
-            top["p"].alias("top_prob"),
-            support.alias("supported"),
-            (F.size(support) >= 2).alias("non_trivial"),
-            is_conflict(label, support).alias("conflict"),
-            F.col("z").alias("z"),
-            nums.alias("nums"),
-            cats.alias("cats"),
-        )
-        cols["trace"] = F.when(
-            goes_on & F.col("place").isNotNull() & F.col("z").isNotNull(), F.concat("trace", F.array(item).cast(TRACE))
-        ).otherwise(F.col("trace"))
-        drop += ["place", "z"]
-    cols["activity"] = F.when(goes_on, label).otherwise(F.col("activity"))
-    df = df.withColumn("_before", F.col("done")).withColumns(cols)
+    drop = ("entries", "dist", "chosen", "_before")
+    if decisions is None:
+        return _Step(None, cols, drop)
+    nums, cats = _feature_maps(decisions)
+    item = F.struct(
+        F.col("step"),
+        F.col("place"),
+        F.col("activity").alias("input_event"),
+        label.alias("next_event"),
+        F.col("chosen.p").alias("model_prob"),
+        F.col("confidence"),
+        F.col("top.label").alias("top_event"),
+        F.col("top.p").alias("top_prob"),
+        F.col("support").alias("supported"),
+        (F.size("support") >= 2).alias("non_trivial"),
+        is_conflict(label, F.col("support")).alias("conflict"),
+        F.col("z"),
+        nums.alias("nums"),
+        cats.alias("cats"),
+    )
+    cols["trace"] = F.when(
+        goes_on & F.col("place").isNotNull() & F.col("z").isNotNull(), F.concat("trace", F.array(item).cast(TRACE))
+    ).otherwise(F.col("trace"))
+    guided = reweight(F.col("base"), F.col("z"), F.col("step"), decisions.cfg, F.size("base"))
+    return _Step(guided, cols, (*drop, "base", *DESCRIBED))
+
+
+def _expand(df: DataFrame, table: DataFrame, context: DataFrame | None, decisions: Decisions | None, one: _Step) -> DataFrame:
+    """Look up the (guided) distribution of every row."""
+    df = df.join(table, "state", "left")
+    if decisions is None:
+        return df.withColumnRenamed("base", "dist")
+    df = df.join(context, "activity", "left")
+    if decisions.score is not None:
+        df = describe(decisions.score(df), decisions.cfg)
+    return df.withColumn("dist", one.dist)
+
+
+def _advance(df: DataFrame, chosen: Column, decisions: Decisions | None, one: _Step) -> DataFrame:
+    """Append the chosen activity, move the state, record the decision."""
+    df = df.withColumn("chosen", chosen).withColumns(one.cols)
     if decisions is not None and decisions.roll is not None:
         df = decisions.roll(df)
-    return df.drop(*drop)
+    return df.drop(*one.drop)
 
 
 def decode_steps(
@@ -302,24 +333,21 @@ def decode_steps(
     Lookups are map-side joins with size-checked tables; the lineage is cut
     every few steps and decoding stops when no row is running.
     """
-    table = small(model.table)
-    context = small(decisions.context) if decisions is not None else None
+    table, context = _tables(model, decisions)
+    one = _step(decisions)
+    if pick == "best":
+        chosen = F.get(_ranked(F.col("dist")), F.lit(0))
+    else:
+        u = uniform(*[F.col(k) for k in draw_keys], F.col("step"), F.lit(seed))
+        if decisions is None:
+            hit = F.coalesce(F.get(F.filter("entries", lambda e: e["cum"] > u), F.lit(0)), F.element_at("entries", -1))
+            chosen = F.struct(hit["label"].alias("label"), hit["p"].alias("p"))
+        else:
+            chosen = draw(F.col("dist"), u)
+    chosen = F.when(~F.col("done"), chosen)
     df = start_frontier(frontier)
     for step in range(max_steps):
-        df = _expand(df, table, step, decisions, context)
-        if pick == "best":
-            chosen = F.get(_ranked(F.col("dist")), F.lit(0))
-            chosen = F.struct(chosen["label"].alias("label"), chosen["p"].alias("p"))
-        else:
-            u = uniform(*[F.col(k) for k in draw_keys], F.lit(step), F.lit(seed))
-            if decisions is None:
-                hit = F.coalesce(
-                    F.get(F.filter("entries", lambda e: e["cum"] > u), F.lit(0)), F.element_at("entries", -1)
-                )
-                chosen = F.struct(hit["label"].alias("label"), hit["p"].alias("p"))
-            else:
-                chosen = draw(F.col("dist"), u)
-        df = _advance(df, chosen, step, decisions)
+        df = _advance(_expand(df, table, context, decisions, one), chosen, decisions, one)
         if (step + 1) % every == 0 or step + 1 == max_steps:
             df = cut(df)
             if df.where(~F.col("done")).limit(1).count() == 0:
@@ -355,23 +383,22 @@ def decode_beams(
     With ``snapshots`` the beams after every number of steps are returned in
     ``steps``, so that one decode serves prefixes with different limits.
     """
-    table = small(model.table)
-    context = small(decisions.context) if decisions is not None else None
+    table, context = _tables(model, decisions)
+    one = _step(decisions)
+    nothing = F.struct(F.lit(0.0).alias("rank"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("p"))
+    options = F.explode(F.when(F.col("done"), F.array(nothing)).otherwise(F.slice(_ranked(F.col("dist")), 1, width)))
+    floor = 1e-12 if decisions is not None else 0.0
+    gained = F.col("score") + F.when(F.col("done"), 0.0).otherwise(F.ln(F.col("chosen.p") + floor))
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.array_join("seq", SEP))
+    beam = F.row_number().over(order)
+    cols = {**one.cols, "score": gained}
+    one = _Step(one.dist, cols, one.drop)
     df = start_frontier(frontier)
     taken: list[DataFrame] = []
     last = max_steps
     for step in range(max_steps):
-        df = _expand(df, table, step, decisions, context)
-        nothing = F.struct(F.lit(0.0).alias("rank"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("p"))
-        options = F.when(F.col("done"), F.array(nothing)).otherwise(F.slice(_ranked(F.col("dist")), 1, width))
-        df = df.withColumn("option", F.explode(options))
-        floor = 1e-12 if decisions is not None else 0.0
-        gain = F.when(F.col("done"), 0.0).otherwise(F.ln(F.col("option.p") + floor))
-        df = df.withColumn("score", F.col("score") + gain)
-        df = _advance(df, F.struct(F.col("option.label").alias("label"), F.col("option.p").alias("p")), step, decisions).drop("option")
-        order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.array_join("seq", SEP))
-        df = df.withColumn("beam", F.row_number().over(order)).where(F.col("beam") <= width)
-        df = cut(df)
+        df = _advance(_expand(df, table, context, decisions, one), options, decisions, one)
+        df = cut(df.withColumn("beam", beam).where(F.col("beam") <= width))
         if snapshots:
             taken.append(df.withColumn("steps", F.lit(step + 1)))
         df = df.drop("beam")
@@ -379,8 +406,7 @@ def decode_beams(
             last = step + 1
             break
     if not snapshots:
-        order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.array_join("seq", SEP))
-        return df.withColumn("beam", F.row_number().over(order))
+        return df.withColumn("beam", beam)
     out = taken[0]
     for part in taken[1:]:
         out = out.unionByName(part)

@@ -44,6 +44,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table read many times: computed once, broadcast when its counted size allows."""
+    return small(cut(df))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
