@@ -19,7 +19,7 @@ from caseloom.operators.flow import (
     replay,
     sync_events,
 )
-from caseloom.session import small
+from caseloom.session import cut, small
 from caseloom.sources.logs import events_log, items_log, orders_log, turns_log
 
 
@@ -62,7 +62,7 @@ def item_directly_follows_edges(spark, sf_dir):
     f"WITH {sql.EVENTS}, {edges_sql(0.2)} SELECT 'p_' || source AS place, count(*) AS outgoing FROM kept GROUP BY source HAVING count(*) > 1",
 )
 def decision_place_list(spark, sf_dir):
-    return decision_places(net_from_edges(directly_follows(events_log(spark, sf_dir), 0.2)))
+    return decision_places(net_from_edges(cut(directly_follows(events_log(spark, sf_dir), 0.2))))
 
 
 @query(
@@ -72,7 +72,7 @@ def decision_place_list(spark, sf_dir):
     CASE WHEN target <> 'EOS' THEN target END AS label FROM kept""",
 )
 def incoming_transition_list(spark, sf_dir):
-    return incoming_transitions(net_from_edges(directly_follows(events_log(spark, sf_dir), 0.2)))
+    return incoming_transitions(net_from_edges(cut(directly_follows(events_log(spark, sf_dir), 0.2))))
 
 
 @query(
@@ -82,7 +82,7 @@ def incoming_transition_list(spark, sf_dir):
     FROM kept WHERE target IN (SELECT source FROM dplaces)""",
 )
 def decision_places_after_label(spark, sf_dir):
-    return places_after_label(net_from_edges(directly_follows(events_log(spark, sf_dir), 0.2)))
+    return places_after_label(net_from_edges(cut(directly_follows(events_log(spark, sf_dir), 0.2))))
 
 
 @query(
@@ -93,7 +93,7 @@ def decision_places_after_label(spark, sf_dir):
 )
 def activity_decision_place(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    context = decision_context(net_from_edges(directly_follows(log)))
+    context = decision_context(net_from_edges(cut(directly_follows(log))))
     return log.events.join(small(context), "activity", "left").select("case_id", "pos", "place")
 
 
@@ -105,7 +105,7 @@ def activity_decision_place(spark, sf_dir):
 def markings(spark, sf_dir):
     log = orders_log(spark, sf_dir)
     slim = log.with_events(log.select("case_id", "activity", "pos", "n", "block"))
-    net = net_from_edges(directly_follows(log, 0.92))
+    net = net_from_edges(cut(directly_follows(log, 0.92)))
     return prefix_markings(slim, net).select("case_id", "pos", "marking")
 
 
@@ -118,7 +118,7 @@ def markings(spark, sf_dir):
 )
 def aligned_moves(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    moves = align(log, directly_follows(log))
+    moves = align(log, cut(directly_follows(log)))
     return moves.select("case_id", F.col("pos").alias("seq"), "log_name", "model_name", "log_label", "model_label")
 
 
@@ -131,7 +131,7 @@ def aligned_moves(spark, sf_dir):
 )
 def aligned_moves_filtered_net(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    moves = align(log, directly_follows(log, 0.92)).events.where("event_pos is not null")
+    moves = align(log, cut(directly_follows(log, 0.92))).events.where("event_pos is not null")
     return moves.select("case_id", "pos", "log_label", "model_name")
 
 
@@ -148,7 +148,7 @@ DECISIONS = f"""steps AS (SELECT case_id, pos - 1 AS sync_index, coalesce(lag(ac
 )
 def decision_records(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    edges = directly_follows(log)
+    edges = cut(directly_follows(log))
     return decisions(align(log, edges), net_from_edges(edges)).drop("block")
 
 
@@ -159,7 +159,7 @@ def decision_records(spark, sf_dir):
 )
 def replayed_decision_records(spark, sf_dir):
     log = turns_log(spark, sf_dir)
-    edges = directly_follows(log)
+    edges = cut(directly_follows(log))
     return replay(align(log, edges), net_from_edges(edges))
 
 
@@ -172,4 +172,4 @@ def replayed_decision_records(spark, sf_dir):
 )
 def synchronous_events(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    return sync_events(align(log, directly_follows(log, 0.92))).drop("block")
+    return sync_events(align(log, cut(directly_follows(log, 0.92)))).drop("block")

@@ -28,7 +28,7 @@ from caseloom.operators.mine import (
     stratified_holdout,
 )
 from caseloom.operators.label import place_diagnostics
-from caseloom.session import scratch_path
+from caseloom.session import cut, scratch_path
 from caseloom.sources.logs import events_log, orders_log, planted_log, turns_log
 
 TRAINED = f"{edges_sql(0.0)}, {PLACES}, {DECISIONS}, {sql.SPLIT}"
@@ -60,7 +60,7 @@ STATE = f"""hist AS (SELECT *, list(o_orderstatus) {EARLIER} AS h, avg(o_totalpr
 )
 def decision_samples(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    edges = directly_follows(log)
+    edges = cut(directly_follows(log))
     records = decisions(align(log, edges), net_from_edges(edges))
     rows = samples(records, log, ["o_orderstatus"], ["o_totalprice"], ["c_mktsegment"])
     return rows.select(
@@ -119,7 +119,7 @@ def labeller_feature_state(spark, sf_dir):
 )
 def holdout(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    edges = directly_follows(log)
+    edges = cut(directly_follows(log))
     records = decisions(align(log, edges), net_from_edges(edges))
     return stratified_holdout(records, ["case_id", "place", "ord"]).select("case_id", "place", "ord", "holdout")
 
@@ -141,7 +141,7 @@ def place_priors(spark, sf_dir):
 )
 def weights(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    edges = directly_follows(log)
+    edges = cut(directly_follows(log))
     return class_weights(decisions(align(log, edges), net_from_edges(edges))).withColumn("weight", r6("weight"))
 
 
@@ -236,7 +236,7 @@ def mined_models(spark, sf_dir, make, dyn_cat, dyn_num, sta_cat=()):
     if key not in _MINED:
         log = make(spark, sf_dir)
         log = with_split(log, split_cases(log.events))
-        edges = directly_follows(log)
+        edges = cut(directly_follows(log))
         net = net_from_edges(edges)
         records = decisions(align(log, edges), net)
         split = log.events.where("pos = 1").select("case_id", "split")

@@ -44,7 +44,7 @@ from caseloom.operators.predict import (
     start_state_features,
     with_limit,
 )
-from caseloom.session import scratch_path, small
+from caseloom.session import cut, scratch_path, small
 from caseloom.sources.logs import orders_log, turns_log
 from caseloom.sources.reader import read_table, write_table
 
@@ -251,7 +251,7 @@ SUPPORTED = "supp AS (SELECT place, list_sort(list(label)) AS labels FROM prior
 def guided_setup(spark, sf_dir, cfg=CFG, extra=()):
     """Limited test prefixes, model, prior decisions."""
     log, train, model, pairs, steps = prepared(spark, sf_dir, orders_log, extra)
-    edges = directly_follows(log)
+    edges = cut(directly_follows(log))
     net = net_from_edges(edges)
     split = log.events.where("pos = 1").select("case_id", "split")
     records = decisions(align(log, edges), net).join(split, "case_id")

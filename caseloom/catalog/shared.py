@@ -12,7 +12,7 @@ from caseloom.operators.flow import Net, align, decisions, directly_follows, net
 from caseloom.operators.label import label_events
 from caseloom.operators.mine import distributions, priors
 from caseloom.operators.ordering import EventLog, settle
-from caseloom.session import small
+from caseloom.session import cut, small
 from caseloom.sources.logs import orders_log
 
 
@@ -31,7 +31,7 @@ class Mined:
 def mined_priors(spark, sf_dir, make=orders_log, threshold: float = 0.0) -> Mined:
     log = make(spark, sf_dir)
     log = settle(with_split(log, split_cases(log.events)))
-    edges = directly_follows(log, threshold)
+    edges = cut(directly_follows(log, threshold))
     net = net_from_edges(edges)
     records = decisions(align(log, edges), net)
     split = log.events.where("pos = 1").select("case_id", "split")

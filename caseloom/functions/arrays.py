@@ -19,17 +19,27 @@ def pad_left(values: Column, window: int, fill: Column) -> Column:
     return F.concat(F.array_repeat(fill, window - F.size(kept)), kept)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ones_then_zeros(ones: Column, size: Column) -> Column:
+    return F.concat(F.array_repeat(F.lit(1), ones.cast("int")), F.array_repeat(F.lit(0), (size - ones).cast("int")))
+
+
 def eos_mask(values: Column, eos) -> Column:
     """1 up to and including the first end marker, 0 after it."""
     first = F.array_position(values, eos)
-    return F.transform(values, lambda _, i: F.when((first == 0) | (i < first), 1).otherwise(0))
+    return _ones_then_zeros(F.when(first > 0, first).otherwise(F.size(values)), F.size(values))
 
 
 def zero_mask(ids: Column) -> Column:
     """1 from the first position that is not padding."""
     real = F.transform(ids, lambda x: x != 0)
     first = F.array_position(real, True)
-    return F.transform(ids, lambda _, i: F.when((first > 0) & (i >= first - 1), 1).otherwise(0))
+    pads = F.when(first > 0, first - 1).otherwise(F.size(ids)).cast("int")
+    return F.concat(F.array_repeat(F.lit(0), pads), F.array_repeat(F.lit(1), F.size(ids) - pads))
 
 
 def total(mask: Column) -> Column:

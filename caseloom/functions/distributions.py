@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseloom.functions.arrays import bind
+
 
 @dataclass(frozen=True)
 class Guidance:
@@ -65,7 +67,6 @@ def reweight(dist: Column, z: Column, step: Column, cfg: Guidance, classes: Colu
     Left alone: no decision, step beyond the limit, an undecided decision
     model, an already certain base model, no strength, no remaining mass.
     """
-    beta = F.lit(float(cfg.beta_max)) * F.exp(F.lit(-float(cfg.alpha)) * step)
     apply = z.isNotNull() & (F.size(z) > 0)
     if cfg.max_guided_steps is not None:
         apply = apply & (step <= cfg.max_guided_steps)
@@ -77,13 +78,16 @@ def reweight(dist: Column, z: Column, step: Column, cfg: Guidance, classes: Colu
     if cfg.beta_max <= 0:
         return dist
     eps = F.lit(float(cfg.epsilon))
-    weighted = F.transform_values(
-        dist, lambda a, p: p * F.pow(eps + (1 - eps) * F.coalesce(z[a], F.lit(0.0)), beta)
+    strength = F.lit(float(cfg.beta_max)) * F.exp(F.lit(-float(cfg.alpha)) * step)
+    weighted = bind(
+        strength,
+        lambda beta: F.transform_values(
+            dist, lambda a, p: p * F.pow(eps + (1 - eps) * F.coalesce(z[a], F.lit(0.0)), beta)
+        ),
     )
-    # the mass is computed once and then shared by every entry
-    scaled = F.get(
-        F.transform(F.array(mass(weighted)), lambda norm: F.when(norm > 0, F.transform_values(weighted, lambda _, p: p / norm))),
-        F.lit(0),
+    scaled = bind(
+        weighted,
+        lambda w: bind(mass(w), lambda norm: F.when(norm > 0, F.transform_values(w, lambda _, p: p / norm))),
     )
     return F.when(apply, F.coalesce(scaled, dist)).otherwise(dist)
 
@@ -121,7 +125,8 @@ def uniform(*parts: Column) -> Column:
 
 def pick(entries: Column, u: Column) -> Column:
     """Inverse-CDF choice from entries with running sums ``cum``; the last one closes the gap."""
-    return F.coalesce(F.get(F.filter(entries, lambda e: e["cum"] > u), F.lit(0)), F.element_at(entries, -1))
+    hit = bind(u, lambda x: F.get(F.filter(entries, lambda e: e["cum"] > x), F.lit(0)))
+    return F.coalesce(hit, F.element_at(entries, -1))
 
 
 def normal(u1: Column, u2: Column) -> Column:

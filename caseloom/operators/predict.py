@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.arrays import upto_eos
+from caseloom.functions.arrays import bind, upto_eos
 from caseloom.functions.distributions import (
     Guidance,
     is_conflict,
     normal,
+    pick as pick_entry,
     reweight,
     supported,
     top_probability,
@@ -340,8 +341,7 @@ def decode_steps(
     else:
         u = uniform(*[F.col(k) for k in draw_keys], F.col("step"), F.lit(seed))
         if decisions is None:
-            hit = F.coalesce(F.get(F.filter("entries", lambda e: e["cum"] > u), F.lit(0)), F.element_at("entries", -1))
-            chosen = F.struct(hit["label"].alias("label"), hit["p"].alias("p"))
+            chosen = F.when(F.col("entries").isNotNull(), pick_entry(F.col("entries"), u))
         else:
             chosen = draw(F.col("dist"), u)
     chosen = F.when(~F.col("done"), chosen)
@@ -358,14 +358,17 @@ def decode_steps(
 def draw(dist: Column, u: Column) -> Column:
     """Inverse-CDF draw from a distribution in ranked order."""
     ranked = _ranked(dist)
-    state = F.aggregate(
-        ranked,
-        F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("p")),
-        lambda acc, e: F.when(
-            acc["cum"] > u, acc
-        ).otherwise(F.struct((acc["cum"] + e["p"]).alias("cum"), e["label"].alias("label"), e["p"].alias("p"))),
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("p"))
+    return bind(
+        u,
+        lambda x: F.aggregate(
+            ranked,
+            start,
+            lambda acc, e: F.when(acc["cum"] > x, acc).otherwise(
+                F.struct((acc["cum"] + e["p"]).alias("cum"), e["label"].alias("label"), e["p"].alias("p"))
+            ),
+        ),
     )
-    return F.struct(state["label"].alias("label"), state["p"].alias("p"))
 
 
 def decode_beams(
@@ -496,6 +499,14 @@ def sample_number(mean: Column, std: Column, keys: Sequence[Column]) -> Column:
     return mean + std * normal(uniform(*keys, F.lit("u1")), uniform(*keys, F.lit("u2")))
 
 
+def _value_counts(values: Column) -> Column:
+    """``n, first, v`` per distinct value; ``first`` falls with later first sight."""
+    return F.transform(
+        F.array_distinct(values),
+        lambda v, i: F.struct(F.size(F.filter(values, lambda y: y == v)).alias("n"), (-i).alias("first"), v.alias("v")),
+    )
+
+
 def start_state_features(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
     """Data state of a prefix from its attribute lists, as columns that can be rolled.
 
@@ -508,10 +519,7 @@ def start_state_features(df: DataFrame, cats: Sequence[str], nums: Sequence[str]
         cols[f"{c}_n"] = F.size(earlier)
     for c in cats:
         earlier = F.filter(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x.isNotNull())
-        cols[f"{c}_counts"] = F.transform(
-            F.array_distinct(earlier),
-            lambda v, i: F.struct(F.size(F.filter(earlier, lambda y: y == v)).alias("n"), (-i).alias("first"), v.alias("v")),
-        )
+        cols[f"{c}_counts"] = bind(earlier, _value_counts)
     df = df.withColumns(cols)
     df = df.withColumns({c: F.element_at(c, -1) for c in [*nums, *cats]})
     return with_summaries(df, cats, nums)
