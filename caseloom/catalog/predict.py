@@ -242,10 +242,13 @@ def stored_decoded_rows(spark, sf_dir):
 
 # --- guidance ------------------------------------------------------------------
 
-CFG = Guidance(support_threshold=0.2)
+# Five activities share the steps of the order log about evenly, so a threshold just
+# under a fifth splits each branch list into supported and unsupported ones.
+TAU = 0.18
+CFG = Guidance(support_threshold=TAU)
 PLACE_RULES = f"{edges_sql(0.0)}, {PLACES}, {DECISIONS}"
 GUIDED_BASE = f"{PLACE_RULES}, {BASE}, {PRIORS}"
-SUPPORTED = "supp AS (SELECT place, list_sort(list(label)) AS labels FROM prior WHERE p >= 0.2 GROUP BY place)"
+SUPPORTED = f"supp AS (SELECT place, list_sort(list(label)) AS labels FROM prior WHERE p >= {TAU} GROUP BY place)"
 
 
 def guided_setup(spark, sf_dir, cfg=CFG, extra=()):
@@ -284,7 +287,7 @@ def reweighted_distributions(spark, sf_dir):
     )
 
 
-GATED = Guidance(support_threshold=0.2, min_base_entropy=0.97, min_decision_confidence=0.19, max_guided_steps=1)
+GATED = Guidance(support_threshold=TAU, min_base_entropy=0.97, min_decision_confidence=0.19, max_guided_steps=1)
 
 
 @query(
@@ -319,7 +322,7 @@ def decision_conflicts(spark, sf_dir):
     m = mined_priors(spark, sf_dir)
     nexts = next_event_rows(m.log).events.where("next_activity <> 'EOS'")
     z = m.z.withColumn("activity", F.expr("substring(place, 3)"))
-    rows = nexts.join(small(z), "activity", "left").withColumn("support", supported(F.col("z"), 0.2))
+    rows = nexts.join(small(z), "activity", "left").withColumn("support", supported(F.col("z"), TAU))
     return rows.select(
         "case_id", "pos", F.coalesce(F.array_join("support", ","), F.lit("")).alias("supported"),
         F.coalesce(is_conflict(F.col("next_activity"), F.col("support")), F.lit(False)).alias("conflict"),
@@ -508,7 +511,7 @@ OBSERVED_STATUS = f"""{TRAINED}, {PRIORS}, {SUPPORTED}, {OBSERVED}, told AS (SEL
 def observed_reasoning(spark, sf_dir):
     steps, rules = observed_steps(spark, sf_dir)
     z = mined_priors(spark, sf_dir).z
-    rows = steps.join(small(z), "place", "left").withColumn("supported", supported(F.col("z"), 0.2))
+    rows = steps.join(small(z), "place", "left").withColumn("supported", supported(F.col("z"), TAU))
     rows = rows.withColumns(
         {
             "conflict": F.coalesce(is_conflict(F.col("label"), F.col("supported")), F.lit(False)),

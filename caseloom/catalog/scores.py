@@ -16,6 +16,7 @@ from caseloom.catalog.predict import (
     GUIDED_SQL,
     SAMPLES,
     SUPPORTED,
+    TAU,
     guided_setup,
     guided_walk,
     observed_reasoning,
@@ -340,14 +341,14 @@ def cross_entropy_score(spark, sf_dir):
     "K22",
     f"""WITH {sql.ORDERS}, {GUIDED_BASE}, {SUPPORTED}, {NEXTS}, held AS (SELECT case_id, pos, labels, nxt, sum(CASE WHEN list_contains(labels, label) THEN p ELSE 0 END) AS mass
       FROM looked JOIN supp ON place = 'p_' || activity JOIN mdl ON mdl.ctx = looked.ctx GROUP BY ALL)
-    SELECT round(avg(-ln(greatest(mass, 1e-12))), 6) AS semantic_loss, round(avg(-ln(greatest(mass, 1e-12))) FILTER (WHERE list_contains(labels, nxt)), 6) AS supported_only FROM held""",
+    SELECT round(coalesce(avg(-ln(greatest(mass, 1e-12))), 0), 6) AS semantic_loss, round(coalesce(avg(-ln(greatest(mass, 1e-12))) FILTER (WHERE list_contains(labels, nxt)), 0), 6) AS supported_only FROM held""",
 )
 def semantic_loss_score(spark, sf_dir):
     from caseloom.catalog.shared import mined_priors
 
     _, _, rows = next_rows(spark, sf_dir)
     z = mined_priors(spark, sf_dir).z.withColumn("activity", F.expr("substring(place, 3)"))
-    rows = rows.join(settled(z), "activity", "left").withColumn("support", supported(F.col("z"), 0.2))
+    rows = rows.join(settled(z), "activity", "left").withColumn("support", supported(F.col("z"), TAU))
     loss = semantic_loss(F.col("p"), F.col("support"))
     labelled = F.col("z").isNotNull() & (F.size("support") > 0)
     return rows.agg(
