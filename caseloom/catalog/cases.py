@@ -31,7 +31,7 @@ from caseloom.operators.cases import (
 )
 from caseloom.operators.encode import encode_column, vocabulary
 from caseloom.operators.ordering import EventLog
-from caseloom.sources.logs import events_log, items_log, orders_log, turns_log
+from caseloom.sources.logs import events_log, items_log, orders_flow, orders_log, turns_log
 
 ENDED = """ended AS (SELECT case_id, list_concat(acts, ['EOS','EOS','EOS','EOS','EOS']) AS acts FROM lists)"""
 # Windows of labels: 6..n+5 of the case with end rows, left padded with null to w.
@@ -45,7 +45,7 @@ VOCAB = """vocab AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM
 
 def coded_windows(spark, sf_dir):
     """Windows of activity ids over the order log, with their label form."""
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     window = window_size(log, 5)
     ended = add_end_rows(log, 5)
     vocab = vocabulary(ended.events, "activity")
@@ -65,7 +65,7 @@ def coded_windows(spark, sf_dir):
     FROM log GROUP BY case_id""",
 )
 def case_table(spark, sf_dir):
-    rows = case_rows(orders_log(spark, sf_dir), ["activity", "o_orderstatus", "o_totalprice"])
+    rows = case_rows(orders_flow(spark, sf_dir), ["activity", "o_orderstatus", "o_totalprice"])
     return rows.select(
         "case_id",
         joined("activity").alias("activities"),
@@ -123,7 +123,7 @@ def end_rows(spark, sf_dir):
     f"WITH {sql.ORDERS}, {sql.SPLIT} SELECT split, case_id, count(*) AS events FROM log JOIN split USING (case_id) GROUP BY ALL",
 )
 def case_split(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     return with_split(log, split_cases(log.events)).events.groupBy("split", "case_id").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -187,7 +187,7 @@ def long_prefixes(spark, sf_dir):
        ids[greatest(1, len(ids) - 11):]), lambda v: CAST(v AS VARCHAR)), '>') AS padded FROM lists""",
 )
 def padded_cases(spark, sf_dir):
-    rows = case_rows(orders_log(spark, sf_dir), ["tie"])
+    rows = case_rows(orders_flow(spark, sf_dir), ["tie"])
     padded = pad_left(F.col("tie"), 12, F.lit(0).cast("bigint"))
     return rows.select("case_id", F.array_join(padded, ">").alias("padded"))
 
@@ -222,7 +222,7 @@ def window_masks(spark, sf_dir):
     SELECT case_id, prefix_len, {sql.arrow("prefix")} AS prefix, {sql.arrow("target_suffix")} AS target_suffix FROM pairs""",
 )
 def prefix_suffix_cuts(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     pairs = prefix_suffix_pairs(log, window_size(log, 5), 5)
     return pairs.select(
         "case_id", i64("prefix_len").alias("prefix_len"), joined("prefix").alias("prefix"), joined("target_suffix").alias("target_suffix")
@@ -281,7 +281,7 @@ def next_event_pairs(spark, sf_dir):
     {sql.arrow("list_filter(win, lambda x: x IS NOT NULL)")} AS active FROM windows""",
 )
 def visible_activities(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     window = window_size(log, 5)
     rows = window_rows(log, ["activity"], window, 5)
     padded = pad_left(F.col("activity"), window, F.lit(None).cast("string"))

@@ -20,7 +20,7 @@ from caseloom.operators.flow import (
     sync_events,
 )
 from caseloom.session import cut, small
-from caseloom.sources.logs import events_log, items_log, orders_log, turns_log
+from caseloom.sources.logs import events_log, items_log, orders_flow, orders_log, turns_log
 
 
 def edges_sql(threshold: float) -> str:
@@ -92,7 +92,7 @@ def decision_places_after_label(spark, sf_dir):
     FROM log LEFT JOIN dplaces d ON d.source = activity""",
 )
 def activity_decision_place(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     context = decision_context(net_from_edges(cut(directly_follows(log))))
     return log.events.join(small(context), "activity", "left").select("case_id", "pos", "place")
 
@@ -103,7 +103,7 @@ def activity_decision_place(spark, sf_dir):
     f"""WITH RECURSIVE {sql.ORDERS}, {edges_sql(0.92)}, {WALK} SELECT case_id, pos, 'p_' || state || ':1' AS marking FROM walk""",
 )
 def markings(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     slim = log.with_events(log.select("case_id", "activity", "pos", "n", "block"))
     net = net_from_edges(cut(directly_follows(log, 0.92)))
     return prefix_markings(slim, net).select("case_id", "pos", "marking")
@@ -117,7 +117,7 @@ def markings(spark, sf_dir):
     UNION ALL SELECT case_id, n + 1, '>>', activity || '>EOS', NULL, NULL FROM log WHERE pos = n""",
 )
 def aligned_moves(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     moves = align(log, cut(directly_follows(log)))
     return moves.select("case_id", F.col("pos").alias("seq"), "log_name", "model_name", "log_label", "model_label")
 
@@ -130,7 +130,7 @@ def aligned_moves(spark, sf_dir):
     FROM walk LEFT JOIN kept k ON k.source = state_before AND k.target = activity""",
 )
 def aligned_moves_filtered_net(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     moves = align(log, cut(directly_follows(log, 0.92))).events.where("event_pos is not null")
     return moves.select("case_id", "pos", "log_label", "model_name")
 
@@ -147,7 +147,7 @@ DECISIONS = f"""steps AS (SELECT case_id, pos - 1 AS sync_index, coalesce(lag(ac
     f"WITH {sql.ORDERS}, {edges_sql(0.0)}, {PLACES}, {DECISIONS} SELECT case_id, place, sync_index, target, resolved_by, ord FROM records",
 )
 def decision_records(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     edges = cut(directly_follows(log))
     return decisions(align(log, edges), net_from_edges(edges)).drop("block")
 
@@ -171,5 +171,5 @@ def replayed_decision_records(spark, sf_dir):
     FROM walk JOIN kept k ON k.source = state_before AND k.target = activity""",
 )
 def synchronous_events(spark, sf_dir):
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     return sync_events(align(log, cut(directly_follows(log, 0.92)))).drop("block")

@@ -23,7 +23,7 @@ from caseloom.operators.label import (
     weighted_accuracy,
 )
 from caseloom.operators.mine import distributions, priors
-from caseloom.sources.logs import events_log, items_log, orders_log, turns_log
+from caseloom.sources.logs import events_log, items_log, orders_flow, orders_log, turns_log
 
 # The decision after an event is the one at the place of its activity.
 LABELLED = """labelled AS (SELECT log.case_id, log.pos, log.n, log.activity, zt.place, zt.z FROM log LEFT JOIN zt ON zt.place = 'p_' || log.activity)"""
@@ -142,7 +142,7 @@ def shown(diag):
 )
 def decision_place_report(spark, sf_dir):
     """One pass over the ordered log: count next steps per activity, then judge the usual one."""
-    log = orders_log(spark, sf_dir)
+    log = orders_flow(spark, sf_dir)
     nexts = next_event_rows(log).events
     counts = nexts.groupBy(
         F.concat(F.lit("p_"), "activity").alias("place"), F.col("next_activity").alias("target")

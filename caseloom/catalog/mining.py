@@ -28,6 +28,7 @@ from caseloom.operators.mine import (
     stratified_holdout,
 )
 from caseloom.operators.label import place_diagnostics
+from caseloom.operators.ordering import join_cases, settle
 from caseloom.session import cut, scratch_path
 from caseloom.sources.logs import events_log, orders_log, planted_log, turns_log
 
@@ -235,12 +236,12 @@ def mined_models(spark, sf_dir, make, dyn_cat, dyn_num, sta_cat=()):
     key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
     if key not in _MINED:
         log = make(spark, sf_dir)
-        log = with_split(log, split_cases(log.events))
+        log = settle(with_split(log, split_cases(log.events)))
         edges = cut(directly_follows(log))
         net = net_from_edges(edges)
-        records = decisions(align(log, edges), net)
         split = log.events.where("pos = 1").select("case_id", "split")
-        rows = samples(records, log, dyn_cat, dyn_num, sta_cat).join(split, "case_id")
+        records = join_cases(decisions(align(log, edges), net), split, log.spans)
+        rows = samples(records, log, dyn_cat, dyn_num, sta_cat)
         cats, nums = feature_names(dyn_cat, dyn_num, sta_cat)
         result = mine(spark, rows.where("split <> 'test'").drop("split"), net, cats, nums, SMALL_MODELS)
         _MINED[key] = (log, net, rows, result)

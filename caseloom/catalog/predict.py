@@ -27,7 +27,7 @@ from caseloom.operators.guide import (
     state_decisions,
     tree_scorer,
 )
-from caseloom.operators.ordering import settle
+from caseloom.operators.ordering import join_cases, settle
 from caseloom.operators.mine import distributions, feature_state, guards, prior_guards, priors
 from caseloom.operators.predict import (
     attach_state,
@@ -257,7 +257,7 @@ def guided_setup(spark, sf_dir, cfg=CFG, extra=()):
     edges = cut(directly_follows(log))
     net = net_from_edges(edges)
     split = log.events.where("pos = 1").select("case_id", "split")
-    records = decisions(align(log, edges), net).join(split, "case_id")
+    records = join_cases(decisions(align(log, edges), net), split, log.spans)
     table = priors(records.where("split = 'train'"))
     decide = fixed_decisions(decision_context(net), distributions(table), cfg)
     return model, pairs, steps, decide, table

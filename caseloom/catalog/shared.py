@@ -11,7 +11,7 @@ from caseloom.operators.cases import split_cases, with_split
 from caseloom.operators.flow import Net, align, decisions, directly_follows, net_from_edges
 from caseloom.operators.label import label_events
 from caseloom.operators.mine import distributions, priors
-from caseloom.operators.ordering import EventLog, settle
+from caseloom.operators.ordering import EventLog, join_cases, settle
 from caseloom.session import cut, small
 from caseloom.sources.logs import orders_log
 
@@ -35,7 +35,7 @@ def mined_priors(spark, sf_dir, make=orders_log, threshold: float = 0.0) -> Mine
     net = net_from_edges(edges)
     records = decisions(align(log, edges), net)
     split = log.events.where("pos = 1").select("case_id", "split")
-    records = records.join(split, "case_id")
+    records = join_cases(records, split, log.spans)
     table = priors(records.where("split = 'train'"))
     return Mined(log, edges, net, records, table, distributions(table))
 

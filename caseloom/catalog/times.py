@@ -15,7 +15,7 @@ from caseloom.operators.features import (
     since_earlier_event,
     since_last_row,
 )
-from caseloom.sources.logs import events_log, items_log, orders_log, table
+from caseloom.sources.logs import events_log, items_log, orders_flow, orders_log, table
 
 START_SQL = "round((us - min(us) OVER (PARTITION BY case_id)) / 1e6, 6)"
 EARLIER_SQL = """round((us - max(us) OVER (PARTITION BY case_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 1e6, 6)"""
@@ -23,7 +23,7 @@ EARLIER_SQL = """round((us - max(us) OVER (PARTITION BY case_id ORDER BY us RANG
 
 @query("seconds_since_case_start", "C1 C5", f"WITH {sql.ORDERS} SELECT case_id, pos, {START_SQL} AS case_elapsed_time FROM log")
 def seconds_since_case_start(spark, sf_dir):
-    df = since_case_start(orders_log(spark, sf_dir)).events
+    df = since_case_start(orders_flow(spark, sf_dir)).events
     return df.select("case_id", "pos", r6("case_elapsed_time").alias("case_elapsed_time"))
 
 
@@ -52,7 +52,7 @@ def longest(spark, sf_dir):
     f"WITH {sql.ORDERS} SELECT case_id, pos, {EARLIER_SQL} AS event_elapsed_time FROM log",
 )
 def seconds_since_earlier_event(spark, sf_dir):
-    df = since_earlier_event(orders_log(spark, sf_dir)).events
+    df = since_earlier_event(orders_flow(spark, sf_dir)).events
     return df.select("case_id", "pos", r6("event_elapsed_time").alias("event_elapsed_time"))
 
 

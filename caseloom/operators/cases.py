@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.arrays import visible
 from caseloom.functions.text import EOS
-from caseloom.operators.ordering import CASE, EventLog, around
+from caseloom.operators.ordering import CASE, EventLog, around, join_cases
 from caseloom.session import block_size, cut
 
 SPLIT_SEED = 17
@@ -112,10 +112,7 @@ def split_cases(
 
 def with_split(log: EventLog, splits: DataFrame) -> EventLog:
     """Attach the split; hot cases meet their split per block."""
-    if not log.spans:
-        return log.with_events(log.events.join(splits, CASE))
-    keyed = log.events.select(CASE, "block").distinct().join(splits, CASE)
-    return log.with_events(log.events.join(keyed, [CASE, "block"]))
+    return log.with_events(join_cases(log.events, splits, log.spans))
 
 
 def only_split(log: EventLog, *names: str) -> EventLog:
@@ -149,11 +146,7 @@ def prefix_rows(
     )
     if not statics:
         return rows.drop("block")
-    values = static_values(log, statics)
-    if log.spans:
-        keyed = log.events.select(CASE, "block").distinct().join(values, CASE)
-        return rows.join(keyed, [CASE, "block"]).drop("block")
-    return rows.join(values, CASE).drop("block")
+    return join_cases(rows, static_values(log, statics), log.spans).drop("block")
 
 
 def window_rows(log: EventLog, columns: Sequence[str], window: int, min_suffix: int) -> DataFrame:

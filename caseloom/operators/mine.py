@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from caseloom.functions.text import EOS, rule_text, threshold_text, unscale, value_text
 from caseloom.operators.encode import MISSING, feature_encoder, ready_features
@@ -164,7 +165,7 @@ def class_weights(records: DataFrame) -> DataFrame:
 
 def rank_in_group(df: DataFrame, groups: Sequence[str], draw: str, out: str) -> DataFrame:
     """Rank by a hash text inside each group; large groups are ranked in hash buckets."""
-    bucketed = df.withColumn("_bucket", F.substring(draw, 1, 3))
+    bucketed = df.withColumn("_bucket", F.substring(draw, 1, 4))
     sizes = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
@@ -248,8 +249,6 @@ def _place_as_text(spark: SparkSession, path: str):
     schema = spark.read.parquet(path).schema
     for f in schema.fields:
         if f.name == "place":
-            from pyspark.sql.types import StringType
-
             f.dataType = StringType()
     return schema
 
@@ -259,7 +258,7 @@ def _fit_place(rows: DataFrame, place: str, table: list, cats: list[str], nums:
     model = PlaceModel(
         place, "prior", labels, {r["label"]: r["p"] for r in table}, sum(r["support"] for r in table)
     )
-    spread = rows.agg(*[(F.countDistinct(c) > 1).alias(c) for c in [*cats, *nums]]).first()
+    spread = rows.agg(*[(F.min(c) != F.max(c)).alias(c) for c in [*cats, *nums]]).first()
     if len(labels) < 2 or not any(spread):
         return model
     encoder = feature_encoder(cats, nums).fit(rows)

@@ -99,8 +99,8 @@ def sequence_log(
 def settle(log: EventLog) -> EventLog:
     """Compute the numbered log once for several readers.
 
-    The checkpoint keeps the partitioning by case and the order inside cases,
-    so windows on it neither shuffle nor sort again.
+    They start from the checkpointed copy instead of scanning, joining and
+    numbering the raw log again.
     """
     return log.with_events(cut(log.events))
 
@@ -132,8 +132,7 @@ def per_case(log: EventLog, **aggs: Column) -> EventLog:
             log.events.withColumns({name: agg.over(window) for name, agg in aggs.items()})
         )
     totals = log.events.groupBy(CASE).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    keyed = log.events.select(CASE, "block").distinct().join(totals, CASE)
-    return log.with_events(log.events.join(keyed, [CASE, "block"]))
+    return log.with_events(join_cases(log.events, totals, True))
 
 
 _MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -147,6 +146,18 @@ def _fold(kind: str, value: Column) -> Column:
     return _MERGE[kind](value)
 
 
+def join_cases(df: DataFrame, table: DataFrame, spans: bool) -> DataFrame:
+    """Inner join of rows with one row per case.
+
+    When cases span blocks the table is first spread over (case, block), so a
+    case with very many rows meets its row in many tasks.
+    """
+    if not spans or "block" not in df.columns:
+        return df.join(table, CASE)
+    keyed = df.select(CASE, "block").distinct().join(table, CASE)
+    return df.join(keyed, [CASE, "block"])
+
+
 def running(
     log: EventLog,
     specs: Mapping[str, tuple[str, str]],

@@ -53,7 +53,7 @@ from caseloom.operators.mine import (
     save_results,
     synced,
 )
-from caseloom.operators.ordering import CASE, EventLog, settle
+from caseloom.operators.ordering import CASE, EventLog, join_cases, settle
 from caseloom.operators.predict import (
     NextModel,
     attribute_model,
@@ -121,7 +121,7 @@ def mine_and_label(base: BaseData, config: ModelConfig | None = None) -> Decisio
     spark = log.events.sparkSession
     moves = align(log, base.edges)
     splits = log.events.where("pos = 1").select(CASE, "split")
-    records = cut(decisions(moves, base.net).join(splits, CASE))
+    records = cut(join_cases(decisions(moves, base.net), splits, log.spans))
     visible = synced(log, base.edges)
     rows = samples(records, visible, log.dyn_cat, log.dyn_num, log.sta_cat, log.sta_num)
     cats, nums = feature_names(log.dyn_cat, log.dyn_num, log.sta_cat, log.sta_num)

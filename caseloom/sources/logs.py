@@ -16,7 +16,7 @@ def micros(col: str):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def orders_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_rows(spark: SparkSession, sf_dir: str, statics: bool = True) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("case_id"),
         F.col("o_custkey"),
@@ -26,6 +26,8 @@ def orders_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         "o_totalprice",
     )
+    if not statics:
+        return orders.drop("o_custkey")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_acctbal"
     )
@@ -43,6 +45,13 @@ def orders_log(spark: SparkSession, sf_dir: str) -> EventLog:
     )
 
 
+def orders_flow(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The order log without customer attributes: one scan, no join."""
+    return sequence_log(
+        orders_rows(spark, sf_dir, statics=False), ["us", "tie"], dyn_cat=["o_orderstatus"], dyn_num=["o_totalprice"]
+    )
+
+
 def events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("case_id"),
