@@ -29,6 +29,7 @@ from caseloom.operators.encode import (
 )
 from caseloom.operators.features import since_case_start
 from caseloom.operators.ordering import EventLog
+from caseloom.session import small
 from caseloom.sources.logs import events_log, orders_log
 
 NUMS = ("o_totalprice", "case_elapsed_time")
@@ -78,7 +79,7 @@ def category_vocabulary(spark, sf_dir):
     log = orders_log(spark, sf_dir)
     df = log.events.select(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"))
     classes = class_count(df, "segment").select("col", "classes")
-    out = vocabulary(df, "segment").join(F.broadcast(classes), "col")
+    out = vocabulary(df, "segment").join(small(classes), "col")
     return out.select("label", i64("id").alias("id"), i64("classes").alias("classes"))
 
 
@@ -208,7 +209,7 @@ def display_values(spark, sf_dir):
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("x")) for k, v in kinds.items()])
     long = log.events.select("case_id", "pos", F.inline(pairs)).withColumn("col", base_feature(F.col("feature")))
-    return long.join(F.broadcast(table), "col", "left")
+    return long.join(small(table), "col", "left")
 
 
 @query(

@@ -29,7 +29,7 @@ from caseloom.operators.mine import (
 )
 from caseloom.operators.label import place_diagnostics
 from caseloom.operators.ordering import join_cases, settle
-from caseloom.session import cut, scratch_path
+from caseloom.session import cut, scratch_path, small
 from caseloom.sources.logs import events_log, orders_log, planted_log, turns_log
 
 TRAINED = f"{edges_sql(0.0)}, {PLACES}, {DECISIONS}, {sql.SPLIT}"
@@ -257,7 +257,7 @@ def place_models(spark, sf_dir):
     _, _, rows, result = planted_models(spark, sf_dir)
     scored = predict(rows.where("split = 'test'"), result)
     kinds = spark.createDataFrame([(p, m.kind, m.rows) for p, m in result.models.items()], "place string, kind string, train_rows bigint")
-    return place_diagnostics(scored).join(F.broadcast(kinds), "place").select(
+    return place_diagnostics(scored).join(small(kinds), "place").select(
         "place", "kind", "train_rows", "support", r6("top1_accuracy").alias("top1"), r6("majority_baseline").alias("majority")
     )
 
@@ -267,7 +267,7 @@ def boosted_place_models(spark, sf_dir):
     _, _, rows, result = mined_models(spark, sf_dir, turns_log, [], ["chars"])
     scored = predict(rows.where("split = 'test'"), result)
     kinds = spark.createDataFrame([(p, m.kind, m.rows) for p, m in result.models.items()], "place string, kind string, train_rows bigint")
-    return place_diagnostics(scored).join(F.broadcast(kinds), "place").select(
+    return place_diagnostics(scored).join(small(kinds), "place").select(
         "place", "kind", "train_rows", "support", r6("top1_accuracy").alias("top1"), r6("majority_baseline").alias("majority")
     )
 

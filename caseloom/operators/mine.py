@@ -481,7 +481,7 @@ def guards(spark: SparkSession, mined: MiningResult) -> DataFrame:
             part = prior_guards(table, mined.config.min_leaf_prob)
         else:
             stats = leaf_statistics(model, stored.where(F.col("place") == place))
-            best = keep_best_rules(stats, model, mined.config).join(F.broadcast(tree_rules(spark, model)), "leaf")
+            best = keep_best_rules(stats, model, mined.config).join(small(tree_rules(spark, model)), "leaf")
             part = best.withColumn("place", F.lit(place)).withColumn(
                 "rule", rule_text(F.col("intervals"), F.col("allowed"), F.col("excluded"))
             )
