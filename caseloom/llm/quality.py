@@ -65,7 +65,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         r = row[at]
         out_row.append(r)
         out_index.append((mix64(values[keep] + np.uint64(group)) >> np.uint64(64 - BITS)).astype(np.int64))
-        out_value.append((8.0 / np.bincount(r))[r])
+        out_value.append(8.0 / np.bincount(r)[r])
     return np.concatenate(out_row), np.concatenate(out_index), np.concatenate(out_value)
 
 
