@@ -29,6 +29,8 @@ from caseloom.llm.pieces import pieces
 from caseloom.llm.spans import slices, span_hashes, text_bytes
 
 NONE = np.int64(1 << 40)
+#: Texts whose pre-tokens share one queue; more would save a few steps for more memory.
+STEP_BYTES = 16 << 20
 
 
 class RankSet:
@@ -261,8 +263,11 @@ class Batch:
 def encode_texts(column: pa.Array, bpe: Bpe) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) for each text of a column."""
     data, off = text_bytes(column)
-    batch = Batch(data, off)
-    return batch.assemble(*bpe.encode(data, batch.starts, batch.ends))
+    for a, b in slices(off, STEP_BYTES):
+        part = data[off[a] : off[b]]
+        batch = Batch(part, off[a : b + 1] - off[a])
+        for k, ids in batch.assemble(*bpe.encode(part, batch.starts, batch.ends)):
+            yield a + k, ids
 
 
 def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

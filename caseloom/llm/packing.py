@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from caseloom.llm.bpe import Batch
-from caseloom.llm.spans import text_bytes
+from caseloom.llm.spans import slices, text_bytes
+from caseloom.llm.tables import stored
 
 K1, B = 1.2, 0.75
 QUERY_TERMS, NEIGHBOURS = 24, 24
-SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
+SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 20
+STEP_BYTES = 8 << 20
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,24 +47,25 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenised(docs: DataFrame, ranks_path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, two min-hash keys and the ids (little-endian unsigned 32-bit) with the end id."""
+def tokenised(docs: DataFrame, ranks_path: str, end_id: int, kind: str, doc_id: str, text: str) -> DataFrame:
+    """doc_id, two min-hash keys and the ids with the end id, as little-endian integers of ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks_path).encode_ordinary
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            parts = Batch(data, off)
-            raw = data.tobytes()
-            distinct = [encode(raw[a:b].decode()) for a, b in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)]
-            count = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-            flat = np.fromiter((x for ids in distinct for x in ids), dtype=np.uint32, count=int(count.sum()))
-            tail = np.array([end_id], dtype="<u4")
-            ids = [np.concatenate((x.astype("<u4"), tail)).tobytes() for _, x in parts.assemble(flat, count)]
-            low, high = min_keys(parts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(low), pa.array(high), pa.array(ids, pa.binary())], ["doc_id", "k1", "k2", "ids"]
-            )
+            for a, b in slices(off, STEP_BYTES):
+                raw = data[off[a] : off[b]]
+                parts = Batch(raw, off[a : b + 1] - off[a])
+                raw = raw.tobytes()
+                distinct = [encode(raw[i:j].decode()) for i, j in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)]
+                count = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
+                flat = np.fromiter((x for ids in distinct for x in ids), dtype=np.uint32, count=int(count.sum()))
+                ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for _, x in parts.assemble(flat, count)]
+                low, high = min_keys(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(low), pa.array(high), pa.array(ids, pa.binary())], ["doc_id", "k1", "k2", "ids"]
+                )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, ids binary")
@@ -193,7 +196,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = 1024, end_id:
         names, docs, tokens = [], [], 0
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+                docs.append(np.frombuffer(ids.as_buffer(), dtype=kind))
                 names.append(name)
                 tokens += len(docs[-1])
                 if len(docs) == SHARD_DOCS or tokens >= SHARD_TOKENS:
@@ -206,7 +209,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = 1024, end_id:
         sequence = TaskContext.get().partitionId() << 40
         for names, docs in shards(batches):
             rows = pack_shard(docs, window)
-            crc = [zlib.crc32(docs[k][a : a + n].tobytes()) for k, a, n, _, _ in rows]
+            crc = [zlib.crc32(docs[k][a : a + n].astype("<u4").tobytes()) for k, a, n, _, _ in rows]
             table = np.array(rows, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -222,6 +225,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = 1024, end_id:
             )
             sequence += int(table[:, 3].max()) + 1
 
-    rows = tokenised(docs, ranks_path, end_id, doc_id, text).withColumn("tie", F.xxhash64("doc_id", "ids"))
+    kind = "<u2" if max(_encoder(ranks_path).n_vocab, end_id + 1) <= 1 << 16 else "<u4"
+    # written once: the ranges are drawn from the keys alone, without tokenising again
+    rows = stored(tokenised(docs, ranks_path, end_id, kind, doc_id, text).withColumn("tie", F.xxhash64("doc_id", "ids")), "token-ids")
     near = rows.repartitionByRange("k1", "k2", "tie").sortWithinPartitions("k1", "k2", "tie", "doc_id")
     return near.select("doc_id", "ids").mapInArrow(run, COLUMNS)
