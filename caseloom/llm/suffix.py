@@ -10,8 +10,9 @@ the difference-cover algorithm over the suffixes that may repeat.
    Half and key decide which task compares them; its context is all their bytes.
 2. Contexts that occur as a whole more than once are settled by counting: each
    string in them repeats. Keys with one context hold no repeat.
-3. The rest, one row per distinct context of a key, go to the key's task. It
-   sorts sampled triples, recurses on their names, merges the remaining suffixes
+3. The rest, one row per distinct context of a key, go to the key's task, which
+   settles eighths of their offsets in the same way. For what is left it sorts
+   sampled triples, recurses on their names, merges the remaining suffixes
    (``suffix_array``) and compares the 400-byte prefixes of adjacent suffixes.
 4. Ranges of repeated starts go back to their documents.
 
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.bpe import spread
 from caseloom.llm.spans import _BYTE, _powers, mix64, slices, text_bytes
 from caseloom.llm.tables import fresh, join_groups, stored, text_of
 
@@ -290,21 +292,63 @@ def sorted_repeats(contexts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of_keys(batches):
-            flat = np.frombuffer(b"".join(r["bytes"] for r in rows), dtype=np.uint8)
-            size = np.array([len(r["bytes"]) for r in rows])
-            base = np.cumsum(size) - size
-            bounds = np.array([starts_in(r) for r in rows])
-            count = np.maximum(bounds[:, 1] - bounds[:, 0] + 1, 0)
-            of = np.repeat(np.arange(len(rows)), count)
-            inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + bounds[of, 0]
-            uid = np.array([r["uid"] for r in rows])
-            place = inside + np.array([r["low"] for r in rows])[of]
-            hit = repeated_starts(flat, base[of] + inside, uid[of], place)
-            yield ranges_batch(uid[of[hit]], place[hit])
+            yield ranges_batch(*batch_repeats(rows))
 
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, RANGE)
 
 
+def batch_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, place) of the repeated starts in the contexts of some whole keys.
+
+    Each context is taken in eighths of its offsets: an eighth whose bytes all
+    occur again is settled, one whose shared bytes occur nowhere else is out, and
+    the distinct rest goes into one suffix array.
+    """
+    flat = np.frombuffer(b"".join(r["bytes"] for r in rows), dtype=np.uint8)
+    size = np.array([len(r["bytes"]) for r in rows])
+    base = np.cumsum(size) - size
+    uid, low = np.array([r["uid"] for r in rows]), np.array([r["low"] for r in rows])
+    near, far = np.array([r["near"] for r in rows]), np.array([r["far"] for r in rows])
+    anchor = np.array([r["anchor"] for r in rows]) - low
+    width = -(-(far - near + 1) // EIGHTHS)
+    ranges, parts = Ranges(flat), []
+    for k in range(EIGHTHS):
+        n = near + k * width
+        f = np.minimum(n + width - 1, far)
+        row = np.flatnonzero((n <= far) & (anchor - n >= 0) & (anchor - f + LENGTH <= size))
+        n, f, a = n[row], f[row], anchor[row]
+        start, stop = np.maximum(0, a - f), np.minimum(size[row], a - n + LENGTH)
+        shared = ranges.of(base[row] + a - n, base[row] + a - f + LENGTH) ^ mix64((n << 16 | f).astype(np.uint64))
+        whole = mix64(ranges.of(base[row] + start, base[row] + stop) ^ mix64(shared + (a - start).astype(np.uint64)))
+        parts.append((row, start, stop, shared, whole))
+    row, start, stop, shared, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(row):
+        return uid[:0], low[:0]
+    _, one, kind, uses = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    _, group = np.unique(shared[one], return_inverse=True)
+    open_group = (np.bincount(group) > 1) & (np.bincount(group, uses == 1) > 0)
+    settled = uses[kind] > 1
+    last = stop - LENGTH
+    count = np.where(settled, np.maximum(last - start + 1, 0), 0)
+    of = np.repeat(np.arange(len(row)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
+    found_uid, found_place = [uid[row[of]]], [place + low[row[of]]]
+    pick = one[open_group[group]]
+    if len(pick):
+        r, first, size_ = row[pick], start[pick], stop[pick] - start[pick]
+        text = spread(flat, base[r] + first, size_)
+        room = np.cumsum(size_) - size_
+        count = np.maximum(size_ - LENGTH + 1, 0)
+        of = np.repeat(np.arange(len(pick)), count)
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        at = inside + first[of] + low[r][of]
+        hit = repeated_starts(text, room[of] + inside, uid[r][of], at)
+        found_uid.append(uid[r][of][hit])
+        found_place.append(at[hit])
+    found = np.unique(np.stack((np.concatenate(found_uid), np.concatenate(found_place))), axis=1)
+    return found[0], found[1]
+
+
 RANGE = "uid long, low long, high long"
 
 
