@@ -37,7 +37,7 @@ from caseloom.llm.tables import remainder, stored
 
 CLASSES = 1 << 15
 END = 0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SEGMENT = 256
 
 BLOCK = "block long, docs array<long>, train binary, sizes binary, codes binary, hashes binary, classes binary, uses binary"
@@ -185,6 +185,12 @@ class Counts:
             self.emit[:, j] += np.bincount(which, gamma[:, j], minlength=CLASSES)
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, one at a time: a row is a block of megabytes."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def coded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token with the ends, and each text's start and size, and training flag."""
     sizes = np.frombuffer(row["sizes"], dtype=np.int32).astype(np.int64)
@@ -206,7 +212,7 @@ def expected(blocks: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(k)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 classes, starts, sizes, train = coded(row)
                 if train.any():
                     counts.add(model, classes, starts[train], sizes[train])
@@ -234,7 +240,7 @@ def first_model(blocks: DataFrame, k: int, seed_docs: int, prior: np.ndarray, ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 classes, starts, sizes, train = coded(row)
                 names = np.array([d if d is not None else -1 for d in row["docs"]], dtype=np.int64)
                 order = mix64(names.astype(np.uint64)) >> np.uint64(1)

@@ -272,8 +272,9 @@ def fit(data: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int = 8, batch
         clean = np.flatnonzero(y[row] == 0)
         some = rng.choice(clean, min(len(clean), len(top)), replace=False) if len(clean) else clean
         chosen = rng.permutation(np.concatenate((top, some)))
-        for low in range(0, len(chosen), batch):
-            at = chosen[low : low + batch]
+        size = int(np.clip(len(chosen) // 40, 8, batch))
+        for low in range(0, len(chosen), size):
+            at = chosen[low : low + size]
             adam.step(net.gradients(*words.only(words.codes(start[at], row[at])), y[row[at]].astype(np.float32)))
         adam.rate *= 0.8
     return net
