@@ -20,6 +20,7 @@ from caseloom.functions.arrays import (
 from caseloom.operators.cases import (
     add_end_rows,
     case_rows,
+    last_rows,
     next_event_rows,
     prefix_rows,
     prefix_suffix_pairs,
@@ -187,7 +188,7 @@ def long_prefixes(spark, sf_dir):
        ids[greatest(1, len(ids) - 11):]), lambda v: CAST(v AS VARCHAR)), '>') AS padded FROM lists""",
 )
 def padded_cases(spark, sf_dir):
-    rows = case_rows(orders_flow(spark, sf_dir), ["tie"])
+    rows = last_rows(orders_flow(spark, sf_dir), ["tie"], 12)
     padded = pad_left(F.col("tie"), 12, F.lit(0).cast("bigint"))
     return rows.select("case_id", F.array_join(padded, ">").alias("padded"))
 

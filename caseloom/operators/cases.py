@@ -39,6 +39,15 @@ def case_rows(log: EventLog, columns: Sequence[str]) -> DataFrame:
     return lists.select(CASE, "segment", *[F.col(f"items.{c}").alias(c) for c in columns])
 
 
+def last_rows(log: EventLog, columns: Sequence[str], count: int) -> DataFrame:
+    """One row per case, of any length: ordered lists of its last ``count`` events."""
+    sizes = log.events.groupBy(CASE).agg(F.max("pos").alias("_n"))
+    block = ["block"] if "block" in log.events.columns else []
+    ends = join_cases(log.events.select(CASE, "pos", *block, *columns), sizes, log.spans).where(F.col("pos") > F.col("_n") - count)
+    lists = ends.groupBy(CASE).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("items"))
+    return lists.select(CASE, *[F.col(f"items.{c}").alias(c) for c in columns])
+
+
 def add_end_rows(log: EventLog, count: int) -> EventLog:
     """Append ``count`` end rows to every case; other attributes are null on them."""
     block = log.block

@@ -194,15 +194,21 @@ def state_decisions(
     cats: Sequence[str],
     nums: Sequence[str],
     statics: Sequence[str] = (),
+    static_nums: Sequence[str] = (),
+    monotone: Sequence[str] = (),
 ) -> Decisions:
-    """Decisions scored on the data state, which is rolled with predicted attributes."""
+    """Decisions scored on the data state, which is rolled with predicted attributes.
+
+    Static categories and static numbers are recorded apart, so that a rule's
+    bounds on a static number find it; ``monotone`` columns are cumulative.
+    """
     table = settled(attributes)
 
     def roll(df: DataFrame) -> DataFrame:
         moved = ~F.col("_before") & (F.element_at("seq", -1) != "EOS")
-        return roll_state(df, table, cats, nums, moved, F.col("activity"))
+        return roll_state(df, table, cats, nums, moved, F.col("activity"), monotone)
 
-    recorded_nums = [x for c in nums for x in (c, f"{c}_past_avg")]
+    recorded_nums = [*static_nums, *[x for c in nums for x in (c, f"{c}_past_avg")]]
     recorded_cats = [*statics, *[x for c in cats for x in (c, f"{c}_past_mode")]]
     return Decisions(context, cfg, score, roll, recorded_nums, recorded_cats)
 

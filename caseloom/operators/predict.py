@@ -535,8 +535,13 @@ def with_summaries(df: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> D
     return df.withColumns(cols)
 
 
-def roll_state(df: DataFrame, attributes: DataFrame, cats: Sequence[str], nums: Sequence[str], moved: Column, activity: Column) -> DataFrame:
-    """One predicted event further: the last values join the history, predicted ones take their place."""
+def roll_state(
+    df: DataFrame, attributes: DataFrame, cats: Sequence[str], nums: Sequence[str], moved: Column, activity: Column, monotone: Sequence[str] = ()
+) -> DataFrame:
+    """One predicted event further: the last values join the history, predicted ones take their place.
+
+    Columns in ``monotone`` are cumulative and never fall.
+    """
     cols: dict[str, Column] = {}
     for c in nums:
         cols[f"{c}_sum"] = F.when(moved, F.col(f"{c}_sum") + F.coalesce(F.col(c), F.lit(0.0))).otherwise(F.col(f"{c}_sum"))
@@ -550,5 +555,5 @@ def roll_state(df: DataFrame, attributes: DataFrame, cats: Sequence[str], nums:
         added = F.concat(counts, F.array(F.struct(F.lit(1).alias("n"), (-F.size(counts)).alias("first"), value.alias("v"))))
         cols[f"{c}_counts"] = F.when(moved & value.isNotNull(), F.when(known, bumped).otherwise(added)).otherwise(counts)
     df = df.withColumns(cols)
-    rolled = roll_attributes(df, attributes, cats, nums, F.when(moved, activity))
+    rolled = roll_attributes(df, attributes, cats, nums, F.when(moved, activity), monotone)
     return with_summaries(rolled, cats, nums)

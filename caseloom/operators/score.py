@@ -33,6 +33,8 @@ def _mean(values: Column) -> Column:
 
 def score_rows(rows: DataFrame, reduction: str = "mean") -> DataFrame:
     """Similarity per row: the first suffix, or mean/min/best over samples for probabilistic rows."""
+    if reduction not in ("mean", "best"):
+        raise ValueError(f"unknown reduction {reduction}")
     probabilistic = F.contains(F.lower("mode"), F.lit("probabilistic"))
     used = F.when(probabilistic, _at_least_one(F.col("decoded_suffixes"))).otherwise(F.array(_first(F.col("decoded_suffixes"))))
     each = F.transform(used, lambda s: similarity(F.col("target_suffix"), s))

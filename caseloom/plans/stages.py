@@ -183,7 +183,7 @@ def evaluate_guided(
     attributes = attribute_model(only_split(log, "train"), log.dyn_cat, log.dyn_num)
     decide = state_decisions(
         decision_context(base.net), cfg, tree_scorer(log.events.sparkSession, data.mined), attributes,
-        log.dyn_cat, log.dyn_num, statics,
+        log.dyn_cat, log.dyn_num, log.sta_cat, log.sta_num, [c for c in log.dyn_num if c == "case_elapsed_time"],
     )
     steps = base.window - base.min_suffix
     keys = [CASE, "prefix_len"]

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
+    without that setting gets a temporary folder, one for the whole session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="caseloom-")
+    made = tempfile.mkdtemp(prefix="caseloom-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
