@@ -54,6 +54,15 @@ def word_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return (mix64(tail) % np.uint64(CLASSES - 1)).astype(np.int32) + 1
 
 
+def planes(code: np.ndarray) -> np.ndarray:
+    """32-bit codes with their first bytes together, then their second bytes and so on: small codes compress."""
+    return np.ascontiguousarray(code.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def to_blocks(docs: DataFrame, held_out: tuple[int, int], doc_id: str, text: str) -> DataFrame:
     """Blocks of coded texts."""
 
@@ -73,7 +82,7 @@ def to_blocks(docs: DataFrame, held_out: tuple[int, int], doc_id: str, text: str
                 at[code[::-1]] = np.arange(len(code))[::-1]
                 row = rows_of(starts, o)
                 uses = np.bincount(code[train[a:b][row]], minlength=len(distinct))
-                columns = [train[a:b].astype(np.uint8), np.bincount(row, minlength=b - a).astype(np.int32), code.astype(np.int32), distinct, word_classes(part, starts[at], ends[at]), uses.astype(np.int32)]
+                columns = [train[a:b].astype(np.uint8), np.bincount(row, minlength=b - a).astype(np.int32), planes(code), distinct, word_classes(part, starts[at], ends[at]), uses.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block]), pa.array([names[a:b]], pa.list_(pa.int64())), *[pa.array([c.tobytes()], pa.binary()) for c in columns]],
                     ["block", "docs", "train", "sizes", "codes", "hashes", "classes", "uses"],
@@ -194,7 +203,7 @@ def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
 def coded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token with the ends, and each text's start and size, and training flag."""
     sizes = np.frombuffer(row["sizes"], dtype=np.int32).astype(np.int64)
-    codes = np.frombuffer(row["codes"], dtype=np.int32)
+    codes = from_planes(row["codes"])
     classes = np.frombuffer(row["classes"], dtype=np.int32)
     full = sizes + 1
     starts = np.cumsum(full) - full
@@ -330,7 +339,7 @@ def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states:
                 pairs = row.column("found")[0].values
                 if pairs is not None and len(pairs):
                     c[pairs.field("place").to_numpy()] = pairs.field("c").to_numpy()
-                codes = np.frombuffer(one["codes"], dtype=np.int32)
+                codes = from_planes(one["codes"])
                 doc = np.repeat(np.arange(len(sizes)), sizes - 1)
                 n = len(sizes)
                 base = np.bincount(doc, (np.log10(c + 0.5) + base_log)[codes], minlength=n) + np.log10(ends + 0.5) + base_log
