@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.pieces import pieces
 from caseloom.llm.spans import slices, span_hashes, text_bytes
+from caseloom.llm.tables import lean
 
 NONE = np.int64(1 << 40)
 #: Texts whose pre-tokens share one queue; more would save a few steps for more memory.
@@ -287,4 +288,4 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from caseloom.llm.spans import LOWER, mix64, rows_of, slices, span_hashes, text_bytes, words
-from caseloom.llm.tables import remainder, stored
+from caseloom.llm.tables import lean, remainder, stored
 
 CLASSES = 1 << 15
 END = 0
@@ -91,7 +91,7 @@ def to_blocks(docs: DataFrame, held_out: tuple[int, int], doc_id: str, text: str
 
     parts, left_out = held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (remainder(doc_id, parts) == left_out).alias("held"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, BLOCK), "hmm-blocks")
+    return stored(rows.mapInArrow(lean(run), BLOCK), "hmm-blocks")
 
 
 def _between(starts, ends, low, high):
@@ -117,7 +117,7 @@ def entries(blocks: DataFrame) -> DataFrame:
                     ["block", "place", "word", "class", "uses"],
                 )
 
-    return blocks.select("block", "hashes", "classes", "uses").mapInArrow(run, "block long, place int, word long, class int, uses int")
+    return blocks.select("block", "hashes", "classes", "uses").mapInArrow(lean(run), "block long, place int, word long, class int, uses int")
 
 
 @dataclass
@@ -232,7 +232,7 @@ def expected(blocks: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(rows[:, j]) for j in range(k)]], ["key", *[f"s{j}" for j in range(k)]])
 
     schema = "key long, " + ", ".join(f"s{j} double" for j in range(k))
-    sums = blocks.select("sizes", "codes", "classes", "train").mapInArrow(run, schema).groupBy("key").sum(*[f"s{j}" for j in range(k)])
+    sums = blocks.select("sizes", "codes", "classes", "train").mapInArrow(lean(run), schema).groupBy("key").sum(*[f"s{j}" for j in range(k)])
     start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
     for row in sums.collect():
         if row[0] >= 0:
@@ -260,7 +260,7 @@ def first_model(blocks: DataFrame, k: int, seed_docs: int, prior: np.ndarray, ro
                     ["place", "classes"],
                 )
 
-    rows = blocks.select("docs", "sizes", "codes", "classes", "train").mapInArrow(run, "place long, classes binary")
+    rows = blocks.select("docs", "sizes", "codes", "classes", "train").mapInArrow(lean(run), "place long, classes binary")
     found = [np.frombuffer(r[1], dtype=np.int32) for r in rows.orderBy("place", "classes").limit(seed_docs).collect()]
     flat = np.full(k, 1.0)
     if not found:
@@ -354,4 +354,4 @@ def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states:
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(lean(run), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.graph import components
 from caseloom.llm.spans import LOWER, mix64, rows_of, slices, span_hashes, text_bytes, words
-from caseloom.llm.tables import fresh, join_groups, stored, text_of
+from caseloom.llm.tables import fresh, join_groups, lean, stored, text_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -105,7 +105,7 @@ def sketches(rows: DataFrame) -> DataFrame:
                     ["uid", "doc_id", "key", "n", "sig"],
                 )
 
-    return rows.mapInArrow(run, "uid long, doc_id long, key long, n int, sig binary")
+    return rows.mapInArrow(lean(run), "uid long, doc_id long, key long, n int, sig binary")
 
 
 def least_matches() -> list[tuple[int, int]]:
@@ -197,7 +197,7 @@ def block_links(blocks: DataFrame) -> DataFrame:
             used = np.flatnonzero(docs)
             yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(docs[used]), pa.array(keys[trees[used]])], ["key", "docs", "tree"])
 
-    return blocks.mapInArrow(run, "key long, docs long, tree long")
+    return blocks.mapInArrow(lean(run), "key long, docs long, tree long")
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +256,7 @@ def with_sets(chosen: DataFrame, texts: DataFrame) -> DataFrame:
     one = chosen.join(texts, "uid").select(*columns, "text")
     kinds = dict(chosen.dtypes)
     # rows equal in id and text give equal sets: one of them will do
-    return one.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", shingles binary").dropDuplicates(["key"])
+    return one.mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in columns) + ", shingles binary").dropDuplicates(["key"])
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

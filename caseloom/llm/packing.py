@@ -29,7 +29,7 @@ from pyspark.taskcontext import TaskContext
 
 from caseloom.llm.bpe import Batch
 from caseloom.llm.spans import slices, text_bytes
-from caseloom.llm.tables import stored
+from caseloom.llm.tables import lean, stored
 
 K1, B = 1.2, 0.75
 QUERY_TERMS, NEIGHBOURS = 24, 24
@@ -68,7 +68,7 @@ def tokenised(docs: DataFrame, ranks_path: str, end_id: int, kind: str, doc_id:
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, ids binary")
+    return rows.mapInArrow(lean(run), "doc_id long, k1 long, k2 long, ids binary")
 
 
 def min_keys(parts: Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -229,4 +229,4 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = 1024, end_id:
     # written once: the ranges are drawn from the keys alone, without tokenising again
     rows = stored(tokenised(docs, ranks_path, end_id, kind, doc_id, text).withColumn("tie", F.xxhash64("doc_id", "ids")), "token-ids")
     near = rows.repartitionByRange("k1", "k2", "tie").sortWithinPartitions("k1", "k2", "tie", "doc_id")
-    return near.select("doc_id", "ids").mapInArrow(run, COLUMNS)
+    return near.select("doc_id", "ids").mapInArrow(lean(run), COLUMNS)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.spans import SPACE, mix64, rows_of, runs, slices, span_hashes, text_bytes
-from caseloom.llm.tables import remainder
+from caseloom.llm.tables import lean, remainder
 
 BITS = 18
 SIZE = 1 << BITS
@@ -135,7 +135,7 @@ def train(rows: DataFrame, parts: int = 8, epochs: int = 6) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["w"])
 
     dealt = rows.repartition(parts, F.xxhash64("doc_id", "text")).select("text", F.col("y").cast("double").alias("y"))
-    found = [np.frombuffer(r[0], dtype=np.float32) for r in dealt.mapInArrow(run, "w binary").collect()]
+    found = [np.frombuffer(r[0], dtype=np.float32) for r in dealt.mapInArrow(lean(run), "w binary").collect()]
     return np.mean(found, axis=0, dtype=np.float64).astype(np.float32) if found else np.zeros(SIZE + 1, np.float32)
 
 
@@ -158,5 +158,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality",
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts, left_out = held_out
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", (remainder("doc_id", parts) == left_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

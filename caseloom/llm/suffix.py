@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.bpe import spread
 from caseloom.llm.spans import _BYTE, _powers, mix64, slices, text_bytes
-from caseloom.llm.tables import fresh, join_groups, stored, text_of
+from caseloom.llm.tables import fresh, join_groups, lean, stored, text_of
 
 LENGTH, GRAM = 400, 64
 WINDOW = LENGTH - GRAM + 1
@@ -146,7 +146,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                     ["uid", "at", "side", "key", "context"],
                 )
 
-    return rows.mapInArrow(run, "uid long, at long, side int, key long, context long")
+    return rows.mapInArrow(lean(run), "uid long, at long, side int, key long, context long")
 
 
 # ---- the suffix array of one batch
@@ -257,7 +257,7 @@ def cut_contexts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, o, strict=True)) for o in out], schema=SCHEMA)
 
     lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("key", "at", "side", "large")).alias("items"))
-    return lists.join(rows, "uid").select("uid", "items", "text").mapInArrow(run, CONTEXT)
+    return lists.join(rows, "uid").select("uid", "items", "text").mapInArrow(lean(run), CONTEXT)
 
 
 NAMES = ["key", "uid", "low", "near", "far", "anchor", "bytes"]
@@ -294,7 +294,7 @@ def sorted_repeats(contexts: DataFrame) -> DataFrame:
         for rows in batches_of_keys(batches):
             yield ranges_batch(*batch_repeats(rows))
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, RANGE)
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), RANGE)
 
 
 def batch_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -374,7 +374,7 @@ def counted_repeats(contexts: DataFrame) -> DataFrame:
                 h = Ranges(data).of(at, at + LENGTH).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), row["uid"])), pa.array(at + row["low"])], ["h", "uid", "low"])
 
-    strings = stored(contexts.mapInArrow(run, "h long, uid long, low long").distinct(), "strings")
+    strings = stored(contexts.mapInArrow(lean(run), "h long, uid long, low long").distinct(), "strings")
     counts = stored(strings.groupBy("h").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "counts")
     return join_groups(strings, counts, "h", "uses", strings.count()).select("uid", "low", F.col("low").alias("high"))
 
@@ -456,7 +456,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             )
 
     whole = rows.join(ranges, "uid", "left").select("doc_id", "text", "ranges")
-    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -482,7 +482,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names)
 
     whole = marked.join(ranges, uid, "left").select(*[F.col(f"`{c}`") for c in names], "ranges" + uid)
-    out = whole.mapInArrow(run, docs.schema)
+    out = whole.mapInArrow(lean(run), docs.schema)
     if n_chars in names:
         out = out.withColumn(n_chars, F.when(F.col(text).isNotNull(), F.char_length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.quality import THRESHOLD, labelled_sample
 from caseloom.llm.spans import LOWER, mix64, rows_of, runs, slices, span_hashes, text_bytes
-from caseloom.llm.tables import remainder
+from caseloom.llm.tables import lean, remainder
 
 WORD_BITS, CHAR_BITS = 16, 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -311,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int], sample:
 
     both = [labelled_sample(docs, labels, target, held_out, sample, doc_id, text, value) for value in (0, 1)]
     rows = both[0].unionByName(both[1]).select("text", F.col("y").cast("int").alias("y")).repartition(1)
-    found = rows.mapInArrow(run, "net binary").collect()
+    found = rows.mapInArrow(lean(run), "net binary").collect()
     if not found:
         return None
     net = Network()
@@ -324,7 +324,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int
     net = train(docs, labels, held_out, sample, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts, left_out = held_out
-    scored = rows.mapInArrow(scorer(net, 1), "doc_id long, score double")
+    scored = rows.mapInArrow(lean(scorer(net, 1)), "doc_id long, score double")
     return scored.select("doc_id", (remainder("doc_id", parts) == left_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -14,7 +14,7 @@ from caseloom.llm import exact, packing, toxic
 from caseloom.llm.jaccard import drop_near_copies
 from caseloom.llm.queries import RANKS
 from caseloom.llm.suffix import without_repeats
-from caseloom.llm.tables import stored
+from caseloom.llm.tables import lean, stored
 
 HELD_OUT = (3, 1)
 SAMPLE = 1500
@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 score = toxic.score_texts(batch.column(where), net)
                 yield batch.filter(pa.array(score < toxic.THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
