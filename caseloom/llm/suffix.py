@@ -107,8 +107,8 @@ def anchor_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def text_anchors(data: np.ndarray, off: np.ndarray, piece: int = 4 << 20) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """(first row, anchor rows) of a text column, a few megabytes at a time."""
+def text_anchors(data: np.ndarray, off: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(first row, anchor rows) of a text column, a megabyte at a time: the arrays take some 100 bytes for each of text."""
     for a, b in slices(off, piece):
         lo, hi = int(off[a]), int(off[b])
         size = np.diff(off[a : b + 1])
