@@ -32,8 +32,11 @@ from caseloom.operators.cases import (
 )
 from caseloom.operators.encode import encode_column, vocabulary
 from caseloom.operators.ordering import EventLog
+from caseloom.session import BLOCK_DEFAULT
 from caseloom.sources.logs import events_log, items_log, orders_flow, orders_log, turns_log
 
+#: a case's rows are segments of at most one block of events
+SEGMENT = f"CAST((pos - 1) // {BLOCK_DEFAULT} AS BIGINT)"
 ENDED = """ended AS (SELECT case_id, list_concat(acts, ['EOS','EOS','EOS','EOS','EOS']) AS acts FROM lists)"""
 # Windows of labels: 6..n+5 of the case with end rows, left padded with null to w.
 WINDOWS = f"""{ENDED},
@@ -61,14 +64,15 @@ def coded_windows(spark, sf_dir):
 @query(
     "case_table",
     "D1",
-    f"""WITH {sql.ORDERS} SELECT case_id, {sql.arrow("list(activity ORDER BY pos)")} AS activities,
+    f"""WITH {sql.ORDERS} SELECT case_id, {SEGMENT} AS segment, {sql.arrow("list(activity ORDER BY pos)")} AS activities,
     {sql.arrow("list(o_orderstatus ORDER BY pos)")} AS statuses, {sql.arrow6("list(o_totalprice ORDER BY pos)")} AS prices
-    FROM log GROUP BY case_id""",
+    FROM log GROUP BY ALL""",
 )
 def case_table(spark, sf_dir):
     rows = case_rows(orders_flow(spark, sf_dir), ["activity", "o_orderstatus", "o_totalprice"])
     return rows.select(
         "case_id",
+        "segment",
         joined("activity").alias("activities"),
         joined("o_orderstatus").alias("statuses"),
         joined6("o_totalprice").alias("prices"),
@@ -78,12 +82,12 @@ def case_table(spark, sf_dir):
 @query(
     "turn_case_table",
     "D1",
-    f"""WITH {sql.TURNS} SELECT case_id, {sql.arrow("list(activity ORDER BY pos)")} AS activities,
-    {sql.arrow6("list(chars ORDER BY pos)")} AS chars FROM log GROUP BY case_id""",
+    f"""WITH {sql.TURNS} SELECT case_id, {SEGMENT} AS segment, {sql.arrow("list(activity ORDER BY pos)")} AS activities,
+    {sql.arrow6("list(chars ORDER BY pos)")} AS chars FROM log GROUP BY ALL""",
 )
 def turn_case_table(spark, sf_dir):
     rows = case_rows(turns_log(spark, sf_dir), ["activity", "chars"])
-    return rows.select("case_id", joined("activity").alias("activities"), joined6("chars").alias("chars"))
+    return rows.select("case_id", "segment", joined("activity").alias("activities"), joined6("chars").alias("chars"))
 
 
 @query(

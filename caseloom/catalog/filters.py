@@ -84,9 +84,9 @@ def picked_attributes(spark, sf_dir):
 @query(
     "chosen_prefixes",
     "B4",
-    f"""WITH {sql.ORDERS}, {sql.SPLIT}, {sql.LISTS}
-    SELECT case_id, pos AS prefix_len, {sql.arrow("acts[greatest(1, pos - 9):pos]")} AS activities
-    FROM log JOIN lists USING (case_id)
+    f"""WITH {sql.ORDERS}, {sql.SPLIT}, {sql.LISTS}, {sql.window()}
+    SELECT case_id, pos AS prefix_len, {sql.arrow("acts[greatest(1, pos - w + 1):pos]")} AS activities
+    FROM log JOIN lists USING (case_id), win
     WHERE pos = n AND case_id IN (SELECT case_id FROM split WHERE split = 'test')""",
 )
 def chosen_prefixes(spark, sf_dir):
@@ -94,7 +94,7 @@ def chosen_prefixes(spark, sf_dir):
     test = split_cases(log.events).where("split = 'test'")
     chosen = log.events.where("pos = n").select("case_id", F.col("pos").alias("prefix_len"))
     chosen = chosen.join(test, "case_id", "left_semi")
-    rows = choose_prefixes(prefix_rows(log, ["activity"], 10), chosen)
+    rows = choose_prefixes(prefix_rows(log, ["activity"], window_size(log, 5)), chosen)
     return rows.select("case_id", "prefix_len", joined("activity").alias("activities"))
 
 

@@ -228,24 +228,19 @@ def rule_texts_in_units(spark, sf_dir):
 # --- learned models ---------------------------------------------------------
 
 SMALL_MODELS = ModelConfig(rounds=20)
-_MINED: dict = {}
 
 
 def mined_models(spark, sf_dir, make, dyn_cat, dyn_num, sta_cat=()):
-    """Models of one log; fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
-    if key not in _MINED:
-        log = make(spark, sf_dir)
-        log = settle(with_split(log, split_cases(log.events)))
-        edges = cut(directly_follows(log))
-        net = net_from_edges(edges)
-        split = log.events.where("pos = 1").select("case_id", "split")
-        records = join_cases(decisions(align(log, edges), net), split, log.spans)
-        rows = samples(records, log, dyn_cat, dyn_num, sta_cat)
-        cats, nums = feature_names(dyn_cat, dyn_num, sta_cat)
-        result = mine(spark, rows.where("split <> 'test'").drop("split"), net, cats, nums, SMALL_MODELS)
-        _MINED[key] = (log, net, rows, result)
-    return _MINED[key]
+    """Models of one log, with the log, its net and its samples."""
+    log = make(spark, sf_dir)
+    log = settle(with_split(log, split_cases(log.events)))
+    edges = cut(directly_follows(log))
+    net = net_from_edges(edges)
+    split = log.events.where("pos = 1").select("case_id", "split")
+    records = join_cases(decisions(align(log, edges), net), split, log.spans)
+    rows = samples(records, log, dyn_cat, dyn_num, sta_cat)
+    cats, nums = feature_names(dyn_cat, dyn_num, sta_cat)
+    return log, net, rows, mine(spark, rows.where("split <> 'test'").drop("split"), net, cats, nums, SMALL_MODELS)
 
 
 def planted_models(spark, sf_dir):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.catalog import sql
-from caseloom.catalog.registry import i64, joined, query, r6
-from caseloom.operators.cases import prefix_rows, split_cases, with_split
+from caseloom.catalog.registry import i64, joined, joined6, query, r6
+from caseloom.operators.cases import prefix_rows, split_cases, window_size, with_split
 from caseloom.sources.logs import micros, orders_log, table
 from caseloom.sources.reader import (
     LogColumns,
@@ -102,18 +102,25 @@ def split_case_ids(spark, sf_dir):
 @query(
     "prefix_table_by_split",
     "A6",
-    f"""WITH {sql.ORDERS}, {sql.SPLIT}, {sql.LISTS}
-    SELECT split, case_id, pos AS prefix_len,
-           {sql.arrow("acts[greatest(1, pos - 9):pos]")} AS activities
-    FROM log JOIN lists USING (case_id) JOIN split USING (case_id) WHERE split IN ('val', 'test')""",
+    f"""WITH {sql.ORDERS}, {sql.SPLIT}, {sql.LISTS}, {sql.window()},
+    prices AS (SELECT case_id, list(o_totalprice ORDER BY pos) AS p, arg_min(c_mktsegment, pos) FILTER (WHERE c_mktsegment IS NOT NULL) AS segment FROM log GROUP BY case_id)
+    SELECT split, case_id, pos AS prefix_len, segment, {sql.arrow("acts[greatest(1, pos - w + 1):pos]")} AS activities,
+    {sql.arrow6("p[greatest(1, pos - w + 1):pos]")} AS prices
+    FROM log JOIN lists USING (case_id) JOIN prices USING (case_id) JOIN split USING (case_id), win""",
 )
 def prefix_table_by_split(spark, sf_dir):
     log = orders_log(spark, sf_dir)
-    splits = split_cases(log.events)
-    rows = prefix_rows(log, ["activity"], 10).join(splits, "case_id")
-    path = write_by_split(rows, scratch_path(spark, "prefixes"))
-    back = spark.read.parquet(path).where(F.col("split").isin("val", "test"))
-    return back.select("split", "case_id", "prefix_len", joined("activity").alias("activities"))
+    log = with_split(log, split_cases(log.events))
+    rows = prefix_rows(log, ["activity", "o_totalprice"], window_size(log, 5), ["c_mktsegment", "split"])
+    back = spark.read.parquet(write_by_split(rows, scratch_path(spark, "prefixes")))
+    return back.select(
+        "split",
+        "case_id",
+        "prefix_len",
+        F.col("c_mktsegment").alias("segment"),
+        joined("activity").alias("activities"),
+        joined6("o_totalprice").alias("prices"),
+    )
 
 
 @query(

@@ -31,7 +31,7 @@ def static_values(log: EventLog, columns: Sequence[str], keep_eos: bool = False)
 
 
 def case_rows(log: EventLog, columns: Sequence[str]) -> DataFrame:
-    """Ordered lists per case. A case beyond the block size gives one row per block."""
+    """Ordered lists, one row per ``(case_id, segment)``: segment s holds the events of block s, so no row outgrows a block."""
     item = F.struct("pos", *columns)
     lists = log.events.groupBy(CASE, F.col("block").alias("segment")).agg(
         F.array_sort(F.collect_list(item)).alias("items")
