@@ -294,7 +294,7 @@ GATED = Guidance(support_threshold=TAU, min_base_entropy=0.97, min_decision_conf
     "gated_guidance",
     "J9",
     f"""WITH {sql.ORDERS}, {GUIDED_BASE}, hops AS (SELECT unnest([0, 1, 2]) AS step), top AS (SELECT place, max(p) AS c FROM prior GROUP BY place),
-    ent AS (SELECT ctx, -sum(p * ln(p)) / ln(count(*)) AS h FROM mdl GROUP BY ctx)
+    ent AS (SELECT ctx, -sum(p * ln(p)) / ln((SELECT count(*) FROM mdl WHERE ctx = '')) AS h FROM mdl GROUP BY ctx)
     SELECT s.case_id, s.prefix_len, step, CASE WHEN step <= 1 AND c >= 0.19 AND h >= 0.97 THEN 'guided' ELSE 'left alone' END AS outcome
     FROM starts s JOIN ent USING (ctx) LEFT JOIN top ON place = 'p_' || s.prefix[-1], hops""",
 )
@@ -302,9 +302,10 @@ def gated_guidance(spark, sf_dir):
     model, pairs, _, decide, _ = guided_setup(spark, sf_dir)
     rows = next_distribution(attach_state(pairs, model, F.col("prefix")), model).withColumn("activity", F.element_at("prefix", -1))
     rows = rows.join(small(decide.context), "activity", "left")
+    classes = F.lit(model.classes)
 
     def outcome(step: int):
-        changed = dist_text(reweight(F.col("p"), F.col("z"), F.lit(step), GATED, F.size("p"))) != dist_text("p")
+        changed = dist_text(reweight(F.col("p"), F.col("z"), F.lit(step), GATED, classes)) != dist_text("p")
         return F.struct(F.lit(step).alias("step"), F.when(changed, "guided").otherwise("left alone").alias("outcome"))
 
     parts = F.array(*[outcome(s) for s in (0, 1, 2)])

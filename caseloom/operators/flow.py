@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from caseloom.functions.text import EOS
 from caseloom.operators.ordering import CASE, EventLog, around, running
-from caseloom.session import small
+from caseloom.session import cut, small
 
 START = "START"
 SKIP = ">>"
@@ -365,62 +365,70 @@ def decisions(moves: EventLog, net: Net) -> DataFrame:
     )
 
 
-def replay(moves: EventLog, net: Net) -> DataFrame:
-    """Decision records for any net: tokens carry the decisions still open.
+def token_flow(moves: EventLog, net: Net) -> DataFrame:
+    """One row per token that a transition takes: ``place``, the ``move`` taking it and the ``source`` move that gave it.
 
-    Moves stream through in case order; only the marking and the open
-    decisions of the current case are held.
+    The newest token of a place goes first, so takes and gives pair up like
+    brackets: a take belongs to the last give at its height. The height is a
+    running sum above its running minimum; a take at height 0 finds no token.
+    Source 0 is the initial marking. ``seen`` tells moves with an event,
+    ``visible`` counts such moves before.
     """
-    takes: dict[str, list[str]] = {}
-    gives: dict[str, list[str]] = {}
-    for r in _collected(net.arcs_in):
-        takes.setdefault(r["tid"], []).append(r["place"])
-    for r in _collected(net.arcs_out):
-        gives.setdefault(r["tid"], []).append(r["place"])
-    known = {r["tid"] for r in _collected(net.transitions)}
-    choice = {r["place"] for r in _collected(decision_places(net))}
-    initial = {r["place"]: r["n"] for r in _collected(net.initial)}
+    known = small(net.transitions.select(F.col("tid").alias("model_name")))
+    seen = F.col("log_name") != SKIP
+    fired = moves.events.join(known, "model_name", "left_semi").select(
+        CASE, "block", "pos", F.col("model_name").alias("tid"), seen.alias("seen"), F.when(seen, 1).alias("event"),
+        F.coalesce("log_label", "model_label").alias("label"),
+    )
+    fired = cut(running(EventLog(fired, ("pos",), moves.spans), {"visible": ("count", "event")}).events.drop("event"))
+    arcs = net.arcs_in.withColumn("change", F.lit(-1)).unionByName(net.arcs_out.withColumn("change", F.lit(1)))
+    arcs = arcs.withColumn("arc", F.row_number().over(Window.partitionBy("tid", "change", "place").orderBy("place")))
+    steps = fired.withColumnRenamed("pos", "move").join(small(arcs), "tid").drop("tid")
+    marking = small(net.initial.select("place", F.explode(F.sequence(F.lit(1), "n")).alias("arc")).withColumn("change", F.lit(1)))
+    first = fired.groupBy(CASE).agg(F.min("block").alias("block")).join(marking, F.lit(True))
+    steps = steps.unionByName(first.withColumn("move", F.lit(0).cast("long")), allowMissingColumns=True)
+    # a move takes before it gives
+    steps = steps.withColumn("pos", F.struct("move", "change", "place", "arc"))
+    log = running(EventLog(steps, ("pos",), moves.spans), {"sum": ("sum", "change")}, through=True, keys=("place",))
+    log = running(log, {"lowest": ("min", "sum")}, keys=("place",))
+    there = F.col("sum") - F.col("change") - F.least(F.coalesce("lowest", F.lit(0)), F.lit(0))
+    levels = log.events.withColumns(
+        {"level": there + F.when(F.col("change") > 0, 1).otherwise(0), "giver": F.when(F.col("change") > 0, F.col("move"))}
+    )
+    paired = running(log.with_events(levels.where("level > 0")), {"source": ("last", "giver")}, keys=("place", "level"))
+    return paired.events.where("change < 0").select(
+        CASE, "block", "pos", "place", "source", "move", "seen", "visible", "label"
+    )
 
-    def stream(batches):
-        case, tokens, visible, order, open_ = None, {}, 0, 0, {}
-        out: list[tuple] = []
 
-        def close():
-            out.extend((case, place, at, EOS, None, no) for no, (place, at) in open_.items())
+def replay(moves: EventLog, net: Net) -> DataFrame:
+    """Decision records for any net, concurrent ones included.
 
-        for pdf in batches:
-            for cid, log_name, model_name, label in zip(pdf[CASE], pdf["log_name"], pdf["model_name"], pdf["label"]):
-                if cid != case:
-                    close()
-                    case, visible, order, open_ = cid, 0, 0, {}
-                    tokens = {p: [frozenset()] * n for p, n in initial.items()}
-                if model_name not in known:
-                    continue
-                carried: frozenset = frozenset()
-                for place in takes.get(model_name, []):
-                    if tokens.get(place):
-                        carried |= tokens[place].pop()
-                        if place in choice:
-                            open_[order] = (place, visible)
-                            carried |= {order}
-                            order += 1
-                if log_name != SKIP:
-                    for no in sorted(carried & open_.keys()):
-                        place, at = open_.pop(no)
-                        out.append((case, place, at, label or EOS, visible, no))
-                    carried = frozenset()
-                    visible += 1
-                for place in gives.get(model_name, []):
-                    tokens.setdefault(place, []).append(carried)
-            yield pd.DataFrame(out, columns=cols).astype({"resolved_by": "Int64"})
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=cols).astype({"resolved_by": "Int64"})
-
-    cols = [CASE, "place", "sync_index", "target", "resolved_by", "ord"]
-    slim = moves.events.select(CASE, "pos", "log_name", "model_name", F.coalesce("log_label", "model_label").alias("label"))
-    return (
-        slim.repartition(CASE)
-        .sortWithinPartitions(CASE, "pos")
-        .mapInPandas(stream, f"{CASE} string, place string, sync_index bigint, target string, resolved_by bigint, ord bigint")
+    Taking a token from a decision place opens a decision. It is resolved by the
+    first move with an event that silent moves lead to along the flow of
+    tokens, that of the deciding move itself at once; without one its target
+    is the end marker. Records of a move are numbered by place name.
+
+    One join per silent move in a row; every join and window is keyed below the
+    case, so that a long case is spread over many tasks.
+    """
+    flow = cut(token_flow(moves, net))
+    opened = flow.join(small(decision_places(net).select("place")), "place", "left_semi").withColumn("opened", F.lit(1))
+    opened = cut(running(EventLog(opened, ("pos",), moves.spans), {"ord": ("count", "opened")}).events)
+    onward = flow.select(CASE, F.col("source").alias("at"), "move", "seen", "visible", "label").distinct()
+    columns = [CASE, "ord", "move", "seen", "visible", "label"]
+    found = opened.select(columns)
+    front = found.where("not seen")
+    while not front.isEmpty():
+        reached = front.select(CASE, "ord", F.col("move").alias("at")).join(onward, [CASE, "at"]).select(columns)
+        reached = cut(reached.distinct())
+        found, front = found.unionByName(reached), reached.where("not seen")
+    answer = found.where("seen").groupBy(CASE, "ord").agg(F.min_by(F.struct("visible", "label"), "move").alias("answer"))
+    return opened.join(answer, [CASE, "ord"], "left").select(
+        CASE,
+        "place",
+        F.col("visible").alias("sync_index"),
+        F.coalesce("answer.label", F.lit(EOS)).alias("target"),
+        F.col("answer.visible").alias("resolved_by"),
+        "ord",
     )

@@ -51,6 +51,12 @@ class NextModel:
     def states(self) -> DataFrame:
         return self.table.select("state")
 
+    @property
+    def classes(self) -> int:
+        """Size of the vocabulary with the end marker: the empty context has every label."""
+        whole = self.table.where("state = ''").select(F.size("entries")).first()
+        return whole[0] if whole else 0
+
 
 def _suffix_keys(items: Column, order: int) -> list[Column]:
     """Texts of the last ``order`` .. 1 items, null where there are fewer."""
@@ -258,7 +264,7 @@ class _Step:
     drop: tuple[str, ...]
 
 
-def _step(decisions: Decisions | None) -> _Step:
+def _step(model: NextModel, decisions: Decisions | None) -> _Step:
     """How a row changes once ``chosen`` (label, p) is known."""
     label = F.col("chosen.label")
     running = ~F.col("done")
@@ -295,7 +301,8 @@ def _step(decisions: Decisions | None) -> _Step:
     cols["trace"] = F.when(
         goes_on & F.col("place").isNotNull() & F.col("z").isNotNull(), F.concat("trace", F.array(item).cast(TRACE))
     ).otherwise(F.col("trace"))
-    guided = reweight(F.col("base"), F.col("z"), F.col("step"), decisions.cfg, F.size("base"))
+    classes = F.lit(model.classes) if decisions.cfg.min_base_entropy > 0 else None
+    guided = reweight(F.col("base"), F.col("z"), F.col("step"), decisions.cfg, classes)
     return _Step(guided, cols, (*drop, "base", *DESCRIBED))
 
 
@@ -335,7 +342,7 @@ def decode_steps(
     every few steps and decoding stops when no row is running.
     """
     table, context = _tables(model, decisions)
-    one = _step(decisions)
+    one = _step(model, decisions)
     if pick == "best":
         chosen = F.get(_ranked(F.col("dist")), F.lit(0))
     else:
@@ -387,7 +394,7 @@ def decode_beams(
     ``steps``, so that one decode serves prefixes with different limits.
     """
     table, context = _tables(model, decisions)
-    one = _step(decisions)
+    one = _step(model, decisions)
     nothing = F.struct(F.lit(0.0).alias("rank"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("p"))
     options = F.explode(F.when(F.col("done"), F.array(nothing)).otherwise(F.slice(_ranked(F.col("dist")), 1, width)))
     floor = 1e-12 if decisions is not None else 0.0

@@ -7,7 +7,7 @@ from caseloom.catalog import load
 
 NAMES = [
     "seconds_since_case_start", "seconds_since_earlier_event", "all_prefixes", "end_rows", "prefix_suffix_cuts",
-    "decision_records", "prefix_markings", "aligned_moves_filtered_net", "labeller_feature_state",
+    "decision_records", "replayed_decision_records", "prefix_markings", "aligned_moves_filtered_net", "labeller_feature_state",
 ]
 
 

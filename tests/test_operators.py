@@ -4,7 +4,7 @@ from conftest import SF, rows_of
 from pyspark.sql import functions as F
 
 from caseloom.catalog.predict import guided_setup, prepared
-from caseloom.functions.distributions import Guidance
+from caseloom.functions.distributions import Guidance, normalised_entropy
 from caseloom.operators.cases import add_end_rows, case_rows, prefix_rows, prefix_suffix_pairs, split_cases, static_values
 from caseloom.operators.encode import encode_column, scaler_values, scalers, vocabulary
 from caseloom.operators.features import since_earlier_event, since_last_row
@@ -110,6 +110,35 @@ def test_replay_of_a_net_with_a_silent_choice(spark):
     assert rows_of(replay(log, net)) == want == rows_of(decisions(log, net).drop("block"))
 
 
+def test_replay_of_parallel_branches(spark):
+    net = Net(
+        spark.createDataFrame([("t0", "A"), ("s", None), ("t1", "X"), ("t2", "B"), ("t3", "C"), ("t4", "D")], "tid string, label string"),
+        spark.createDataFrame([("t0", "i"), ("s", "p"), ("t1", "p"), ("t2", "b"), ("t3", "q"), ("t4", "r"), ("t4", "u")], "tid string, place string"),
+        spark.createDataFrame([("t0", "p"), ("t0", "q"), ("s", "b"), ("t1", "r"), ("t2", "r"), ("t3", "u"), ("t4", "o")], "tid string, place string"),
+        spark.createDataFrame([("i", 1)], "place string, n int"),
+    )
+    seen = {"t0": "A", "t1": "X", "t2": "B", "t3": "C", "t4": "D"}
+    # 1: the other branch does not resolve the silent choice; 2: nothing to take at first; 3: an event the net does not know
+    cases = {"1": ["t0", "s", "t3", "t2", "t4"], "2": ["t1", "t0", "t1"], "3": ["t0", ">>", "t1", "t3"], "4": ["t0", "s", "t3"]}
+    rows = [
+        (case, pos, ">>" if tid == "s" else f"e{pos}", tid, None if tid == "s" else seen.get(tid, "?"), seen.get(tid))
+        for case, tids in cases.items()
+        for pos, tid in enumerate(tids, 1)
+    ]
+    df = spark.createDataFrame(rows, "case_id string, pos long, log_name string, model_name string, log_label string, model_label string")
+    want = [("1", "p", "1", "B", "2", "0"), ("2", "p", "2", "X", "2", "0"), ("3", "p", "1", "X", "1", "0"), ("4", "p", "1", "EOS", "None", "0")]
+    whole = EventLog(df.withColumn("block", F.lit(0).cast("long")), ("pos",), False)
+    split = EventLog(df.withColumn("block", F.floor((F.col("pos") - 1) / 2)), ("pos",), True)
+    assert rows_of(replay(whole, net)) == want == rows_of(replay(split, net))
+
+
+def test_entropy_is_scaled_by_the_whole_vocabulary(spark):
+    model = count_model(log_of(spark, [(str(i), a, SEC, i, None, None) for i, a in enumerate("ABCDEFG")]))
+    assert model.classes == 1  # every case ends after its one event
+    row = spark.range(1).select(F.create_map(F.lit("A"), F.lit(0.5), F.lit("B"), F.lit(0.5)).alias("p"))
+    assert abs(row.select(normalised_entropy(F.col("p"), F.lit(8))).first()[0] - 1 / 3) < 1e-6
+
+
 def test_markings_of_parallel_branches(spark):
     net = Net(
         spark.createDataFrame([("t0", "A"), ("t1", "B"), ("t2", "C"), ("t3", "D")], "tid string, label string"),
