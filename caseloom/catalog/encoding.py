@@ -142,7 +142,7 @@ def encoded_window_rows(spark, sf_dir):
     "E4",
     f"""{TIMED}, nations AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT c_mktsegment AS label FROM timed WHERE split = 'train' AND c_mktsegment IS NOT NULL)),
     statics AS (SELECT case_id, arg_min(c_mktsegment, pos) AS seg, arg_min(c_acctbal, pos) AS bal, any_value(split) AS split FROM timed GROUP BY case_id),
-    s AS (SELECT avg(bal) AS mean, sqrt(var_pop(bal) * count(bal) / count(*)) AS scale FROM statics WHERE split = 'train')
+    s AS (SELECT avg(c_acctbal) AS mean, sqrt(var_pop(c_acctbal) * count(c_acctbal) / (count(*) + 5 * count(DISTINCT case_id))) AS scale FROM timed WHERE split = 'train')
     SELECT case_id, pos AS prefix_len, coalesce(id, 0) AS c_mktsegment, round((coalesce(bal, mean) - mean) / scale, 6) AS c_acctbal
     FROM timed JOIN statics USING (case_id) LEFT JOIN nations ON label = seg, s WHERE timed.split = 'test'""",
 )
@@ -150,9 +150,7 @@ def encoded_static_values(spark, sf_dir):
     log = split_orders(spark, sf_dir)
     train, test = only_split(log, "train"), only_split(log, "test")
     vocab = vocabulary(train.events, "c_mktsegment", drop_eos=True)
-    from caseloom.operators.cases import static_values
-
-    fitted = scaler_values(scalers(static_values(train, ["c_acctbal"]), ["c_acctbal"]))
+    fitted = scaler_values(scalers(train.events, ["c_acctbal"], end_rows=5))
     statics = encoded_statics(test, ["c_mktsegment"], ["c_acctbal"], vocab, fitted)
     rows = test.events.select("case_id", F.col("pos").alias("prefix_len")).join(statics, "case_id")
     return rows.select("case_id", "prefix_len", i64("c_mktsegment").alias("c_mktsegment"), r6("c_acctbal").alias("c_acctbal"))

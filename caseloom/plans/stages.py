@@ -103,14 +103,14 @@ def build_base(log: EventLog, path: str, threshold: float = 0.0, min_suffix: int
     columns = ["activity", *log.dyn_cat, *log.dyn_num]
     prefixes = prefix_rows(log, columns, window, [*log.sta_cat, *log.sta_num])
     splits = log.events.where("pos = 1").select(CASE, "split")
-    write_by_split(prefixes.join(splits, CASE), f"{path}/prefixes")
+    write_by_split(join_cases(prefixes, splits, log.spans), f"{path}/prefixes")
     vocab = None
     for c in ("activity", *log.dyn_cat, *log.sta_cat):
         part = vocabulary(train.events, c)
         vocab = part if vocab is None else vocab.unionByName(part)
     vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    if log.dyn_num:
-        scalers(train.events, log.dyn_num, end_rows=min_suffix).write.mode("overwrite").parquet(f"{path}/scalers")
+    if log.dyn_num or log.sta_num:
+        scalers(train.events, [*log.dyn_num, *log.sta_num], end_rows=min_suffix).write.mode("overwrite").parquet(f"{path}/scalers")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     return BaseData(log, edges, net_from_edges(edges), window, min_suffix, path)
 
