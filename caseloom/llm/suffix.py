@@ -1,19 +1,20 @@
-"""Suffix-array dedup: bytes covered by a 400-byte string that starts elsewhere too.
+"""Suffix-array dedup: bytes covered by a string of ``length`` bytes that starts elsewhere too.
 
 Suffixes are first sorted out by content, then each task builds suffix arrays by
 the difference-cover algorithm over the suffixes that may repeat.
 
-1. Anchors. The least hash of 64-byte grams within each 400-byte string (the
-   right-most of equals) marks its anchor; equal strings have equal anchors at
-   equal offsets, about two in 337 bytes. The strings of an anchor are split by
-   offset into two halves, so that all of a half share 232 known bytes: its key.
+1. Anchors. The least hash of the grams within each string (the right-most of
+   equals) marks its anchor; equal strings have equal anchors at equal offsets. The
+   strings of an anchor are split by offset into two halves, so that all of a half
+   share known bytes: its key. With strings of 400 bytes grams have 64, keys share
+   232 and about two in 337 bytes are anchors; with 101 bytes it is 16, 58 and 86.
    Half and key decide which task compares them; its context is all their bytes.
 2. Contexts that occur as a whole more than once are settled by counting: each
    string in them repeats. Keys with one context hold no repeat.
 3. The rest, one row per distinct context of a key, go to the key's task, which
    settles eighths of their offsets in the same way. For what is left it sorts
    sampled triples, recurses on their names, merges the remaining suffixes
-   (``suffix_array``) and compares the 400-byte prefixes of adjacent suffixes.
+   (``suffix_array``) and compares the ``length``-byte prefixes of adjacent suffixes.
 4. Ranges of repeated starts go back to their documents.
 
 A key with more than ``GROUP`` distinct contexts is dealt again by an eighth of
@@ -22,13 +23,15 @@ string by string. So no task holds an unbounded group, and nothing is left out.
 
 Texts are UTF-8 bytes; null is empty; matches never cross documents. Strings are
 judged on the input. Rows equal in id and text are two documents that share one
-decision (all of such a text repeats, from 400 bytes on).
+decision (all of such a text repeats, from ``length`` bytes on).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,36 +42,60 @@ from caseloom.llm.bpe import spread
 from caseloom.llm.spans import _BYTE, _powers, mix64, slices, text_bytes
 from caseloom.llm.tables import fresh, join_groups, lean, stored, text_of
 
-LENGTH, GRAM = 400, 64
-WINDOW = LENGTH - GRAM + 1
-#: offsets of a string's start before its anchor: the near half (side 0) and the far half (side 1)
-SIDES = ((0, 168), (169, LENGTH - GRAM))
+#: bytes of a string, unless a caller says otherwise
+LENGTH = 400
 EIGHTHS = 8
 GROUP = 4096
 BATCH = 1 << 20
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Strings:
+    """Strings of ``length`` bytes (16 at least), and the grams that anchor them."""
+
+    length: int = LENGTH
+
+    def __post_init__(self) -> None:
+        if self.length < 16:
+            raise ValueError("strings have 16 bytes at least")
+
+    @property
+    def gram(self) -> int:
+        """The largest power of two up to a sixth of the length."""
+        return 1 << ((self.length // 6).bit_length() - 1)
+
+    @property
+    def window(self) -> int:
+        return self.length - self.gram + 1
+
+    @property
+    def sides(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Offsets of a string's start before its anchor: the near half (side 0) and the far half (side 1)."""
+        half = self.window // 2
+        return (0, half), (half + 1, self.length - self.gram)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 32-bit hash of the gram that starts at each byte, by doubling."""
     h = data.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
     k = 1
-    while k < GRAM:
+    while k < gram:
         h = h[:-k] * np.uint32(0x85EBCA77) + (h[k:] ^ (h[k:] >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
         h ^= h >> np.uint32(13)
         k *= 2
     return h
 
 
-def window_anchors(data: np.ndarray) -> np.ndarray:
+def window_anchors(data: np.ndarray, strings: Strings) -> np.ndarray:
     """Anchor of the string that starts at each byte: right-most least gram."""
-    h = gram_hashes(data)
-    n = len(h)
-    key = np.full(-(-n // WINDOW) * WINDOW, np.iinfo(np.uint64).max, dtype=np.uint64)
+    h = gram_hashes(data, strings.gram)
+    n, window = len(h), strings.window
+    key = np.full(-(-n // window) * window, np.iinfo(np.uint64).max, dtype=np.uint64)
     key[:n] = (h.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64))
-    tiles = key.reshape(-1, WINDOW)
+    tiles = key.reshape(-1, window)
     before = np.minimum.accumulate(tiles, axis=1).ravel()
     after = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(after[: n - WINDOW + 1], before[WINDOW - 1 : n])
+    least = np.minimum(after[: n - window + 1], before[window - 1 : n])
     return (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
@@ -84,63 +111,65 @@ class Ranges:
         return mix64((self.total[high] - self.total[low]) * self.inverse[low] + (high - low).astype(np.uint64))
 
 
-def anchor_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.ndarray, after: int = -1) -> dict[str, np.ndarray]:
+def anchor_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.ndarray, strings: Strings, after: int = -1) -> dict[str, np.ndarray]:
     """Rows (doc, at, side, key, context) for the anchors of the ``valid`` string starts.
 
     ``start`` and ``end`` bound each document in ``data``; anchors up to ``after`` are left out.
     """
-    chosen = window_anchors(data)
+    chosen = window_anchors(data, strings)
     doc = np.searchsorted(start, valid, "right") - 1
     a = chosen[valid]
     new = np.append(True, a[1:] != a[:-1]) & (a > after) if len(a) else np.zeros(0, bool)
     a, doc = a[new], doc[new]
     ranges = Ranges(data)
     out: dict[str, list] = {"doc": [], "at": [], "side": [], "key": [], "context": []}
-    for side, (near, far) in enumerate(SIDES):
-        fits = (a - near >= start[doc]) & (a - far + LENGTH <= end[doc])
+    length = strings.length
+    for side, (near, far) in enumerate(strings.sides):
+        fits = (a - near >= start[doc]) & (a - far + length <= end[doc])
         at, d = a[fits], doc[fits]
-        key = ranges.of(at - near, at - far + LENGTH) ^ np.uint64(side)
-        low, high = np.maximum(start[d], at - far), np.minimum(end[d], at - near + LENGTH)
+        key = ranges.of(at - near, at - far + length) ^ np.uint64(side)
+        low, high = np.maximum(start[d], at - far), np.minimum(end[d], at - near + length)
         context = mix64(ranges.of(low, high) ^ mix64(key + (at - low).astype(np.uint64)))
         for name, value in zip(out, (d, at - start[d], np.full(len(at), side), key.view(np.int64), context.view(np.int64)), strict=True):
             out[name].append(value)
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def text_anchors(data: np.ndarray, off: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+def text_anchors(data: np.ndarray, off: np.ndarray, strings: Strings, piece: int = 1 << 20) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """(first row, anchor rows) of a text column, a megabyte at a time: the arrays take some 100 bytes for each of text."""
+    length = strings.length
     for a, b in slices(off, piece):
         lo, hi = int(off[a]), int(off[b])
         size = np.diff(off[a : b + 1])
         if hi - lo <= piece:
-            long = np.flatnonzero(size >= LENGTH)
+            long = np.flatnonzero(size >= length)
             if not len(long):
                 continue
-            start, room = off[a:b][long] - lo, size[long] - LENGTH + 1
+            start, room = off[a:b][long] - lo, size[long] - length + 1
             valid = np.arange(int(room.sum())) + np.repeat(start - (np.cumsum(room) - room), room)
-            rows = anchor_rows(data[lo:hi], start, start + size[long], valid)
+            rows = anchor_rows(data[lo:hi], start, start + size[long], valid, strings)
             rows["doc"] = long[rows["doc"]]
             yield a, rows
             continue
         last = -1
-        for low in range(0, hi - lo - LENGTH + 1, piece):
-            high = min(low + piece, hi - lo - LENGTH + 1)
-            begin, stop = max(0, low - LENGTH), min(hi - lo, high + 2 * LENGTH)
-            rows = anchor_rows(data[lo + begin : lo + stop], np.array([0]), np.array([stop - begin]), np.arange(low - begin, high - begin), last - begin)
+        for low in range(0, hi - lo - length + 1, piece):
+            high = min(low + piece, hi - lo - length + 1)
+            begin, stop = max(0, low - length), min(hi - lo, high + 2 * length)
+            rows = anchor_rows(data[lo + begin : lo + stop], np.array([0]), np.array([stop - begin]), np.arange(low - begin, high - begin), strings, last - begin)
             rows["at"] = rows["at"] + begin
             if len(rows["at"]):
                 last = max(last, int(rows["at"].max()))
             yield a, rows
 
 
-def anchors(rows: DataFrame) -> DataFrame:
+def anchors(rows: DataFrame, strings: Strings) -> DataFrame:
     """uid, at, side, key, context of all anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             uid = batch.column(0).to_numpy()
-            for first, found in text_anchors(data, off):
+            for first, found in text_anchors(data, off, strings):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(uid[first + found["doc"]]), pa.array(found["at"]), pa.array(found["side"].astype(np.int32)), pa.array(found["key"]), pa.array(found["context"])],
                     ["uid", "at", "side", "key", "context"],
@@ -197,7 +226,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(flat: np.ndarray, starts: np.ndarray, name: np.ndarray, place: np.ndarray) -> np.ndarray:
+def repeated_starts(flat: np.ndarray, starts: np.ndarray, name: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """Which of the ``starts`` begin a string that also begins at another (name, place)."""
     order = suffix_array(flat.astype(np.int64) + 1)
     index = np.full(len(flat), -1)
@@ -211,7 +240,7 @@ def repeated_starts(flat: np.ndarray, starts: np.ndarray, name: np.ndarray, plac
     for k in range(8):
         eight |= wide[k : k + len(flat)].astype(np.uint64) << np.uint64(8 * k)
     same = np.arange(len(p))
-    for k in range(0, LENGTH, 8):
+    for k in sorted({*range(0, length - 7, 8), length - 8}):
         same = same[eight[p[same] + k] == eight[q[same] + k]]
     joined = np.zeros(len(line), dtype=bool)
     joined[same + 1] = True
@@ -229,8 +258,9 @@ def repeated_starts(flat: np.ndarray, starts: np.ndarray, name: np.ndarray, plac
 CONTEXT = "key long, uid long, low long, near int, far int, anchor long, bytes binary"
 
 
-def cut_contexts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+def cut_contexts(wanted: DataFrame, rows: DataFrame, strings: Strings) -> DataFrame:
     """Bytes of the wanted contexts; those of large keys in eighths of their offsets."""
+    length, sides = strings.length, strings.sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,19 +271,19 @@ def cut_contexts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 for item in items.as_py():
                     at, key = item["at"], item["key"]
-                    near, far = SIDES[item["side"]]
+                    near, far = sides[item["side"]]
                     if not item["large"]:
                         low = max(0, at - far)
-                        out.append((key, uid[k], low, near, far, at, text[low : min(len(text), at - near + LENGTH)].tobytes()))
+                        out.append((key, uid[k], low, near, far, at, text[low : min(len(text), at - near + length)].tobytes()))
                         continue
                     width = -(-(far - near + 1) // EIGHTHS)
                     for n in range(near, far + 1, width):
                         f = min(n + width - 1, far)
-                        if at - n < 0 or at - f + LENGTH > len(text):
+                        if at - n < 0 or at - f + length > len(text):
                             continue
-                        shared = hashlib.blake2b(text[at - n : at - f + LENGTH].tobytes(), digest_size=8, key=bytes([n // width])).digest()
+                        shared = hashlib.blake2b(text[at - n : at - f + length].tobytes(), digest_size=8, key=bytes([n // width])).digest()
                         low = max(0, at - f)
-                        out.append((int.from_bytes(shared, "little", signed=True), uid[k], low, n, f, at, text[low : min(len(text), at - n + LENGTH)].tobytes()))
+                        out.append((int.from_bytes(shared, "little", signed=True), uid[k], low, n, f, at, text[low : min(len(text), at - n + length)].tobytes()))
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, o, strict=True)) for o in out], schema=SCHEMA)
 
     lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("key", "at", "side", "large")).alias("items"))
@@ -264,14 +294,14 @@ NAMES = ["key", "uid", "low", "near", "far", "anchor", "bytes"]
 SCHEMA = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("low", pa.int64()), ("near", pa.int32()), ("far", pa.int32()), ("anchor", pa.int64()), ("bytes", pa.binary())])
 
 
-def starts_in(row: dict) -> tuple[int, int]:
+def starts_in(row: dict, length: int) -> tuple[int, int]:
     """First and last start, within the context, of its half's strings."""
     first = max(0, row["anchor"] - row["far"] - row["low"])
-    last = min(row["anchor"] - row["near"] - row["low"], len(row["bytes"]) - LENGTH)
+    last = min(row["anchor"] - row["near"] - row["low"], len(row["bytes"]) - length)
     return first, last
 
 
-def sorted_repeats(contexts: DataFrame) -> DataFrame:
+def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
     """Ranges (uid, low, high) of repeated starts; whole keys, a batch at a time, through one suffix array."""
 
     def batches_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -292,12 +322,12 @@ def sorted_repeats(contexts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of_keys(batches):
-            yield ranges_batch(*batch_repeats(rows))
+            yield ranges_batch(*batch_repeats(rows, length))
 
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), RANGE)
 
 
-def batch_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def batch_repeats(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(uid, place) of the repeated starts in the contexts of some whole keys.
 
     Each context is taken in eighths of its offsets: an eighth whose bytes all
@@ -315,10 +345,10 @@ def batch_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(EIGHTHS):
         n = near + k * width
         f = np.minimum(n + width - 1, far)
-        row = np.flatnonzero((n <= far) & (anchor - n >= 0) & (anchor - f + LENGTH <= size))
+        row = np.flatnonzero((n <= far) & (anchor - n >= 0) & (anchor - f + length <= size))
         n, f, a = n[row], f[row], anchor[row]
-        start, stop = np.maximum(0, a - f), np.minimum(size[row], a - n + LENGTH)
-        shared = ranges.of(base[row] + a - n, base[row] + a - f + LENGTH) ^ mix64((n << 16 | f).astype(np.uint64))
+        start, stop = np.maximum(0, a - f), np.minimum(size[row], a - n + length)
+        shared = ranges.of(base[row] + a - n, base[row] + a - f + length) ^ mix64((n << 16 | f).astype(np.uint64))
         whole = mix64(ranges.of(base[row] + start, base[row] + stop) ^ mix64(shared + (a - start).astype(np.uint64)))
         parts.append((row, start, stop, shared, whole))
     row, start, stop, shared, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -328,7 +358,7 @@ def batch_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     _, group = np.unique(shared[one], return_inverse=True)
     open_group = (np.bincount(group) > 1) & (np.bincount(group, uses == 1) > 0)
     settled = uses[kind] > 1
-    last = stop - LENGTH
+    last = stop - length
     count = np.where(settled, np.maximum(last - start + 1, 0), 0)
     of = np.repeat(np.arange(len(row)), count)
     place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
@@ -338,11 +368,11 @@ def batch_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         r, first, size_ = row[pick], start[pick], stop[pick] - start[pick]
         text = spread(flat, base[r] + first, size_)
         room = np.cumsum(size_) - size_
-        count = np.maximum(size_ - LENGTH + 1, 0)
+        count = np.maximum(size_ - length + 1, 0)
         of = np.repeat(np.arange(len(pick)), count)
         inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         at = inside + first[of] + low[r][of]
-        hit = repeated_starts(text, room[of] + inside, uid[r][of], at)
+        hit = repeated_starts(text, room[of] + inside, uid[r][of], at, length)
         found_uid.append(uid[r][of][hit])
         found_place.append(at[hit])
     found = np.unique(np.stack((np.concatenate(found_uid), np.concatenate(found_place))), axis=1)
@@ -360,18 +390,18 @@ def ranges_batch(uid: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uid[heads], pa.int64()), pa.array(place[heads], pa.int64()), pa.array(place[tails], pa.int64())], ["uid", "low", "high"])
 
 
-def counted_repeats(contexts: DataFrame) -> DataFrame:
+def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
     """The same ranges for keys of any size, string by string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data = np.frombuffer(row["bytes"], dtype=np.uint8)
-                first, last = starts_in(row)
+                first, last = starts_in(row, length)
                 if last < first:
                     continue
                 at = np.arange(first, last + 1)
-                h = Ranges(data).of(at, at + LENGTH).view(np.int64)
+                h = Ranges(data).of(at, at + length).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), row["uid"])), pa.array(at + row["low"])], ["h", "uid", "low"])
 
     strings = stored(contexts.mapInArrow(lean(run), "h long, uid long, low long").distinct(), "strings")
@@ -379,9 +409,11 @@ def counted_repeats(contexts: DataFrame) -> DataFrame:
     return join_groups(strings, counts, "h", "uses", strings.count()).select("uid", "low", F.col("low").alias("high"))
 
 
-def repeated_ranges(rows: DataFrame, group: int = GROUP) -> DataFrame:
+def repeated_ranges(rows: DataFrame, group: int = GROUP, length: int = LENGTH) -> DataFrame:
     """uid and the list of ranges of its repeated starts, from rows (uid, text)."""
-    found = stored(anchors(rows), "anchors")
+    strings = Strings(length)
+    sides = strings.sides
+    found = stored(anchors(rows, strings), "anchors")
     contexts = found.groupBy("context").agg(
         F.count(F.lit(1)).alias("uses"), F.first("key").alias("key"), F.first("uid").alias("uid"), F.first("at").alias("at"), F.first("side").alias("side")
     )
@@ -389,28 +421,28 @@ def repeated_ranges(rows: DataFrame, group: int = GROUP) -> DataFrame:
     total = found.count()
     # settled: whole contexts that repeat
     repeated = contexts.where("uses > 1").select("context", "uses")
-    near = F.when(F.col("side") == 0, SIDES[0][0]).otherwise(SIDES[1][0])
-    far = F.when(F.col("side") == 0, SIDES[0][1]).otherwise(SIDES[1][1])
+    near = F.when(F.col("side") == 0, sides[0][0]).otherwise(sides[1][0])
+    far = F.when(F.col("side") == 0, sides[0][1]).otherwise(sides[1][1])
     settled = join_groups(found.select("uid", "at", "side", "context"), repeated, "context", "uses", total)
     settled = settled.select("uid", (F.col("at") - far).alias("low"), (F.col("at") - near).alias("high"))
     # open: keys with several contexts, one of which occurs once
     keys = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("uses").alias("fewest")).where("members > 1 and fewest = 1")
     keys = stored(keys.select("key", "members"), "keys")
     wanted = join_groups(contexts.select("key", "uid", "at", "side"), keys, "key", "members", total).withColumn("large", F.col("members") > group)
-    open_ = stored(cut_contexts(wanted, rows), "open")
+    open_ = stored(cut_contexts(wanted, rows, strings), "open")
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     large = stored(sizes.where(F.col("members") > group), "large")
-    compared = sorted_repeats(open_.join(large.select("key"), "key", "left_anti"))
-    counted = counted_repeats(open_.join(large.select("key"), "key", "left_semi"))
+    compared = sorted_repeats(open_.join(large.select("key"), "key", "left_anti"), length)
+    counted = counted_repeats(open_.join(large.select("key"), "key", "left_semi"), length)
     every = settled.unionByName(compared).unionByName(counted)
     return every.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
-def removed_spans(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def removed_spans(size: int, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """Maximal removed runs (start, end) of a text of ``size`` bytes."""
-    low, high = np.maximum(low, 0), np.minimum(high, size - LENGTH)
+    low, high = np.maximum(low, 0), np.minimum(high, size - length)
     keep = low <= high
-    low, high = low[keep], high[keep] + LENGTH
+    low, high = low[keep], high[keep] + length
     if not len(low):
         return np.zeros((0, 2), dtype=np.int64)
     order = np.argsort(low, kind="stable")
@@ -420,13 +452,13 @@ def removed_spans(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack((low[heads], high[np.append(heads[1:], len(low)) - 1]), axis=1)
 
 
-def spans_by_row(batch_ranges: pa.Array, sizes: np.ndarray) -> Iterator[np.ndarray]:
+def spans_by_row(batch_ranges: pa.Array, sizes: np.ndarray, length: int = LENGTH) -> Iterator[np.ndarray]:
     for size, ranges in zip(sizes.tolist(), batch_ranges, strict=True):
         values = ranges.values
         if values is None or not len(values):
             yield np.zeros((0, 2), dtype=np.int64)
         else:
-            yield removed_spans(size, values.field("low").to_numpy(), values.field("high").to_numpy())
+            yield removed_spans(size, values.field("low").to_numpy(), values.field("high").to_numpy(), length)
 
 
 def kept_bytes(text: np.ndarray, spans: np.ndarray) -> bytes:
@@ -459,22 +491,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return whole.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """All rows and columns, with the repeated bytes cut from the text.
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+    """All rows and columns, with the bytes of repeated strings of ``length`` bytes cut from the text.
 
     Bytes of a character that is only partly removed go too. Texts stay as they
     are, null included, when nothing in them repeats.
     """
     uid = fresh("uid")
     marked = docs.withColumn(uid, F.xxhash64(F.col(doc_id), text_of(docs, text)))
-    ranges = repeated_ranges(marked.select(F.col(uid).alias("uid"), text_of(docs, text).alias("text"))).select(F.col("uid").alias(uid), F.col("ranges").alias("ranges" + uid))
+    find = repeated_ranges if length == LENGTH else partial(repeated_ranges, length=length)
+    ranges = find(marked.select(F.col(uid).alias("uid"), text_of(docs, text).alias("text"))).select(F.col("uid").alias(uid), F.col("ranges").alias("ranges" + uid))
     names = docs.columns
     where = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(where))
-            spans = list(spans_by_row(batch.column(len(names)), np.diff(off)))
+            spans = list(spans_by_row(batch.column(len(names)), np.diff(off), length))
             old = batch.column(where)
             new = [kept_bytes(data[off[k] : off[k + 1]], s).decode("utf-8", "ignore") if len(s) else old[k].as_py() for k, s in enumerate(spans)]
             columns = list(batch.columns[: len(names)])

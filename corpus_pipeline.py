@@ -18,6 +18,8 @@ from caseloom.llm.tables import lean, stored
 
 HELD_OUT = (3, 1)
 SAMPLE = 1500
+#: bytes that any passage of more than 50 words has: 51 words of one letter, and the spaces between
+PASSAGE = 101
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +51,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: bytes of 400-byte strings that start elsewhere too go."""
-    return without_repeats(docs)
+    """Operator 7, for strings of ``PASSAGE`` bytes: those that start elsewhere too go."""
+    return without_repeats(docs, length=PASSAGE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
