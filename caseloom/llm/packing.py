@@ -16,9 +16,12 @@ empty texts have the end id alone. Rows that repeat are packed as they are.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +50,60 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Added tokens of the vocabulary, from the tokenizer file beside its ranks; none without that file."""
+    file = Path(path).with_suffix(".json")
+    if not file.exists():
+        return {}
+    found = json.loads(file.read_text(encoding="utf-8"))["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError(f"{file}: added tokens that take in or look at their neighbours are not supported")
+    return {t["content"].encode(): t["id"] for t in found if t["content"]}
+
+
+def split_at(raw: bytes, off: np.ndarray, added: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of the rows between and at added tokens: bounds, each row's first segment (and one beyond), added id or -1.
+
+    The left-most token counts, the longest of several at one place; none crosses rows.
+    """
+    if not any(token in raw for token in added):
+        return off, np.arange(len(off)), np.full(len(off) - 1, -1)
+    pattern = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+    bounds, first, ids = [], [], []
+    for low, high in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        first.append(len(ids))
+        at = low
+        for m in pattern.finditer(raw, low, high):
+            bounds += [at, m.start()]
+            ids += [-1, added[m.group()]]
+            at = m.end()
+        bounds.append(at)
+        ids.append(-1)
+    return np.array([*bounds, int(off[-1])], dtype=np.int64), np.array([*first, len(ids)]), np.array(ids, dtype=np.int64)
+
+
 def tokenised(docs: DataFrame, ranks_path: str, end_id: int, kind: str, doc_id: str, text: str) -> DataFrame:
-    """doc_id, two min-hash keys and the ids with the end id, as little-endian integers of ``kind``."""
+    """doc_id, two min-hash keys and the ids with the end id, as little-endian integers of ``kind``.
+
+    Ids are those of the vocabulary's tokenizer file: its added tokens are cut out of a text before pre-tokens are.
+    """
+    added = added_tokens(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks_path).encode_ordinary
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             for a, b in slices(off, STEP_BYTES):
-                raw = data[off[a] : off[b]]
-                parts = Batch(raw, off[a : b + 1] - off[a])
-                raw = raw.tobytes()
+                raw = data[off[a] : off[b]].tobytes()
+                bounds, first, special = split_at(raw, off[a : b + 1] - off[a], added)
+                parts = Batch(np.frombuffer(raw, dtype=np.uint8), bounds)
                 distinct = [encode(raw[i:j].decode()) for i, j in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)]
                 count = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
                 flat = np.fromiter((x for ids in distinct for x in ids), dtype=np.uint32, count=int(count.sum()))
-                ids = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for _, x in parts.assemble(flat, count)]
-                low, high = min_keys(parts)
+                pieces = [x if s < 0 else np.array([s], np.uint32) for (_, x), s in zip(parts.assemble(flat, count), special.tolist(), strict=True)]
+                ids = [np.concatenate((*pieces[i:j], [np.uint32(end_id)])).astype(kind).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                low, high = min_keys(parts.hashes, parts.row[first])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(low), pa.array(high), pa.array(ids, pa.binary())], ["doc_id", "k1", "k2", "ids"]
                 )
@@ -71,16 +112,16 @@ def tokenised(docs: DataFrame, ranks_path: str, end_id: int, kind: str, doc_id:
     return rows.mapInArrow(lean(run), "doc_id long, k1 long, k2 long, ids binary")
 
 
-def min_keys(parts: Batch) -> tuple[np.ndarray, np.ndarray]:
+def min_keys(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two min-hashes of each row's pre-tokens; equal for alike rows with the odds of their likeness."""
-    n = len(parts.row) - 1
-    full = parts.row[1:] > parts.row[:-1]
+    n = len(row) - 1
+    full = row[1:] > row[:-1]
     out = []
     for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         key = np.zeros(n, dtype=np.int64)
         if full.any():
-            mixed = parts.hashes * np.uint64(odd)
-            key[full] = (np.minimum.reduceat(mixed, parts.row[:-1][full]) >> np.uint64(1)).astype(np.int64)
+            mixed = hashes * np.uint64(odd)
+            key[full] = (np.minimum.reduceat(mixed, row[:-1][full]) >> np.uint64(1)).astype(np.int64)
         out.append(key)
     return out[0], out[1]
 
@@ -225,7 +266,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = 1024, end_id:
             )
             sequence += int(table[:, 3].max()) + 1
 
-    kind = "<u2" if max(_encoder(ranks_path).n_vocab, end_id + 1) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(_encoder(ranks_path).n_vocab, end_id + 1, *(i + 1 for i in added_tokens(ranks_path).values())) <= 1 << 16 else "<u4"
     # written once: the ranges are drawn from the keys alone, without tokenising again
     rows = stored(tokenised(docs, ranks_path, end_id, kind, doc_id, text).withColumn("tie", F.xxhash64("doc_id", "ids")), "token-ids")
     near = rows.repartitionByRange("k1", "k2", "tie").sortWithinPartitions("k1", "k2", "tie", "doc_id")

@@ -2,12 +2,16 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from caseloom.llm import suffix
+from caseloom.llm import packing, suffix
+from caseloom.llm.queries import RANKS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,3 +49,17 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     texts = [f"{name} {p} {name}" for name in ("one", "TWO") for p in passages]
     for r in corpus_pipeline.cut_repeats(spark, table(spark, texts), "").collect():
         assert passages[r.doc_id % 3] not in r.text and len(r.text) < 20
+
+
+def test_packing_has_the_library_ids(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"don{end}'t  {end}\n x", f"<|endoftext{end}", "é" + end + " é", "no such token", "", None]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(table(spark, texts), RANKS).collect()
+    for d, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for p in sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes()))
+            at += p.length
+        assert at == len(ids)
