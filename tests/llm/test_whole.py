@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -63,3 +64,45 @@ def test_packing_has_the_library_ids(spark):
             assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes()))
             at += p.length
         assert at == len(ids)
+
+
+def bm25(seed, docs, n, df, mean):
+    """Scores by the formula, over all distinct ids of the seed that another document of ``docs`` has."""
+    out = np.zeros(len(docs))
+    for t in set(docs[seed][:-1].tolist()):
+        if sum(t in d[:-1] for d in docs) > 1:
+            for k, d in enumerate(docs):
+                tf = int((d[:-1] == t).sum())
+                idf = math.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+                out[k] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(d) - 1) / mean))
+    return out
+
+
+def test_bm25_counts_all_documents_and_all_shared_terms():
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, rng.choice([12, 90, 400]), rng.integers(0, 120)), 0).astype("<u2") for _ in range(40)]
+    whole = packing.Corpus.of(docs)
+    df = np.array([sum(t in d[:-1] for d in docs) for t in range(400)])
+    for part in (docs, docs[:15]):
+        index = packing.Bm25(part, whole)
+        for seed in range(len(part)):
+            want = bm25(seed, part, 40, df, np.mean([len(d) - 1 for d in docs]))
+            assert np.allclose(index.scores(seed), want)
+            near = [k for k in np.lexsort((np.arange(len(part)), -want)) if want[k] > 0][: packing.NEIGHBOURS]
+            assert np.allclose(want[index.neighbours(index.scores(seed), np.ones(len(part), bool))], want[near])
+
+
+def test_bm25_term_beyond_the_24_heaviest():
+    # the seed shares 25 rare ids with filler documents; only an id of less weight leads to the last one
+    seed = np.array([*range(100, 125), 5, 0], "<u2")
+    docs = [seed, *[np.array([t, 0], "<u2") for t in range(100, 125)], *[np.array([5, 5, 5, 0], "<u2")] * 3]
+    score = packing.Bm25(docs, packing.Corpus.of(docs)).scores(0)
+    assert (score > 0).all()
+
+
+def test_corpus_counts(spark):
+    docs = [np.array(x, "<u2") for x in ([7, 7, 9, 0], [7, 0], [0], [3, 9, 9, 9, 0])]
+    rows = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "ids binary").repartition(3)
+    got = packing.corpus_counts(rows, "<u2")
+    assert (got.docs, got.mean, {int(t): int(got.df[t]) for t in np.flatnonzero(got.df)}) == (4, 2.0, {3: 1, 7: 2, 9: 2})
+    assert packing.corpus_counts(rows.limit(0), "<u2").docs == 0
