@@ -2,8 +2,9 @@
 
 A hidden state gives the class of the next word, and the class gives the word:
 P(word | state) = P(class | state) * P(word | class). A word's class follows from
-its last letters and length, so new words have one too. Words are split at ASCII
-white space, A-Z in lower case; one end closes each text and is a token.
+its last letters and length, so new words have one too; the table of classes has at
+least twice as many places as the training words have distinct classes. Words are split
+at ASCII white space, A-Z in lower case; one end closes each text and is a token.
 
 Four steps, all of them over all rows:
 
@@ -12,7 +13,8 @@ Four steps, all of them over all rows:
    blocks' distinct words, so a common word costs one row per block, not per use.
 3. Baum-Welch: every task sums expected counts over its blocks, Spark sums them by
    class, and the next round starts from the sums. Long texts are cut into
-   segments here only. The first model comes from ``seed_docs`` training texts.
+   segments here only. The first model has the class counts of all training texts,
+   each weighed by a seeded random factor per state; no text is sampled or cut short.
 4. The scaled forward recursion gives each whole text's exact likelihood.
 
 Base counts c are smoothed as (c + 0.5) / (N + 0.5 (V + 1)); within a class the
@@ -35,7 +37,9 @@ from pyspark.taskcontext import TaskContext
 from caseloom.llm.spans import LOWER, mix64, rows_of, slices, span_hashes, text_bytes, words
 from caseloom.llm.tables import lean, remainder, stored
 
+#: least size of the table of classes
 CLASSES = 1 << 15
+KEYS = (1 << 31) - 1
 END = 0
 BLOCK_BYTES = 4 << 20
 SEGMENT = 256
@@ -44,14 +48,24 @@ BLOCK = "block long, docs array<long>, train binary, sizes binary, codes binary,
 
 
 def word_classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Class of each word, from 1: short words by themselves, others by ending and length."""
+    """Key of each word's class: short words by themselves, others by ending and length."""
     size = ends - starts
     tail = np.zeros(len(starts), dtype=np.uint64)
     for k in range(1, 5):
         use = (size >= k) & ((k < 4) | (size == 4))
         tail[use] |= data[ends[use] - k].astype(np.uint64) << np.uint64(8 * k)
     tail |= np.searchsorted([5, 8, 12], size, "right").astype(np.uint64)
-    return (mix64(tail) % np.uint64(CLASSES - 1)).astype(np.int32) + 1
+    return (mix64(tail) % np.uint64(KEYS)).astype(np.int32)
+
+
+def table_size(distinct: int) -> int:
+    """Places in the table of classes for so many distinct classes of training words."""
+    return max(CLASSES, 1 << (2 * distinct - 1).bit_length() if distinct else 0)
+
+
+def in_table(keys: np.ndarray, table: int) -> np.ndarray:
+    """Class of each key, from 1."""
+    return keys % np.int32(table - 1) + np.int32(1)
 
 
 def planes(code: np.ndarray) -> np.ndarray:
@@ -122,7 +136,7 @@ def entries(blocks: DataFrame) -> DataFrame:
 
 @dataclass
 class Hmm:
-    """start (K), step (K, K), emit (CLASSES, K): P(class | state)."""
+    """start (K), step (K, K), emit (classes, K): P(class | state)."""
 
     start: np.ndarray
     step: np.ndarray
@@ -130,7 +144,7 @@ class Hmm:
 
     @staticmethod
     def from_counts(start: np.ndarray, step: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Hmm:
-        """Smoothed parameters; ``prior`` (CLASSES) is the overall share of each class."""
+        """Smoothed parameters; ``prior`` (classes) is the overall share of each class."""
         k = len(start)
         emit = emit + 50.0 * prior[:, None]
         return Hmm((start + 1) / (start.sum() + k), (step + 1) / (step.sum(axis=1, keepdims=True) + k), emit / emit.sum(axis=0))
@@ -146,8 +160,8 @@ class Hmm:
 class Counts:
     """Expected counts of one task."""
 
-    def __init__(self, k: int) -> None:
-        self.start, self.step, self.emit, self.log10 = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
+    def __init__(self, k: int, table: int = CLASSES) -> None:
+        self.start, self.step, self.emit, self.log10 = np.zeros(k), np.zeros((k, k)), np.zeros((table, k)), 0.0
 
     def add(self, model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """One pass forward and backward over texts, cut into segments that run side by side."""
@@ -191,7 +205,7 @@ class Counts:
         which = np.concatenate([classes[begin[:n] + t] for t, n in enumerate(alive)])
         gamma = np.concatenate(gammas)
         for j in range(k):
-            self.emit[:, j] += np.bincount(which, gamma[:, j], minlength=CLASSES)
+            self.emit[:, j] += np.bincount(which, gamma[:, j], minlength=len(self.emit))
 
 
 def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -200,11 +214,11 @@ def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def coded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def coded(row: dict, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class of each token with the ends, and each text's start and size, and training flag."""
     sizes = np.frombuffer(row["sizes"], dtype=np.int32).astype(np.int64)
     codes = from_planes(row["codes"])
-    classes = np.frombuffer(row["classes"], dtype=np.int32)
+    classes = in_table(np.frombuffer(row["classes"], dtype=np.int32), table)
     full = sizes + 1
     starts = np.cumsum(full) - full
     out = np.full(int(full.sum()), END, dtype=np.int32)
@@ -216,13 +230,13 @@ def coded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def expected(blocks: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over all training texts, summed by class in Spark."""
-    k = len(model.start)
+    table, k = model.emit.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(k)
+        counts = Counts(k, table)
         for batch in batches:
             for row in each_row(batch):
-                classes, starts, sizes, train = coded(row)
+                classes, starts, sizes, train = coded(row, table)
                 if train.any():
                     counts.add(model, classes, starts[train], sizes[train])
         # rows: a class, or below zero the start (-1) and the steps (-2 - state)
@@ -233,7 +247,7 @@ def expected(blocks: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.
 
     schema = "key long, " + ", ".join(f"s{j} double" for j in range(k))
     sums = blocks.select("sizes", "codes", "classes", "train").mapInArrow(lean(run), schema).groupBy("key").sum(*[f"s{j}" for j in range(k)])
-    start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+    start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((table, k))
     for row in sums.collect():
         if row[0] >= 0:
             emit[row[0]] = row[1:]
@@ -244,45 +258,10 @@ def expected(blocks: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.
     return start, step, emit
 
 
-def first_model(blocks: DataFrame, k: int, seed_docs: int, prior: np.ndarray, rounds: int = 12) -> Hmm:
-    """A model from the ``seed_docs`` training texts with the smallest hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in each_row(batch):
-                classes, starts, sizes, train = coded(row)
-                names = np.array([d if d is not None else -1 for d in row["docs"]], dtype=np.int64)
-                order = mix64(names.astype(np.uint64)) >> np.uint64(1)
-                at = np.flatnonzero(train)
-                at = at[np.argsort(order[at], kind="stable")][:seed_docs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[at].astype(np.int64)), pa.array([classes[starts[i] : starts[i] + min(sizes[i], 2 * SEGMENT)].tobytes() for i in at], pa.binary())],
-                    ["place", "classes"],
-                )
-
-    rows = blocks.select("docs", "sizes", "codes", "classes", "train").mapInArrow(lean(run), "place long, classes binary")
-    found = [np.frombuffer(r[1], dtype=np.int32) for r in rows.orderBy("place", "classes").limit(seed_docs).collect()]
-    flat = np.full(k, 1.0)
-    if not found:
-        return Hmm.from_counts(flat, np.ones((k, k)), np.zeros((CLASSES, k)), prior)
-    # seeds: texts least like the ones chosen before, by their classes; the emission starts there
-    shares = np.stack([np.bincount(f, minlength=CLASSES) / len(f) for f in found if len(f) >= min(32, max(map(len, found)))]).astype(np.float32)
-    weight = 1 / np.sqrt(prior + 1e-4)
-    unit = shares * weight
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    chosen, near = [0], unit @ unit[0]
-    while len(chosen) < k:
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, unit @ unit[chosen[-1]])
-    emit = 200 * shares[chosen].T
-    model = Hmm.from_counts(flat, np.ones((k, k)) + 20 * np.eye(k), emit, prior)
-    classes = np.concatenate(found)
-    sizes = np.array([len(f) for f in found])
-    for _ in range(rounds):
-        counts = Counts(k)
-        counts.add(model, classes, np.cumsum(sizes) - sizes, sizes)
-        model = Hmm.from_counts(counts.start, counts.step, counts.emit, prior)
-    return model
+def first_model(k: int, prior: np.ndarray, seed: int = 1) -> Hmm:
+    """States that tend to stay, each with the shares of all training words times a random factor per class."""
+    factor = np.random.default_rng(seed).standard_gamma(1.0, (len(prior), k))
+    return Hmm.from_counts(np.ones(k), np.ones((k, k)) + k * np.eye(k), 1000 * prior[:, None] * factor, prior)
 
 
 def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -304,13 +283,17 @@ def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return total
 
 
-def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states: int = 8, rounds: int = 2, seed_docs: int = 600, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states: int = 8, rounds: int = 14, seed_docs: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``seed_docs`` has no effect any more: the first model is not drawn from single texts.
+    """
     blocks = to_blocks(docs, held_out, doc_id, text)
     known = entries(blocks)
     counts = stored(known.where("uses > 0").groupBy("word").agg(F.sum("uses").alias("c"), F.min("class").alias("class")), "hmm-counts")
-    by_class = np.zeros((CLASSES, 2))
-    for row in counts.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect():
+    table = table_size(counts.select("class").distinct().count())
+    by_class = np.zeros((table, 2))
+    for row in counts.groupBy((F.col("class") % (table - 1) + 1).alias("class")).agg(F.sum("c"), F.count(F.lit(1))).collect():
         by_class[row[0]] = row[1:]
     ends = blocks.select(F.explode("docs").alias("d")).where((remainder("d", held_out[0]) != held_out[1])).count()
     tokens = float(by_class[:, 0].sum() + ends)
@@ -319,7 +302,7 @@ def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states:
     share[END] += ends
     prior = share / share.sum()
 
-    model = first_model(blocks, states, seed_docs, prior)
+    model = first_model(states, prior)
     for _ in range(rounds):
         model = Hmm.from_counts(*expected(blocks, model), prior)
 
@@ -333,8 +316,8 @@ def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 one = {c: row.column(c)[0].as_py() for c in ("docs", "train", "sizes", "codes", "classes")}
-                classes, starts, sizes, train = coded(one)
-                own = np.frombuffer(one["classes"], dtype=np.int32)
+                classes, starts, sizes, train = coded(one, table)
+                own = in_table(np.frombuffer(one["classes"], dtype=np.int32), table)
                 c = np.zeros(len(own))
                 pairs = row.column("found")[0].values
                 if pairs is not None and len(pairs):

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from caseloom.llm import packing, suffix
+from caseloom.llm import hmm, packing, suffix
 from caseloom.llm.queries import RANKS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,3 +106,29 @@ def test_corpus_counts(spark):
     got = packing.corpus_counts(rows, "<u2")
     assert (got.docs, got.mean, {int(t): int(got.df[t]) for t in np.flatnonzero(got.df)}) == (4, 2.0, {3: 1, 7: 2, 9: 2})
     assert packing.corpus_counts(rows.limit(0), "<u2").docs == 0
+
+
+def test_language_model_learns_from_whole_texts(spark, monkeypatch):
+    # every Baum-Welch round counts every training token, the first one included
+    texts = ["tail " * 40 + f"w{k} " * (1500 if k == 3 else 5) for k in range(12)]
+    train = [len(t.split()) + 1 for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    seen, expected = [], hmm.expected
+
+    def watched(blocks, model):
+        start, step, emit = expected(blocks, model)
+        seen.append((round(float(start.sum()), 2), round(float(emit.sum()))))
+        return start, step, emit
+
+    monkeypatch.setattr(hmm, "expected", watched)
+    local = []
+    monkeypatch.setattr(hmm.Counts, "add", lambda self, *a, add=hmm.Counts.add: (local.append(1), add(self, *a))[1])
+    assert hmm.language_scores(table(spark, texts), rounds=4).count() == 12
+    assert seen == [(len(train), sum(train))] * 4
+    assert not local, "Baum-Welch on the driver"
+
+
+def test_table_of_classes_grows():
+    assert hmm.table_size(0) == hmm.CLASSES
+    assert all(hmm.table_size(n) >= 2 * n for n in (1, 20_000, 1 << 20, (1 << 20) + 1))
+    keys = np.array([0, 1, hmm.KEYS - 1], np.int32)
+    assert hmm.in_table(keys, 1 << 17).min() >= 1 and hmm.in_table(keys, 1 << 17).max() < 1 << 17
