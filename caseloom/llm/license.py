@@ -4,8 +4,9 @@ The canonical form of a line is its words in lower case: signs and white space
 become single spaces and equivalent spellings one form. A copyright line ("Copyright
 ...", "(c) 2020 ...", "All rights reserved") is dropped. The canonical form of a
 text joins those of its lines, so line breaks do not count. Its digest is
-hash-joined with the digests of known licence texts; each single line's digest with
-those of known notices. The known table is fixed, so it is broadcast.
+hash-joined with the digests of known licence texts, short and long; each single
+line's digest with those of known notices. Texts and lines are brought to that form
+at any length. The known table is fixed, so it is broadcast.
 
 Result, one row per input row: doc_id, license (null if the text as a whole is no
 known licence), notices (distinct licences named by its lines, sorted, joined by a
@@ -18,18 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.license_texts import EQUIVALENT, NOTICES, TEXTS
+from caseloom.llm.license_texts import EQUIVALENT, LONG_DIGESTS, NOTICES, TEXTS
 from caseloom.llm.tables import text_of
 
 SIGNS = r"[^\p{L}\p{N}]+"
 COPYRIGHT = r"^(copyright( .*)?|c [0-9]{4}.*|all rights reserved)$"
-#: No known text or notice is longer in canonical form, with room for longer spellings.
+#: The SQL leaves spellings as they are in texts that are longer in canonical form; the operator does not.
 LONGEST = 2000
 SPELLINGS = "|".join(sorted(EQUIVALENT))
 
 
 def spelled(words: Column) -> Column:
-    """One form for equivalent spellings. Only texts that could equal a known one need it."""
+    """One form for equivalent spellings."""
     for old, new in EQUIVALENT.items():
         words = F.regexp_replace(words, rf"\b{old}\b", new)
     return words
@@ -42,7 +43,7 @@ def canonical(text: Column) -> Column:
 
 
 def digest(words: Column) -> Column:
-    near = F.when((F.char_length(words) <= LONGEST) & words.rlike(rf"\b({SPELLINGS})\b"), spelled(words)).otherwise(words)
+    near = F.when(words.rlike(rf"\b({SPELLINGS})\b"), spelled(words)).otherwise(words)
     return F.sha2(near, 256)
 
 
@@ -51,16 +52,17 @@ def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     texts = spark.createDataFrame(list(TEXTS.items()), "license string, text string")
     notices = spark.createDataFrame([(k, x) for k, v in NOTICES.items() for x in v], "license string, text string")
     both = [t.select("license", digest(canonical(F.col("text"))).alias("sha")) for t in (texts, notices)]
-    return both[0], both[1]
+    long = spark.createDataFrame(list(LONG_DIGESTS.items()), "sha string, license string").select("license", "sha")
+    return both[0].unionByName(long), both[1]
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     texts, notices = known(docs.sparkSession)
     found = {r["sha"]: r["license"] for r in notices.collect()}
-    longest = max(len(x) for v in NOTICES.values() for x in v) + 16
-    # lines as long as a notice at most, in canonical form
-    lines = F.filter(F.split(F.lower(text_of(docs, text)), "\n"), lambda x: (F.char_length(x) <= 2 * longest) & (x != ""))
-    shas = F.transform(lines, lambda x: digest(F.trim(F.regexp_replace(x, SIGNS, " "))))
+    # a line's words, as long as a notice at most with room for longer spellings: what is longer equals none
+    longest = 2 * max(len(x) for v in NOTICES.values() for x in v)
+    lines = F.transform(F.split(F.lower(text_of(docs, text)), "\n"), lambda x: F.trim(F.regexp_replace(x, SIGNS, " ")))
+    shas = F.transform(F.filter(lines, lambda x: (F.char_length(x) <= longest) & (x != "")), digest)
     table = F.create_map(*[F.lit(v) for pair in found.items() for v in pair])
     named = F.filter(F.transform(shas, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest(canonical(text_of(docs, text))).alias("canonical_sha256"), F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notices"))

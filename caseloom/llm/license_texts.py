@@ -129,3 +129,20 @@ NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "BSD-3-Clause": ["SPDX-License-Identifier: BSD-3-Clause"],
 }
+
+# fixed values: canonical digests of whole long licences, as Debian ships them in /usr/share/common-licenses
+LONG_DIGESTS = {
+    "b41b69f0dea0598ca720f95f7c676dc79782779377951993e5bdd566fec422f3": "Apache-2.0",
+    "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a": "Artistic-1.0-Perl",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86": "GFDL-1.2",
+    "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb": "GFDL-1.3",
+    "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c": "GPL-1.0",
+    "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1": "GPL-2.0",
+    "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30": "GPL-3.0",
+    "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d": "LGPL-2.0",
+    "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}

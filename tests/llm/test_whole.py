@@ -3,7 +3,9 @@
 import collections
 import math
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from caseloom.llm import hmm, packing, suffix
+from caseloom.llm import hmm, license, license_texts, packing, suffix
 from caseloom.llm.queries import RANKS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,3 +134,23 @@ def test_table_of_classes_grows():
     assert all(hmm.table_size(n) >= 2 * n for n in (1, 20_000, 1 << 20, (1 << 20) + 1))
     keys = np.array([0, 1, hmm.KEYS - 1], np.int32)
     assert hmm.in_table(keys, 1 << 17).min() >= 1 and hmm.in_table(keys, 1 << 17).max() < 1 << 17
+
+
+def test_licenses_at_any_length(spark):
+    notice = "Licensed under the MIT License."
+    texts = [f"some code\n{sign * n} {notice} {sign * n}\nmore" for n in (80, 2000) for sign in "*-"]
+    long = ["plain words here " * 300 + w + " and so on" for w in ("licence", "license", "other")]
+    got = {r.doc_id: r for r in license.license_scan(table(spark, [*texts, *long])).collect()}
+    assert [got[k].notices for k in range(len(texts))] == ["MIT"] * len(texts)
+    a, b, c = (got[len(texts) + k].canonical_sha256 for k in range(3))
+    assert a == b != c
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/Apache-2.0").exists(), reason="no copies of the texts")
+def test_long_licenses(spark):
+    texts = [Path("/usr/share/common-licenses", n).read_text(encoding="utf-8") for n in ("Apache-2.0", "GPL-3", "LGPL-2.1", "MPL-2.0")]
+    texts.append("Copyright 2021 A. Person\n" + re.sub(r"\bLICENSE\b", "LICENCE", texts[0].upper()))
+    texts.append(texts[0] + " more")
+    got = {r.doc_id: r.license for r in license.license_scan(table(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == ["Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Apache-2.0", None]
+    assert len(license_texts.LONG_DIGESTS) == 13
