@@ -201,13 +201,19 @@ def block_links(blocks: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, set_id, n_links (and uid, the row's own hash)."""
+    """One row per input row: doc_id, class_id, set_id, n_links (and uid, the row's own hash; stays, the uid of its linked group's first row).
+
+    The first row has the least (doc_id, uid), null ids last: an id alone may name several rows, in several groups.
+    """
     rows = docs.select(F.xxhash64(F.col(doc_id), text_of(docs, text)).alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     marked = stored(sketches(rows), "sketches")
     total = marked.count()
     worded = marked.where("n > 0")
     classes = stored(
-        worded.groupBy("key").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("size"), F.min("uid").alias("uid"), F.first("sig").alias("sig")), "classes"
+        worded.groupBy("key").agg(
+            F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("size"), F.min("uid").alias("uid"), F.first("sig").alias("sig"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("head"),
+        ), "classes",
     )
     # candidate components
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -229,14 +235,14 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     trees = components(found.where("key <> tree").select(F.col("key").alias("a"), F.col("tree").alias("b")))
     links = found.groupBy("key").agg(F.sum("docs").alias("docs"))
     # back to the documents
-    info = classes.select("key", "set_id", "size").join(links, "key", "left").join(trees.withColumnRenamed("node", "key"), "key", "left")
+    info = classes.select("key", "set_id", "size", "head").join(links, "key", "left").join(trees.withColumnRenamed("node", "key"), "key", "left")
     info = info.withColumn("label", F.coalesce("label", "key"))
-    least = info.groupBy("label").agg(F.min("set_id").alias("class_id"))
+    least = info.groupBy("label").agg(F.min("set_id").alias("class_id"), F.min("head").getField("uid").alias("stays"))
     info = stored(
-        info.join(least, "label").select("key", "set_id", "class_id", "size", (F.coalesce("docs", F.lit(0)) + F.col("size") - 1).alias("n_links")), "classes"
+        info.join(least, "label").select("key", "set_id", "class_id", "stays", "size", (F.coalesce("docs", F.lit(0)) + F.col("size") - 1).alias("n_links")), "classes"
     )
-    out = join_groups(worded.select("doc_id", "uid", "key"), info, "key", "size", total).select("doc_id", "class_id", "set_id", "n_links", "uid")
-    empty = marked.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), "uid")
+    out = join_groups(worded.select("doc_id", "uid", "key"), info, "key", "size", total).select("doc_id", "class_id", "set_id", "n_links", "uid", "stays")
+    empty = marked.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), "uid", F.col("uid").alias("stays"))
     return out.unionByName(empty)
 
 
@@ -260,8 +266,8 @@ def with_sets(chosen: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the least id of each linked group stays, all columns; rows equal in id and text share a decision."""
+    """The row with the least (id, hash of id and text) of each linked group stays, all columns, null ids last; rows equal in id and text share a decision."""
     uid = fresh("uid")
-    gone = jaccard_groups(docs, doc_id, text).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("uid").alias(uid)).distinct()
+    gone = jaccard_groups(docs, doc_id, text).where("uid <> stays").select(F.col("uid").alias(uid)).distinct()
     marked = docs.withColumn(uid, F.xxhash64(F.col(doc_id), text_of(docs, text)))
     return marked.join(gone, uid, "left_anti").drop(uid)

@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from caseloom.llm import hmm, license, license_texts, packing, suffix
+from caseloom.llm import hmm, jaccard, license, license_texts, packing, suffix
 from caseloom.llm.queries import RANKS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -154,3 +154,14 @@ def test_long_licenses(spark):
     got = {r.doc_id: r.license for r in license.license_scan(table(spark, texts)).collect()}
     assert [got[k] for k in range(6)] == ["Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Apache-2.0", None]
     assert len(license_texts.LONG_DIGESTS) == 13
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    words = [f"w{k}" for k in range(80)]
+    near = [" ".join([*words[:40], x, *words[40:]]) for x in "abc"]
+    alone = "nothing like the others at all"
+    for ids in ([5, 5, 5, 5], [None] * 4, [None, 4, 4, 9], [7, None, None, 7]):
+        left = [(r.doc_id, r.text) for r in jaccard.drop_near_copies(table(spark, [*near, alone], ids)).collect()]
+        kept = [d for d, t in left if t != alone]
+        assert len(left) == 2 and (ids[3], alone) in left
+        assert kept == [min((i for i in ids[:3] if i is not None), default=None)]
