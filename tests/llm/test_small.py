@@ -233,7 +233,6 @@ def test_forward_is_exact():
 def pieces_are_whole(pieces, texts):
     """texts: (doc_id, text) with distinct ids."""
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for d, t in texts:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         at = 0
