@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import ann, exact, license, packing
+from caseloom.llm import ann, contamination, exact, license, packing
 from caseloom.llm.bpe import bpe_round_trip
 from caseloom.llm.hmm import language_scores
 from caseloom.llm.jaccard import jaccard_groups
@@ -65,11 +65,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), RANKS)
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_ngram_jaccard_join, op3_byte_bpe, op4_nearest_neighbours, op5_license_scan,
         op6_quality_classifier, op7_suffix_array_dedup, op8_toxicity, op9_lm_scoring, op10_packing,
+        op12_benchmark_decontamination,
     )
 }
 
@@ -77,4 +82,5 @@ SQL: dict[str, str] = {
     "op1_exact_dedup": exact.SQL,
     "op4_nearest_neighbours": ann.SQL,
     "op5_license_scan": license.oracle_sql(),
+    "op12_benchmark_decontamination": contamination.SQL,
 }
