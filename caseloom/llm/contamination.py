@@ -80,7 +80,7 @@ def _let_through(at: DataFrame, keys: DataFrame, total: int) -> DataFrame:
     """Positions whose key may be among ``keys``, by a bitmap with 16 bits a key."""
     blocks = max(1, -(-total * 16 // (1 << 15)))
     block, places = _cells(F.col("key"), blocks)
-    cells = keys.select(block.alias("b"), F.explode(F.array(*places)).cast("long").alias("p"))
+    cells = keys.select(block.alias("b"), F.explode(F.array(*[p.cast("long") for p in places])).alias("p"))
     bits = cells.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
     if blocks <= 1 << 14:
         bits = F.broadcast(bits)

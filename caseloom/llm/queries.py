@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseloom.llm import ann, contamination, exact, license, packing
+from caseloom.llm import ann, contamination, exact, license, negatives, packing
 from caseloom.llm.bpe import bpe_round_trip
 from caseloom.llm.hmm import language_scores
 from caseloom.llm.jaccard import jaccard_groups
@@ -69,12 +70,17 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_ngram_jaccard_join, op3_byte_bpe, op4_nearest_neighbours, op5_license_scan,
         op6_quality_classifier, op7_suffix_array_dedup, op8_toxicity, op9_lm_scoring, op10_packing,
-        op12_benchmark_decontamination,
+        op12_benchmark_decontamination, op13_hard_negatives,
     )
 }
 
@@ -83,4 +89,5 @@ SQL: dict[str, str] = {
     "op4_nearest_neighbours": ann.SQL,
     "op5_license_scan": license.oracle_sql(),
     "op12_benchmark_decontamination": contamination.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
