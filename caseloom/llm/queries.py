@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import ann, contamination, exact, license, negatives, packing
+from caseloom.llm import ann, contamination, exact, license, negatives, packing, variants
 from caseloom.llm.bpe import bpe_round_trip
 from caseloom.llm.hmm import language_scores
 from caseloom.llm.jaccard import jaccard_groups
@@ -66,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), RANKS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(variants.vocabulary(_table(spark, sf_dir, "documents")))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -80,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_exact_dedup, op2_ngram_jaccard_join, op3_byte_bpe, op4_nearest_neighbours, op5_license_scan,
         op6_quality_classifier, op7_suffix_array_dedup, op8_toxicity, op9_lm_scoring, op10_packing,
-        op12_benchmark_decontamination, op13_hard_negatives,
+        op11_spelling_variants, op12_benchmark_decontamination, op13_hard_negatives,
     )
 }
 
@@ -88,6 +92,7 @@ SQL: dict[str, str] = {
     "op1_exact_dedup": exact.SQL,
     "op4_nearest_neighbours": ann.SQL,
     "op5_license_scan": license.oracle_sql(),
+    "op11_spelling_variants": variants.SQL,
     "op12_benchmark_decontamination": contamination.SQL,
     "op13_hard_negatives": negatives.SQL,
 }

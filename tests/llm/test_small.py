@@ -276,6 +276,6 @@ def test_pipeline(spark, docs):
 
 
 def test_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(SQL) <= set(QUERIES)
     json.dumps(SQL)
