@@ -23,10 +23,11 @@ from caseloom.session import cut, small
 from caseloom.sources.logs import events_log, items_log, orders_flow, orders_log, turns_log
 
 
-def edges_sql(threshold: float) -> str:
-    """``edges`` with the noise filter, ``kept`` edges."""
-    return f"""pairs_of AS (SELECT activity AS source, coalesce(lead(activity) OVER (PARTITION BY case_id ORDER BY pos), 'EOS') AS target FROM log
-      UNION ALL SELECT 'START', activity FROM log WHERE pos = 1),
+def edges_sql(threshold: float, learned: bool = False) -> str:
+    """``edges`` with the noise filter, ``kept`` edges; ``learned`` looks at train and validation cases only."""
+    seen = "(SELECT log.* FROM log JOIN split USING (case_id) WHERE split <> 'test')" if learned else "log"
+    return f"""pairs_of AS (SELECT activity AS source, coalesce(lead(activity) OVER (PARTITION BY case_id ORDER BY pos), 'EOS') AS target FROM {seen}
+      UNION ALL SELECT 'START', activity FROM {seen} WHERE pos = 1),
     edges AS MATERIALIZED (SELECT source, target, count(*) AS n, count(*) >= {threshold} * max(count(*)) OVER (PARTITION BY source) AS kept FROM pairs_of GROUP BY source, target),
     kept AS MATERIALIZED (SELECT source, target FROM edges WHERE kept)"""
 

@@ -9,11 +9,10 @@ from caseloom.catalog.flow import DECISIONS, PLACES, edges_sql
 from caseloom.catalog.registry import i64, query, r6, r6up
 from caseloom.catalog.shared import dist_text, mined_priors, with_z
 from caseloom.functions.text import rule_text
-from caseloom.operators.cases import split_cases, with_split
-from caseloom.operators.encode import scalers
+from caseloom.operators.cases import only_split, split_cases, with_split
+from caseloom.operators.encode import apply_scalers, scaler_values, scalers
 from caseloom.operators.flow import align, decisions, directly_follows, incoming_transitions, net_from_edges
 from caseloom.operators.mine import (
-    ModelConfig,
     class_weights,
     displayed_rule,
     feature_names,
@@ -26,13 +25,14 @@ from caseloom.operators.mine import (
     samples,
     save_results,
     stratified_holdout,
+    synced,
 )
 from caseloom.operators.label import place_diagnostics
 from caseloom.operators.ordering import join_cases, settle
 from caseloom.session import cut, scratch_path, small
 from caseloom.sources.logs import events_log, orders_log, planted_log, turns_log
 
-TRAINED = f"{edges_sql(0.0)}, {PLACES}, {DECISIONS}, {sql.SPLIT}"
+TRAINED = f"{sql.SPLIT}, {edges_sql(0.0, learned=True)}, {PLACES}, {DECISIONS}"
 PRIORS = """prior AS (SELECT place, target AS label, count(*) AS support, count(*) / sum(count(*)) OVER (PARTITION BY place) AS p
    FROM records JOIN split USING (case_id) WHERE split = 'train' GROUP BY place, target)"""
 ZTEXT = """zt AS (SELECT place, string_agg(label || '=' || CAST(CAST(round(p * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY label) AS z FROM prior GROUP BY place)"""
@@ -227,20 +227,25 @@ def rule_texts_in_units(spark, sf_dir):
 
 # --- learned models ---------------------------------------------------------
 
-SMALL_MODELS = ModelConfig(rounds=20)
+END_ROWS = 5
 
 
 def mined_models(spark, sf_dir, make, dyn_cat, dyn_num, sta_cat=()):
-    """Models of one log, with the log, its net and its samples."""
+    """Models of one log, with the log (numbers scaled), its net and its samples.
+
+    Net, scalers and models see train and validation cases only; scalers the train cases.
+    """
     log = make(spark, sf_dir)
     log = settle(with_split(log, split_cases(log.events)))
-    edges = cut(directly_follows(log))
+    fitted = scaler_values(scalers(log.events.where("split = 'train'"), dyn_num, end_rows=END_ROWS))
+    log = log.with_events(apply_scalers(log.events, fitted))
+    edges = cut(directly_follows(only_split(log, "train", "val")))
     net = net_from_edges(edges)
     split = log.events.where("pos = 1").select("case_id", "split")
     records = join_cases(decisions(align(log, edges), net), split, log.spans)
-    rows = samples(records, log, dyn_cat, dyn_num, sta_cat)
+    rows = samples(records, synced(log, edges), dyn_cat, dyn_num, sta_cat)
     cats, nums = feature_names(dyn_cat, dyn_num, sta_cat)
-    return log, net, rows, mine(spark, rows.where("split <> 'test'").drop("split"), net, cats, nums, SMALL_MODELS)
+    return log, net, rows, mine(rows.where("split <> 'test'").drop("split"), net, cats, nums, fitted=fitted)
 
 
 def planted_models(spark, sf_dir):
@@ -251,7 +256,7 @@ def planted_models(spark, sf_dir):
 def place_models(spark, sf_dir):
     _, _, rows, result = planted_models(spark, sf_dir)
     scored = predict(rows.where("split = 'test'"), result)
-    kinds = spark.createDataFrame([(p, m.kind, m.rows) for p, m in result.models.items()], "place string, kind string, train_rows bigint")
+    kinds = result.places.select("place", "kind", F.col("rows").alias("train_rows"))
     return place_diagnostics(scored).join(small(kinds), "place").select(
         "place", "kind", "train_rows", "support", r6("top1_accuracy").alias("top1"), r6("majority_baseline").alias("majority")
     )
@@ -261,7 +266,7 @@ def place_models(spark, sf_dir):
 def boosted_place_models(spark, sf_dir):
     _, _, rows, result = mined_models(spark, sf_dir, turns_log, [], ["chars"])
     scored = predict(rows.where("split = 'test'"), result)
-    kinds = spark.createDataFrame([(p, m.kind, m.rows) for p, m in result.models.items()], "place string, kind string, train_rows bigint")
+    kinds = result.places.select("place", "kind", F.col("rows").alias("train_rows"))
     return place_diagnostics(scored).join(small(kinds), "place").select(
         "place", "kind", "train_rows", "support", r6("top1_accuracy").alias("top1"), r6("majority_baseline").alias("majority")
     )
@@ -270,7 +275,7 @@ def boosted_place_models(spark, sf_dir):
 @query("mined_guards", "G11 G12 G13")
 def mined_guards(spark, sf_dir):
     _, _, _, result = planted_models(spark, sf_dir)
-    return guards(spark, result).select(
+    return guards(result).select(
         "place", "label", "rule", "raw_rule", r6("prob_model").alias("prob_model"), r6("prob_emp").alias("prob_emp"),
         "support", r6("coverage").alias("coverage"), r6("lift").alias("lift"), r6("score").alias("score"),
     )
@@ -278,11 +283,8 @@ def mined_guards(spark, sf_dir):
 
 @query("decision_results_store", "A7")
 def decision_results_store(spark, sf_dir):
-    log, net, _, result = planted_models(spark, sf_dir)
-    table = scalers(log.events.where("split = 'train'"), ["o_totalprice"], end_rows=5)
-    paths = save_results(
-        spark, result, guards(spark, result), incoming_transitions(net), table, scratch_path(spark, "decisions")
-    )
+    _, net, _, result = planted_models(spark, sf_dir)
+    paths = save_results(result, guards(result), incoming_transitions(net), scratch_path(spark, "decisions"))
     places = spark.read.parquet(paths["places"])
     flat = spark.read.parquet(paths["guards_flat"]).groupBy("place").agg(F.count(F.lit(1)).alias("flat_rules"))
     return places.join(flat, "place", "left").select(

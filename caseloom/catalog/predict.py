@@ -25,10 +25,9 @@ from caseloom.operators.guide import (
     reasoning_counters,
     reasoning_steps,
     state_decisions,
-    tree_scorer,
 )
 from caseloom.operators.ordering import join_cases, settle
-from caseloom.operators.mine import distributions, feature_state, guards, prior_guards, priors
+from caseloom.operators.mine import distributions, feature_state, guards, prior_guards, priors, scorer
 from caseloom.operators.predict import (
     attach_state,
     attribute_model,
@@ -246,15 +245,14 @@ def stored_decoded_rows(spark, sf_dir):
 # under a fifth splits each branch list into supported and unsupported ones.
 TAU = 0.18
 CFG = Guidance(support_threshold=TAU)
-PLACE_RULES = f"{edges_sql(0.0)}, {PLACES}, {DECISIONS}"
-GUIDED_BASE = f"{PLACE_RULES}, {BASE}, {PRIORS}"
+GUIDED_BASE = f"{BASE}, {edges_sql(0.0, learned=True)}, {PLACES}, {DECISIONS}, {PRIORS}"
 SUPPORTED = f"supp AS (SELECT place, list_sort(list(label)) AS labels FROM prior WHERE p >= {TAU} GROUP BY place)"
 
 
 def guided_setup(spark, sf_dir, cfg=CFG, extra=()):
     """Limited test prefixes, model, prior decisions."""
     log, train, model, pairs, steps = prepared(spark, sf_dir, orders_log, extra)
-    edges = cut(directly_follows(log))
+    edges = cut(directly_follows(only_split(log, "train", "val")))
     net = net_from_edges(edges)
     split = log.events.where("pos = 1").select("case_id", "split")
     records = join_cases(decisions(align(log, edges), net), split, log.spans)
@@ -560,9 +558,9 @@ def tree_guided_reasoning(spark, sf_dir):
     pairs = with_limit(prefix_suffix_pairs(test, window, MIN_SUFFIX, [*cats, *nums, *statics]), window, MIN_SUFFIX)
     state = start_state_features(pairs, cats, nums).withColumns({c: F.element_at(c, -1) for c in statics})
     decide = state_decisions(
-        decision_context(net), CFG, tree_scorer(spark, result), attribute_model(train, cats, nums), cats, nums, statics
+        decision_context(net), CFG, scorer(result), attribute_model(train, cats, nums), cats, nums, statics
     )
     done = guided_mode(state, model, window - MIN_SUFFIX, decide)
-    told = explain(reasoning_steps(done, ["case_id", "prefix_len"]), guards(spark, result), ["case_id", "prefix_len"])
+    told = explain(reasoning_steps(done, ["case_id", "prefix_len"]), guards(result), ["case_id", "prefix_len"])
     out = reasoning_counters(told, ["case_id", "prefix_len"])
     return out.select("case_id", "prefix_len", "decision_steps", "conflicts", "explained_steps", "explainable_decision_steps", "rule_unmatched")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.operators.cases import split_cases, with_split
+from caseloom.operators.cases import only_split, split_cases, with_split
 from caseloom.operators.flow import Net, align, decisions, directly_follows, net_from_edges
 from caseloom.operators.label import label_events
 from caseloom.operators.mine import distributions, priors
@@ -29,9 +29,10 @@ class Mined:
 
 
 def mined_priors(spark, sf_dir, make=orders_log, threshold: float = 0.0) -> Mined:
+    """Net from train and validation cases, priors from train cases, records of all cases."""
     log = make(spark, sf_dir)
     log = settle(with_split(log, split_cases(log.events)))
-    edges = cut(directly_follows(log, threshold))
+    edges = cut(directly_follows(only_split(log, "train", "val"), threshold))
     net = net_from_edges(edges)
     records = decisions(align(log, edges), net)
     split = log.events.where("pos = 1").select("case_id", "split")

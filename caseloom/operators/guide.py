@@ -213,17 +213,6 @@ def state_decisions(
     return Decisions(context, cfg, score, roll, recorded_nums, recorded_cats)
 
 
-def tree_scorer(spark, mined) -> Callable[[DataFrame], DataFrame]:
-    """Distribution of each place from its surrogate tree, as one column expression."""
-    from caseloom.operators.mine import tree_expression
-
-    whens = F.lit(None).cast("map<string,double>")
-    for place, model in mined.models.items():
-        whens = F.when(F.col("place") == place, tree_expression(spark, model)).otherwise(whens)
-
-    return lambda df: df.withColumn("z", whens)
-
-
 def starts_by_state(prefixes: DataFrame, model: NextModel, steps: int) -> tuple[DataFrame, DataFrame]:
     """Prefixes with their start (state and last activity), and the distinct starts."""
     keyed = attach_state(prefixes, model, F.col("prefix"), "start").withColumn("input", F.element_at("prefix", -1))

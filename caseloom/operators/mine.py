@@ -1,25 +1,23 @@
-"""Decision mining: samples, per-place models, readable rules."""
+"""Decision mining: samples, models of all places, readable rules."""
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
-
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import asdict, dataclass, field
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from caseloom.functions.text import EOS, rule_text, threshold_text, unscale, value_text
-from caseloom.operators.encode import MISSING, feature_encoder, ready_features
+from caseloom.functions.text import rule_text, value_text
+from caseloom.operators.boost import fit_places, forests, score_places
+from caseloom.operators.encode import MISSING
 from caseloom.operators.flow import Net, decision_places, synchronise
 from caseloom.operators.ordering import CASE, EventLog, per_case, running
-from caseloom.session import scratch_path, small
+from caseloom.session import cut, small
 
 
 @dataclass(frozen=True)
@@ -29,7 +27,10 @@ class ModelConfig:
     rounds: int = 300
     learning_rate: float = 0.05
     depth: int = 4
+    l2: float = 8.0
     min_leaf: int = 50
+    patience: int = 80
+    max_cells: int = 50_000
     eval_share: float = 0.15
     seed: int = 7
     min_leaf_prob: float = 0.15
@@ -191,130 +192,55 @@ def stratified_holdout(records: DataFrame, keys: Sequence[str], share: float = 0
     ).drop("_draw", "_rank", "_n_c", "_usable")
 
 
-# --- models per place ------------------------------------------------------
-
-
-@dataclass
-class PlaceModel:
-    """What is known about one decision place after fitting."""
-
-    place: str
-    kind: str  # prior | boosted | forest
-    labels: list[str]
-    priors: dict[str, float]
-    rows: int
-    encoder: PipelineModel | None = None
-    base: Transformer | None = None
-    tree: Transformer | None = None
-    features: list[str] = field(default_factory=list)
+# --- models of all places ----------------------------------------------------
 
 
 @dataclass
 class MiningResult:
-    models: dict[str, PlaceModel]
-    skipped: list[str]
+    """Node table of all places, and what a reader of it needs."""
+
+    nodes: DataFrame
+    skipped: DataFrame
     cats: list[str]
     nums: list[str]
-    samples_path: str
     config: ModelConfig
+    fitted: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    @property
+    def places(self) -> DataFrame:
+        """``place, kind, rows, labels, priors`` of every place with samples."""
+        return self.nodes.where("part = 'place'").select(
+            "place", F.col("value").alias("kind"), F.col("support").alias("rows"), "labels", F.col("values").alias("priors")
+        )
 
 
 def mine(
-    spark: SparkSession,
     rows: DataFrame,
     net: Net,
     cats: Sequence[str],
     nums: Sequence[str],
     config: ModelConfig | None = None,
+    fitted: Mapping[str, tuple[float, float]] | None = None,
 ) -> MiningResult:
-    """Fit one model per decision place; places without samples are skipped."""
+    """Fit the models of all decision places; places without samples are skipped.
+
+    ``fitted`` are the scalers that ``rows`` went through, kept for display.
+    """
     config = config or ModelConfig()
     flagged = stratified_holdout(rows, [CASE, "place", "ord"], config.eval_share, config.seed)
-    weighted = flagged.join(small(class_weights(rows)), ["place", "target"])
-    path = scratch_path(spark, "samples")
-    ready_features(weighted, cats, nums).write.partitionBy("place").parquet(path)
-    stored = spark.read.schema(_place_as_text(spark, path)).parquet(path)
-    table = [r for r in small(priors(stored)).orderBy("place", "label").collect()]
-    models: dict[str, PlaceModel] = {}
-    for place in sorted({r["place"] for r in table}):
-        own = [r for r in table if r["place"] == place]
-        models[place] = _fit_place(stored.where(F.col("place") == place), place, own, list(cats), list(nums), config)
-    with_samples = stored.select("place").distinct()
-    skipped = decision_places(net).join(with_samples, "place", "left_anti").select("place")
-    return MiningResult(models, sorted(r["place"] for r in skipped.collect()), list(cats), list(nums), path, config)
-
-
-def _place_as_text(spark: SparkSession, path: str):
-    """Partition values stay text whatever they look like."""
-    schema = spark.read.parquet(path).schema
-    for f in schema.fields:
-        if f.name == "place":
-            f.dataType = StringType()
-    return schema
-
-
-def _fit_place(rows: DataFrame, place: str, table: list, cats: list[str], nums: list[str], cfg: ModelConfig) -> PlaceModel:
-    labels = [r["label"] for r in table]
-    model = PlaceModel(
-        place, "prior", labels, {r["label"]: r["p"] for r in table}, sum(r["support"] for r in table)
-    )
-    spread = rows.agg(*[(F.min(c) != F.max(c)).alias(c) for c in [*cats, *nums]]).first()
-    if len(labels) < 2 or not any(spread):
-        return model
-    encoder = feature_encoder(cats, nums).fit(rows)
-    index = StringIndexer(inputCol="target", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
-    ready = index.transform(encoder.transform(rows)).select("features", "y", "weight", "holdout").cache()
-    try:
-        if len(labels) == 2:
-            learner = GBTClassifier(
-                labelCol="y", maxIter=cfg.rounds, maxDepth=cfg.depth, stepSize=cfg.learning_rate,
-                minInstancesPerNode=cfg.min_leaf, seed=cfg.seed,
-            )
-            if ready.where("holdout").limit(1).count():
-                learner.setValidationIndicatorCol("holdout")
-            model.kind = "boosted"
-        else:
-            learner = RandomForestClassifier(
-                labelCol="y", numTrees=cfg.rounds, maxDepth=cfg.depth, minInstancesPerNode=cfg.min_leaf, seed=cfg.seed
-            )
-            model.kind = "forest"
-        model.base = learner.fit(ready)
-        model.tree = DecisionTreeClassifier(
-            labelCol="y", maxDepth=cfg.depth, minInstancesPerNode=cfg.min_leaf, weightCol="weight", seed=cfg.seed,
-            probabilityCol="tree_probability", predictionCol="tree_prediction",
-            rawPredictionCol="tree_raw", leafCol="leaf",
-        ).fit(ready)
-    finally:
-        ready.unpersist()
-    model.encoder = encoder
-    if cats:
-        for c, found in zip(cats, encoder.stages[0].labelsArray):
-            model.features += [f"{c}={v}" for v in found]
-    model.features += nums
-    return model
+    nodes = cut(fit_places(flagged, cats, nums, config))
+    skipped = cut(decision_places(net).join(nodes.select("place").distinct(), "place", "left_anti").select("place"))
+    return MiningResult(nodes, skipped, list(cats), list(nums), config, dict(fitted or {}))
+
+
+def scorer(mined: MiningResult, out: str = "z") -> Callable[[DataFrame], DataFrame]:
+    """Adds the distribution over next activities to rows with ``place`` and features; null where no model exists."""
+    return score_places(mined.nodes.sparkSession, forests(mined.nodes, mined.cats, mined.nums), mined.cats, mined.nums, out)
 
 
 def predict(df: DataFrame, mined: MiningResult, out: str = "z") -> DataFrame:
-    """Distribution over next activities for rows with a ``place``; null where no model exists."""
-    parts = None
-    known = list(mined.models)
-    for place, model in mined.models.items():
-        rows = df.where(F.col("place") == place)
-        if model.base is None:
-            z = F.create_map(*[F.lit(x) for kv in sorted(model.priors.items()) for x in kv])
-            done = rows.withColumn(out, z)
-        else:
-            ready = ready_features(rows.select("*", F.struct(*mined.cats, *mined.nums).alias("_raw")), mined.cats, mined.nums)
-            scored = model.base.transform(model.encoder.transform(ready))
-            names = F.array(*[F.lit(x) for x in model.labels])
-            z = F.map_filter(F.map_from_arrays(names, vector_to_array("probability")), lambda _, p: p > 0)
-            restored = {c: F.col(f"_raw.{c}") for c in [*mined.cats, *mined.nums]}
-            done = scored.withColumn(out, z).withColumns(restored).select(*df.columns, out)
-        parts = done if parts is None else parts.unionByName(done)
-    rest = df.where(F.col("place").isNull() | ~F.col("place").isin(known)).withColumn(
-        out, F.lit(None).cast("map<string,double>")
-    )
-    return rest if parts is None else parts.unionByName(rest)
+    """``df`` with the distribution over next activities: one pass over rows of all places."""
+    return scorer(mined, out)(df)
 
 
 # --- rules -----------------------------------------------------------------
@@ -353,88 +279,24 @@ def prior_guards(table: DataFrame, min_prob: float = 0.15) -> DataFrame:
     )
 
 
-def leaf_statistics(model: PlaceModel, rows: DataFrame) -> DataFrame:
-    """Per leaf and label: support, mean base probability, empirical share."""
-    scored = model.tree.transform(model.base.transform(model.encoder.transform(rows)))
-    counts = scored.groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("support"),
-        vector_to_array(Summarizer.mean(F.col("probability"))).alias("mean_probability"),
-        F.array(*[F.count(F.when(F.col("target") == lab, 1)) for lab in model.labels]).alias("hits"),
-    )
-    names = F.array(*[F.lit(x) for x in model.labels])
-    entries = F.arrays_zip(names.alias("label"), F.col("mean_probability"), F.col("hits"))
-    return counts.select("leaf", "support", F.explode(entries).alias("e")).select(
-        "leaf",
-        "support",
-        F.col("e.label").alias("label"),
-        F.col("e.mean_probability").alias("prob_model"),
-        (F.col("e.hits") / F.col("support")).alias("prob_emp"),
-    )
-
+def tree_paths(part: pd.DataFrame) -> Iterator[tuple[int, list[tuple[str, str, float]]]]:
+    """Leaves of a place's readable tree in order, each with its conditions from the root."""
+    nodes = {r.node: r for r in part.itertuples()}
 
-def tree_leaves(spark: SparkSession, model: PlaceModel) -> list[tuple[list[tuple[str, str, float]], list[float]]]:
-    """Paths and class distributions of the leaves, from the saved node table (at most 31 nodes)."""
-    path = scratch_path(spark, "surrogate")
-    model.tree.write().overwrite().save(path)
-    nodes = {r["id"]: r for r in spark.read.parquet(f"{path}/data").collect()}
-    leaves = []
-
-    def walk(node: int, conditions: list[tuple[str, str, float]]) -> None:
+    def walk(node: int, conditions: list[tuple[str, str, float]]) -> Iterator[tuple[int, list[tuple[str, str, float]]]]:
         r = nodes[node]
-        if r["leftChild"] < 0:
-            stats = list(r["impurityStats"])
-            leaves.append((conditions, [x / (sum(stats) or 1.0) for x in stats]))
+        if r.left < 0:
+            yield node, conditions
             return
-        split = r["split"]
-        name = model.features[split["featureIndex"]]
-        values = list(split["leftCategoriesOrThreshold"])
-        if split["numCategories"] < 0:
-            left, right, at = "<=", ">", values[0]
-        else:  # a 0/1 dummy: the side that holds 0 is the "not this value" side
-            left, right, at = ("<=", ">", 0.5) if 0.0 in values else (">", "<=", 0.5)
-        walk(r["leftChild"], [*conditions, (name, left, at)])
-        walk(r["rightChild"], [*conditions, (name, right, at)])
-
-    walk(0, [])
-    return leaves
-
-
-def tree_rules(spark: SparkSession, model: PlaceModel) -> DataFrame:
-    """``leaf, raw_rule, intervals, allowed, excluded`` of the surrogate tree."""
-    rows = [(float(i), *_conditions(path)) for i, (path, _) in enumerate(tree_leaves(spark, model))]
-    schema = (
-        "leaf double, raw_rule string, intervals map<string,struct<low:double,high:double>>, "
-        "allowed map<string,array<string>>, excluded map<string,array<string>>"
-    )
-    return spark.createDataFrame(rows, schema)
+        name, at = (f"{r.feature}={r.value}", 0.5) if isinstance(r.value, str) else (r.feature, r.threshold)
+        yield from walk(r.left, [*conditions, (name, "<=", at)])
+        yield from walk(r.right, [*conditions, (name, ">", at)])
 
-
-def tree_expression(spark: SparkSession, model: PlaceModel) -> Column:
-    """The surrogate tree as one expression over raw attributes: a distribution per leaf.
-
-    Leaves are rescaled from the weighted classes back to the observed shares.
-    """
-    if model.tree is None:
-        return F.create_map(*[F.lit(x) for kv in sorted(model.priors.items()) for x in kv])
-    out = None
-    for path, stats in tree_leaves(spark, model):
-        mass = [s * model.priors[lab] for s, lab in zip(stats, model.labels)]
-        total = sum(mass) or 1.0
-        dist = F.create_map(*[F.lit(x) for lab, m in zip(model.labels, mass) if m > 0 for x in (lab, m / total)])
-        cond = F.lit(True)
-        for name, op, at in path:
-            base, eq, value = name.partition("=")
-            if eq:
-                is_value = F.coalesce(F.col(base).cast("string"), F.lit(MISSING)) == value
-                cond = cond & (is_value if op == ">" else ~is_value)
-            else:
-                number = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-                cond = cond & (number > at if op == ">" else number <= at)
-        out = F.when(cond, dist) if out is None else out.when(cond, dist)
-    return out
+    yield from walk(0, [])
 
 
 def _conditions(path: list[tuple[str, str, float]]) -> tuple:
+    """Text of a path, and its bounds and sets; bounds are those of the text, six digits."""
     raw = " AND ".join(f"({name} {op} {at:.6g})" for name, op, at in path) or "(true)"
     lows: dict[str, float] = {}
     highs: dict[str, float] = {}
@@ -442,6 +304,7 @@ def _conditions(path: list[tuple[str, str, float]]) -> tuple:
     excluded: dict[str, set[str]] = {}
     for name, op, at in path:
         base, eq, value = name.partition("=")
+        at = float(f"{at:.6g}")
         if eq:
             if value != MISSING:
                 (allowed if op == ">" else excluded).setdefault(base, set()).add(value)
@@ -453,41 +316,57 @@ def _conditions(path: list[tuple[str, str, float]]) -> tuple:
     return raw, intervals, {k: sorted(v) for k, v in allowed.items()}, {k: sorted(v) for k, v in excluded.items()}
 
 
-def keep_best_rules(stats: DataFrame, model: PlaceModel, cfg: ModelConfig) -> DataFrame:
-    """Likely, lifted and supported leaves per label, best ``max_rules_per_label`` by score."""
-    prior = F.create_map(*[F.lit(x) for kv in sorted(model.priors.items()) for x in kv])
-    lift = F.col("prob_model") / F.greatest(prior[F.col("label")], F.lit(1e-12))
+LEAF = (
+    "place string, leaf int, label string, raw_rule string, intervals map<string,struct<low:double,high:double>>, "
+    "allowed map<string,array<string>>, excluded map<string,array<string>>, prob_model double, prob_emp double, support bigint"
+)
+
+
+def leaf_rules(nodes: DataFrame) -> DataFrame:
+    """One row per leaf and label of every readable tree: conditions, support, mean base probability, observed share."""
+
+    def rules(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        own = {r.node: r for r in part.itertuples()}
+        for no, (node, path) in enumerate(tree_paths(part)):
+            r = own[node]
+            raw, *conditions = _conditions(path)
+            for label, p, hits in zip(r.labels, r.values, r.hits, strict=True):
+                out.append((r.place, no, label, raw, *conditions, float(p), hits / max(r.support, 1), int(r.support)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LEAF.split(", ")])
+
+    trees = nodes.where("part = 'rule'").select("place", "node", "feature", "value", "threshold", "left", "right", "support", "values", "hits", "labels")
+    trees = trees.withColumnRenamed("values", "probs")
+    return trees.groupBy("place").applyInPandas(lambda part: rules(part.rename(columns={"probs": "values"})), LEAF)
+
+
+def keep_best_rules(leaves: DataFrame, places: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Likely, lifted and supported leaves per place and label, best ``max_rules_per_label`` by score."""
+    prior = places.select("place", F.col("rows").alias("_rows"), F.map_from_arrays("labels", "priors").alias("_prior"))
     scored = (
-        stats.withColumn("lift", lift)
+        leaves.join(small(prior), "place")
+        .withColumn("lift", F.col("prob_model") / F.greatest(F.col("_prior")[F.col("label")], F.lit(1e-12)))
         .where(
             (F.col("support") >= cfg.min_leaf_support)
             & (F.col("prob_model") >= cfg.min_leaf_prob)
             & (F.col("lift") >= cfg.min_leaf_lift)
         )
-        .withColumn("coverage", F.col("support") / F.lit(max(1, model.rows)))
+        .withColumn("coverage", F.col("support") / F.greatest(F.col("_rows"), F.lit(1)))
         .withColumn("score", F.col("prob_model") * F.log1p("support") * F.greatest(F.lit(1.0), "lift"))
     )
-    order = Window.partitionBy("label").orderBy(F.desc("score"), F.desc("prob_model"), "leaf")
-    return scored.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= cfg.max_rules_per_label).drop("_no")
-
-
-def guards(spark: SparkSession, mined: MiningResult) -> DataFrame:
-    """All rules of all places."""
-    stored = spark.read.schema(_place_as_text(spark, mined.samples_path)).parquet(mined.samples_path)
-    out = None
-    for place, model in mined.models.items():
-        if model.tree is None:
-            table = priors(stored.where(F.col("place") == place))
-            part = prior_guards(table, mined.config.min_leaf_prob)
-        else:
-            stats = leaf_statistics(model, stored.where(F.col("place") == place))
-            best = keep_best_rules(stats, model, mined.config).join(small(tree_rules(spark, model)), "leaf")
-            part = best.withColumn("place", F.lit(place)).withColumn(
-                "rule", rule_text(F.col("intervals"), F.col("allowed"), F.col("excluded"))
-            )
-        part = part.select(*[c.split()[0] for c in _guard_columns()])
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], GUARD)
+    order = Window.partitionBy("place", "label").orderBy(F.desc("score"), F.desc("prob_model"), "leaf")
+    return scored.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= cfg.max_rules_per_label).drop("_no", "_rows", "_prior")
+
+
+def guards(mined: MiningResult) -> DataFrame:
+    """All rules of all places: leaves of the readable trees, and unconditional ones where there is no tree."""
+    best = keep_best_rules(leaf_rules(mined.nodes), mined.places, mined.config)
+    found = best.withColumn("rule", rule_text(F.col("intervals"), F.col("allowed"), F.col("excluded")))
+    plain = mined.nodes.where("part = 'place' and value = 'prior'").select(
+        "place", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("hits").alias("support"), F.col("values").alias("p")))
+    )
+    columns = [c.split()[0] for c in _guard_columns()]
+    return found.select(*columns).unionByName(prior_guards(plain, mined.config.min_leaf_prob).select(*columns))
 
 
 def _guard_columns() -> list[str]:
@@ -511,22 +390,51 @@ def displayed_rule(fitted: dict[str, tuple[float, float]]) -> Column:
     return rule_text(F.col("intervals"), F.col("allowed"), F.col("excluded"), bound)
 
 
-def save_results(spark: SparkSession, mined: MiningResult, rules: DataFrame, incoming: DataFrame, scaler_table: DataFrame | None, path: str) -> dict[str, str]:
-    """Rules, flat rules, places with incoming transitions, skipped places, scalers and models."""
-    paths = {name: f"{path}/{name}" for name in ("guards", "guards_flat", "places", "skipped", "scalers", "models")}
+PARTS = ("guards", "guards_flat", "places", "skipped", "scalers", "models")
+MANIFEST = "part string, rows bigint, columns array<string>, cats array<string>, nums array<string>, config string"
+
+
+def save_results(mined: MiningResult, rules: DataFrame, incoming: DataFrame, path: str) -> dict[str, str]:
+    """Rules, flat rules, places with incoming transitions, skipped places, scalers and models.
+
+    The manifest (rows and columns of every part) is written last, so a store
+    without one is known to be partial.
+    """
+    spark = mined.nodes.sparkSession
+    paths = {name: f"{path}/{name}" for name in (*PARTS, "manifest")}
     rules.write.parquet(paths["guards"])
     back = spark.read.parquet(paths["guards"])
     back.select("place", "label", "rule", "raw_rule", "prob_model", "prob_emp", "support", "coverage", "lift", "score").write.parquet(paths["guards_flat"])
     into = incoming.groupBy("place").agg(F.array_sort(F.collect_set(F.struct("tid", "label"))).alias("incoming"))
     per_place = back.groupBy("place").agg(F.count(F.lit(1)).alias("rules"))
-    known = spark.createDataFrame([(p, m.kind, m.rows) for p, m in mined.models.items()], "place string, kind string, rows bigint")
-    known.join(into, "place", "left").join(per_place, "place", "left").write.parquet(paths["places"])
-    spark.createDataFrame([(p,) for p in mined.skipped], "place string").write.parquet(paths["skipped"])
-    if scaler_table is not None:
-        scaler_table.write.parquet(paths["scalers"])
-    for i, (_, model) in enumerate(sorted(mined.models.items())):
-        if model.base is not None:
-            model.base.write().overwrite().save(f"{paths['models']}/{i}/base")
-            model.tree.write().overwrite().save(f"{paths['models']}/{i}/tree")
-            model.encoder.write().overwrite().save(f"{paths['models']}/{i}/encoder")
+    mined.places.join(into, "place", "left").join(per_place, "place", "left").write.parquet(paths["places"])
+    mined.skipped.write.parquet(paths["skipped"])
+    spark.createDataFrame([(c, float(m), float(s)) for c, (m, s) in mined.fitted.items()], "col string, mean double, scale double").write.parquet(paths["scalers"])
+    mined.nodes.write.parquet(paths["models"])
+    config = json.dumps(asdict(mined.config), sort_keys=True)
+    parts = [(name, spark.read.parquet(paths[name])) for name in PARTS]
+    rows = [(name, df.count(), df.columns, mined.cats, mined.nums, config) for name, df in parts]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(paths["manifest"])
     return paths
+
+
+def load_results(spark: SparkSession, path: str) -> tuple[MiningResult, DataFrame]:
+    """Models and rules of a store. A store that is partial or has been changed is an error."""
+    try:
+        manifest = {r["part"]: r for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()}
+    except AnalysisException as error:
+        raise ValueError(f"no manifest in {path}: the store is partial") from error
+    found = {}
+    for name in PARTS:
+        if name not in manifest:
+            raise ValueError(f"{name} is missing from the manifest in {path}")
+        try:
+            df = found[name] = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as error:
+            raise ValueError(f"{name} is missing from {path}") from error
+        if df.columns != list(manifest[name]["columns"]) or df.count() != manifest[name]["rows"]:
+            raise ValueError(f"{name} in {path} is not what its manifest says")
+    about = manifest["models"]
+    fitted = {r["col"]: (r["mean"], r["scale"]) for r in found["scalers"].collect()}
+    config = ModelConfig(**json.loads(about["config"]))
+    return MiningResult(found["models"], found["skipped"], list(about["cats"]), list(about["nums"]), config, fitted), found["guards"]

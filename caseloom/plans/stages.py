@@ -7,7 +7,7 @@ the stage at hand and no later stage sorts the raw log again.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from caseloom.operators.cases import (
     window_size,
     with_split,
 )
-from caseloom.operators.encode import scalers, vocabulary
+from caseloom.operators.encode import apply_scalers, scaler_values, scalers, vocabulary
 from caseloom.operators.flow import (
     Net,
     align,
@@ -39,7 +39,6 @@ from caseloom.operators.guide import (
     reasoning_counters,
     reasoning_steps,
     state_decisions,
-    tree_scorer,
 )
 from caseloom.operators.label import label_events, place_diagnostics, weighted_accuracy
 from caseloom.operators.mine import (
@@ -51,6 +50,7 @@ from caseloom.operators.mine import (
     predict,
     samples,
     save_results,
+    scorer,
     synced,
 )
 from caseloom.operators.ordering import CASE, EventLog, join_cases, settle
@@ -115,19 +115,31 @@ def build_base(log: EventLog, path: str, threshold: float = 0.0, min_suffix: int
     return BaseData(log, edges, net_from_edges(edges), window, min_suffix, path)
 
 
-def mine_and_label(base: BaseData, config: ModelConfig | None = None) -> DecisionData:
-    """Mine a model and rules per decision place, label the events, judge on the test cases."""
+def scaled_log(base: BaseData) -> tuple[EventLog, dict[str, tuple[float, float]]]:
+    """The base log with its numbers scaled, missing ones kept, and the scalers."""
     log = base.log
-    spark = log.events.sparkSession
+    if not (log.dyn_num or log.sta_num):
+        return log, {}
+    fitted = scaler_values(log.events.sparkSession.read.parquet(f"{base.path}/scalers"))
+    return log.with_events(apply_scalers(log.events, fitted)), fitted
+
+
+def mine_and_label(base: BaseData, config: ModelConfig | None = None) -> DecisionData:
+    """Mine a model and rules per decision place, label the events, judge on the test cases.
+
+    Numbers are scaled first, with the scalers of the base stage; a mean of scaled
+    numbers is the scaled mean, so one scaler serves an attribute and its average.
+    """
+    log, fitted = scaled_log(base)
     moves = align(log, base.edges)
     splits = log.events.where("pos = 1").select(CASE, "split")
     records = cut(join_cases(decisions(moves, base.net), splits, log.spans))
     visible = synced(log, base.edges)
     rows = samples(records, visible, log.dyn_cat, log.dyn_num, log.sta_cat, log.sta_num)
     cats, nums = feature_names(log.dyn_cat, log.dyn_num, log.sta_cat, log.sta_num)
-    mined = mine(spark, rows.where("split <> 'test'").drop("split"), base.net, cats, nums, config)
-    rules = stored(guards(spark, mined), "guards")
-    save_results(spark, mined, rules, incoming_transitions(base.net), None, f"{base.path}/decisions")
+    mined = mine(rows.where("split <> 'test'").drop("split"), base.net, cats, nums, config, fitted)
+    rules = stored(guards(mined), "guards")
+    save_results(mined, rules, incoming_transitions(base.net), f"{base.path}/decisions")
     scored = predict(rows, mined)
     labelled = label_events(visible, scored)
     diagnostics = place_diagnostics(scored.where("split = 'test'"))
@@ -175,14 +187,14 @@ def evaluate_guided(
 
     Strength 0 keeps only the books and gives the conformance of plain decoding.
     """
-    log = base.log
+    log, _ = scaled_log(base)
     statics = [*log.sta_cat, *log.sta_num]
-    pairs = held_out_prefixes(base, [*log.dyn_cat, *log.dyn_num, *statics])
+    pairs = held_out_prefixes(replace(base, log=log), [*log.dyn_cat, *log.dyn_num, *statics])
     state = start_state_features(pairs, log.dyn_cat, log.dyn_num)
     state = state.withColumns({c: F.element_at(c, -1) for c in statics})
     attributes = attribute_model(only_split(log, "train"), log.dyn_cat, log.dyn_num)
     decide = state_decisions(
-        decision_context(base.net), cfg, tree_scorer(log.events.sparkSession, data.mined), attributes,
+        decision_context(base.net), cfg, scorer(data.mined), attributes,
         log.dyn_cat, log.dyn_num, log.sta_cat, log.sta_num, [c for c in log.dyn_num if c == "case_elapsed_time"],
     )
     steps = base.window - base.min_suffix

@@ -10,14 +10,15 @@ from caseloom.sources.logs import PLANTED_AMOUNT, planted_log
 
 def test_stages_find_the_planted_rule(spark):
     base = build_base(planted_log(spark, SF), scratch_path(spark, "base"))
-    data = mine_and_label(base, ModelConfig(rounds=10))
+    data = mine_and_label(base, ModelConfig())
     rows = {r["place"]: r for r in data.diagnostics.collect()}
     assert set(rows) == {"p_OPEN", "p_REVIEW", "p_APPROVE"}
     assert all(r["top1_accuracy"] >= r["majority_baseline"] for r in rows.values())
     assert data.weighted.first()["weighted_top1"] > 0.95
     review = [r for r in data.rules.where("label = 'REVIEW'").collect() if (r["intervals"] or {}).get("o_totalprice")]
-    lows = [r["intervals"]["o_totalprice"]["low"] for r in review if r["intervals"]["o_totalprice"]["low"]]
-    assert lows and min(abs(x - PLANTED_AMOUNT) for x in lows) < 0.05 * PLANTED_AMOUNT
+    mean, scale = data.mined.fitted["o_totalprice"]  # numbers are scaled before mining
+    lows = [r["intervals"]["o_totalprice"]["low"] for r in review]
+    assert lows and min(abs(x * scale + mean - PLANTED_AMOUNT) for x in lows if x is not None) < 0.05 * PLANTED_AMOUNT
     assert data.labelled.where("pos < n and place is null").count() == 0
 
     model = next_model(base)
