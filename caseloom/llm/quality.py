@@ -5,8 +5,8 @@ triples of their shapes (case, kind of sign, repetition), hashed to a fixed tabl
 A feature's value is its share of the text, so a score is one sparse dot product.
 
 Training reads at most ``sample`` labelled rows (the ids with the smallest hash),
-split over ``parts`` tasks; each runs follow-the-regularised-leader updates over
-its rows, and the weights are averaged. A text without words gets the score of
+split over ``parts`` models by a hash; each runs follow-the-regularised-leader
+updates over its rows, and the weights are averaged in Spark. A text without words gets the score of
 the intercept. Rows without a label do not train; of several labels of one id the
 largest counts. Without any label every score is 0.5.
 """
@@ -50,8 +50,8 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     word = _KIND[data[starts]] == 1
     shape = np.where(word, (caps > 0).astype(np.int64) + (caps > 1) + (caps == size), 8 + 4 * data[starts].astype(np.int64) + np.minimum(size, 3))
     again = np.zeros(len(h), dtype=np.int64)
-    again[1:] |= h[1:] == h[:-1]
-    again[2:] |= h[2:] == h[:-2]
+    again[1:] |= (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    again[2:] |= (h[2:] == h[:-2]) & (row[2:] == row[:-2])
     shape = (shape * 2 + again).astype(np.uint64)
     out_row, out_index, out_value = [], [], []
     pair = h[:-1] * np.uint64(31) + h[1:]
@@ -107,14 +107,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: t
     return rows.join(F.broadcast(known), "doc_id")
 
 
-def train(rows: DataFrame, parts: int = 8, epochs: int = 6) -> np.ndarray:
-    """Averaged weights over training rows (doc_id, text, y); the last one is the intercept."""
+def train(rows: DataFrame, parts: int = 8, epochs: int = 6, slices_out: int = 16) -> np.ndarray:
+    """Averaged weights over training rows (doc_id, text, y); the last one is the intercept.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows go to ``parts`` models by a hash, whatever the number of partitions; the
+    models are averaged a slice at a time in Spark, so one vector reaches the driver.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
         examples = []
-        for batch in batches:
-            data, off = text_bytes(batch.column(0))
-            y = batch.column(1).to_pylist()
+        for batch in table.to_batches():
+            data, off = text_bytes(batch.column("text"))
+            y = batch.column("y").to_pylist()
             for a, b in slices(off):
                 row, index, value = features(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 key, at = np.unique(row << BITS | index, return_inverse=True)
@@ -124,19 +128,25 @@ def train(rows: DataFrame, parts: int = 8, epochs: int = 6) -> np.ndarray:
                     part = slice(cuts[k], cuts[k + 1])
                     index_k = np.append(key[part] & (SIZE - 1), SIZE).astype(np.int32)
                     examples.append((index_k, np.append(total[part], 1.0).astype(np.float32), float(y[a + k])))
-        if not examples:
-            return
-        examples.sort(key=lambda e: (zlib.crc32(e[0].tobytes()), e[2]))
+        examples.sort(key=lambda e: (zlib.crc32(e[0].tobytes()), e[2], e[0].tobytes(), e[1].tobytes()))
         model = Ftrl()
         for epoch in range(epochs):
             order = np.random.default_rng(epoch).permutation(len(examples))
             for k in order:
                 model.step(*examples[k])
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["w"])
-
-    dealt = rows.repartition(parts, F.xxhash64("doc_id", "text")).select("text", F.col("y").cast("double").alias("y"))
-    found = [np.frombuffer(r[0], dtype=np.float32) for r in dealt.mapInArrow(lean(run), "w binary").collect()]
-    return np.mean(found, axis=0, dtype=np.float64).astype(np.float32) if found else np.zeros(SIZE + 1, np.float32)
+        cut = np.array_split(model.weights().astype(np.float32), slices_out)
+        return pa.table({"slice": pa.array(range(slices_out), pa.int32()), "w": pa.array([w.tobytes() for w in cut], pa.binary())})
+
+    def average(table: pa.Table) -> pa.Table:
+        found = np.stack([np.frombuffer(w, dtype=np.float32) for w in table["w"].to_pylist()])
+        # sums do not depend on the order in which models arrive
+        mean = np.sort(found, axis=0).mean(axis=0, dtype=np.float64).astype(np.float32)
+        return pa.table({"slice": table["slice"].slice(0, 1), "w": pa.array([mean.tobytes()], pa.binary())})
+
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "text", F.col("y").cast("double").alias("y"))
+    found = dealt.groupBy("part").applyInArrow(run, "slice int, w binary").groupBy("slice").applyInArrow(average, "slice int, w binary")
+    table = sorted((r["slice"], r["w"]) for r in found.collect())
+    return np.frombuffer(b"".join(w for _, w in table), dtype=np.float32) if table else np.zeros(SIZE + 1, np.float32)
 
 
 def score_texts(column: pa.Array, weights: np.ndarray) -> np.ndarray:

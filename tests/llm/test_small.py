@@ -279,3 +279,54 @@ def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(SQL) <= set(QUERIES)
     json.dumps(SQL)
+
+
+def test_ftrl_and_scores_are_plain_sums(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["Good", "bad", "x!", "¿y?", "AAA", "1"]) for _ in range(rnd.randint(0, 30))) for _ in range(40)] + ["", "one", "é" * 50]
+    rows = spark.createDataFrame([(i, t, int("Good" in t)) for i, t in enumerate(texts)], "doc_id long, text string, y int")
+    got = quality.train(rows, parts=1, epochs=2)
+    assert np.array_equal(got, quality.train(rows.repartition(7), parts=1, epochs=2))
+
+    def bag(text):
+        data, off = quality.text_bytes(pa.array([text]))
+        _, index, value = quality.features(data, off)
+        out = collections.defaultdict(float)
+        for i, v in zip(index.tolist(), value.tolist(), strict=True):
+            out[i] += v
+        return out
+
+    # follow the regularised leader, a coordinate at a time
+    alpha, beta, l1, l2 = 0.4, 0.1, 1e-4, 1e-3
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    examples = []
+    for t in texts:
+        b = bag(t)
+        examples.append((sorted(b.items()), float("Good" in t)))
+
+    def order(e):
+        index, value = np.array([*[i for i, _ in e[0]], quality.SIZE], np.int32), np.array([*[v for _, v in e[0]], 1], np.float32)
+        return zlib.crc32(index.tobytes()), e[1], index.tobytes(), value.tobytes()
+
+    keyed = sorted(examples, key=order)
+    for epoch in range(2):
+        for k in np.random.default_rng(epoch).permutation(len(keyed)):
+            items, y = keyed[k]
+            items = [*[(i, float(np.float32(v))) for i, v in items], (quality.SIZE, 1.0)]
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(weight(i) * v for i, v in items)))))
+            for i, v in items:
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * weight(i)
+                n[i] += g * g
+    for i in [*z, 5]:
+        assert math.isclose(got[i], weight(i), rel_tol=1e-4, abs_tol=1e-6)
+    for t, s in zip(texts, quality.score_texts(pa.array(texts), got), strict=True):
+        total = float(got[quality.SIZE]) + sum(float(got[i]) * v for i, v in bag(t).items())
+        assert math.isclose(s, 1 / (1 + math.exp(-total)), rel_tol=1e-6)
