@@ -20,13 +20,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.pieces import pieces
-from caseloom.llm.spans import slices, span_hashes, text_bytes
+from caseloom.llm.spans import numbered_spans, slices, span_hashes, text_bytes
 from caseloom.llm.tables import lean
 
 NONE = np.int64(1 << 40)
@@ -244,9 +243,7 @@ class Batch:
         ends = np.concatenate(ends) if ends else np.zeros(0, np.int64)
         #: first pre-token of each row, and one beyond the last
         self.row = np.append(np.concatenate(rows), len(starts)) if rows else np.zeros(1, np.int64)
-        self.which, distinct = pd.factorize(self.hashes)
-        at = np.zeros(len(distinct), dtype=np.int64)
-        at[self.which[::-1]] = np.arange(len(self.which))[::-1]
+        self.which, at = numbered_spans(data, starts, ends, self.hashes)
         self.starts, self.ends = starts[at], ends[at]
 
     def assemble(self, flat: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
@@ -131,6 +132,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(out + size.astype(U64))
 
 
+def numbered_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal for equal bytes only, and the first span of each number.
+
+    Spans of one hash are compared with the first of them; some bytes, such as a
+    Thue-Morse text and its swap, share their hash without being equal.
+    """
+    which, distinct = pd.factorize(hashes)
+    first = np.zeros(len(distinct), dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    size = ends - starts
+    like = first[which]
+    again = np.flatnonzero(like != np.arange(len(which)))
+    other = [again[size[again] != size[like[again]]]]
+    again = again[size[again] == size[like[again]]]
+    for a, b in slices(np.concatenate(([0], np.cumsum(size[again]))), SLICE_BYTES // 2):
+        part = again[a:b]
+        n = size[part]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wrong = data[np.repeat(starts[part], n) + at] != data[np.repeat(starts[like[part]], n) + at]
+        other.append(part[np.unique(np.repeat(np.arange(len(part)), n)[wrong])])
+    more: dict[bytes, int] = {}
+    new_first = []
+    for k in np.sort(np.concatenate(other)).tolist():
+        text = data[starts[k] : ends[k]].tobytes()
+        if text not in more:
+            more[text] = len(distinct) + len(more)
+            new_first.append(k)
+        which[k] = more[text]
+    return which, np.concatenate((first, np.array(new_first, dtype=np.int64)))
+
+
 def per_row(counts_of: np.ndarray, n: int) -> np.ndarray:
     """How many items each of ``n`` rows has, from the items' rows."""
     return np.bincount(counts_of, minlength=n)

@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
 import collections
+import hashlib
 import math
 import random
 import re
@@ -9,12 +11,16 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from caseloom.llm import hmm, jaccard, license, license_texts, packing, suffix
+from caseloom.llm.bpe import bpe_round_trip
 from caseloom.llm.queries import RANKS
+from caseloom.llm.spans import text_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -165,3 +171,48 @@ def test_near_copies_with_repeated_and_null_ids(spark):
         kept = [d for d, t in left if t != alone]
         assert len(left) == 2 and (ids[3], alone) in left
         assert kept == [min((i for i in ids[:3] if i is not None), default=None)]
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_texts_of_one_hash_keep_their_ids(spark, size):
+    from caseloom.llm.spans import span_hashes
+
+    a, b = thue_morse(size, "ab"), thue_morse(size, "ba")
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    h = span_hashes(data, np.array([0, size]), np.array([size, 2 * size]))
+    assert h[0] == h[1]  # the case this test is about
+    texts = [a, b, b, a, f"{a} {b}", f"{b} {a}", "ab"]
+    multi = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(multi, "rb") as f:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe_round_trip(table(spark, texts).coalesce(1), multi).collect():
+        want = np.array(enc.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(want.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(table(spark, texts).coalesce(1), RANKS).collect()
+    for d, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        for p in (p for p in pieces if p.doc_id == d):
+            assert p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("length", [37, 101, 400])
+def test_anchors_do_not_depend_on_the_piece(length):
+    rnd = random.Random(length)
+    texts = ["".join(rnd.choice("abc ") for _ in range(n)) for n in (0, 9000, 50, 20_000, 400)]
+    data, off = text_bytes(pa.array(texts))
+
+    def rows(piece):
+        out = set()
+        for first, found in suffix.text_anchors(data, off, suffix.Strings(length), piece):
+            out |= {(first + d, a, s, k, c) for d, a, s, k, c in zip(*(found[n].tolist() for n in ("doc", "at", "side", "key", "context")), strict=True)}
+        return out
+
+    assert rows(3000) == rows(1 << 20)
