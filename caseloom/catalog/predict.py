@@ -49,7 +49,7 @@ from caseloom.sources.reader import read_table, write_table
 
 MIN_SUFFIX = 5
 SUPPORT = 5
-SAMPLES = 3
+SAMPLES = 100
 
 
 def prepared(spark, sf_dir, make=orders_log, extra=()):

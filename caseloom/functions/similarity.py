@@ -1,51 +1,110 @@
-"""Edit distance and agreement of activity sequences."""
+"""Edit distance and agreement of activity sequences.
+
+Distances run over Arrow batches: bit-parallel rows, one integer of as many bits as
+the target has events, and each distinct (target, suffix) of a batch once.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _indices(n: Column) -> Column:
-    """1..n, empty for 0."""
-    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+def aligned(a: bytes, b: bytes) -> int:
+    """Optimal string alignment of two sequences of 32-bit codes; code -1 equals nothing.
+
+    The bits of a row say where it grows or falls by one; a row follows from the
+    one before it by a few operations on whole integers, however long they are.
+    """
+    x, y = np.frombuffer(a, "<i4").tolist(), np.frombuffer(b, "<i4").tolist()
+    if not x or not y:
+        return len(x) + len(y)
+    places: dict[int, int] = {}
+    for k, c in enumerate(x):
+        if c >= 0:
+            places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(x)) - 1
+    last = 1 << (len(x) - 1)
+    up, down, diagonal, match_before = full, 0, 0, 0
+    distance = len(x)
+    for c in y:
+        match = places.get(c, 0)
+        swapped = (((~diagonal & full) & match) << 1) & match_before
+        diagonal = ((((match & up) + up) ^ up) | match | down | swapped) & full
+        grows = down | (~(diagonal | up) & full)
+        falls = diagonal & up
+        distance += bool(grows & last) - bool(falls & last)
+        grows = (grows << 1 | 1) & full
+        falls = (falls << 1) & full
+        up = falls | (~(diagonal | grows) & full)
+        down = grows & diagonal
+        match_before = match
+    return distance
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    return np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+
+
+def _list_distances(targets: pa.Array, suffixes: pa.Array) -> pa.Array:
+    """Per row the distances of a target to each of its suffixes; null where a side is null."""
+    inner = suffixes.values
+    words = pa.concat_arrays([targets.values.cast(pa.string()), inner.values.cast(pa.string())]).dictionary_encode().indices
+    codes = words.fill_null(-1).to_numpy(zero_copy_only=False).astype("<i4")
+    own, other = codes[: len(targets.values)], codes[len(targets.values) :]
+    t_off, s_off, i_off = _offsets(targets), _offsets(suffixes), _offsets(inner)
+    t_null, s_null = targets.is_null().to_pylist(), suffixes.is_null().to_pylist()
+    i_null = inner.is_null().to_numpy(zero_copy_only=False)
+    known: dict[tuple[bytes, bytes], int] = {}
+    out: list = []
+    for k in range(len(targets)):
+        if t_null[k] or s_null[k]:
+            out.append(None)
+            continue
+        target = own[t_off[k] : t_off[k + 1]].tobytes()
+        row: list = []
+        for j in range(s_off[k], s_off[k + 1]):
+            if i_null[j]:
+                row.append(None)
+                continue
+            pair = (target, other[i_off[j] : i_off[j + 1]].tobytes())
+            found = known.get(pair)
+            if found is None:
+                found = known[pair] = aligned(*pair)
+            row.append(found)
+        out.append(row)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def edit_distances(target: Column, suffixes: Column) -> Column:
+    """Insert, delete, replace, or swap two neighbours: distance of a target to each of several sequences."""
+
+    @F.arrow_udf("array<int>")
+    def distances(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _list_distances(a, b)
+
+    return distances(target, suffixes)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Insert, delete, replace, or swap two neighbours (optimal string alignment)."""
-    width = F.size(b)
-    start = F.concat(F.array(F.lit(0)), _indices(width))
-    none = F.array().cast("array<int>")
-
-    def next_row(state: Column, i: Column) -> Column:
-        item, item_before = F.get(a, i - 1), F.get(a, i - 2)
-        above, above2 = state["row"], state["before"]
-
-        def next_cell(row: Column, j: Column) -> Column:
-            other, other_before = F.get(b, j - 1), F.get(b, j - 2)
-            plain = F.least(
-                F.get(above, j) + 1,
-                F.element_at(row, -1) + 1,
-                F.get(above, j - 1) + F.when(item == other, 0).otherwise(1),
-            )
-            swap = (i > 1) & (j > 1) & (item == other_before) & (item_before == other)
-            return F.concat(row, F.array(F.when(swap, F.least(plain, F.get(above2, j - 2) + 1)).otherwise(plain)))
-
-        row = F.aggregate(_indices(width), F.array(i), next_cell)
-        return F.struct(row.alias("row"), above.alias("before"))
-
-    return F.aggregate(
-        _indices(F.size(a)),
-        F.struct(start.alias("row"), none.alias("before")),
-        next_row,
-        lambda state: F.element_at(state["row"], -1),
-    )
+    return F.get(edit_distances(a, F.array(b)), F.lit(0))
+
+
+def _similar(distance: Column, target: Column, predicted: Column) -> Column:
+    return 1 - distance / F.greatest(F.size(target), F.size(predicted), F.lit(1))
 
 
 def similarity(target: Column, predicted: Column) -> Column:
     """1 − distance / longer length; two empty sequences agree."""
-    longest = F.greatest(F.size(target), F.size(predicted), F.lit(1))
-    return 1 - edit_distance(target, predicted) / longest
+    return _similar(edit_distance(target, predicted), target, predicted)
+
+
+def similarities(target: Column, suffixes: Column) -> Column:
+    """Similarity of a target to each of several sequences."""
+    return F.zip_with(edit_distances(target, suffixes), suffixes, lambda d, s: _similar(d, target, s))
 
 
 def exact_match(target: Column, predicted: Column) -> Column:

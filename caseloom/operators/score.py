@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.similarity import exact_match, similarity, token_accuracy
+from caseloom.functions.similarity import exact_match, similarities, token_accuracy
 from caseloom.operators.guide import with_rates
 from caseloom.operators.ordering import CASE
 
@@ -37,8 +37,8 @@ def score_rows(rows: DataFrame, reduction: str = "mean") -> DataFrame:
         raise ValueError(f"unknown reduction {reduction}")
     probabilistic = F.contains(F.lower("mode"), F.lit("probabilistic"))
     used = F.when(probabilistic, _at_least_one(F.col("decoded_suffixes"))).otherwise(F.array(_first(F.col("decoded_suffixes"))))
-    each = F.transform(used, lambda s: similarity(F.col("target_suffix"), s))
-    scored = rows.withColumn("_each", each)
+    scored = rows.withColumn("_used", used)
+    scored = scored.withColumn("_each", similarities(F.col("target_suffix"), F.col("_used"))).drop("_used")
     mean, low, best = _mean(F.col("_each")), F.array_min("_each"), F.array_max("_each")
     return scored.withColumns(
         {
