@@ -8,9 +8,12 @@ paths, beams) is decoded once per state and then joined to the prefixes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -450,15 +453,91 @@ def decode_beam(prefixes: DataFrame, model: NextModel, max_steps: int, width: in
     )
 
 
+#: entries of a model (some 50 bytes each) that every task may hold
+HELD_ENTRIES = 500_000
+
+
 def decode_samples(prefixes: DataFrame, model: NextModel, max_steps: int, samples: int, seed: int = 17) -> DataFrame:
-    """``samples`` drawn suffixes per prefix, one row per sample."""
+    """``samples`` drawn suffixes per prefix, one row per sample.
+
+    Tasks hold a model of up to ``HELD_ENTRIES`` entries and draw all samples of
+    their prefixes in one pass; a larger model is looked up by joins, step by step.
+    Both make the same draws, which hash the prefix, the sample and the step.
+    """
     rows = attach_state(prefixes, model, F.col("prefix")).select(CASE, "prefix_len", "limit", "state")
+    entries = model.table.agg(F.sum(F.size("entries"))).first()[0] or 0
+    if 0 < entries <= HELD_ENTRIES:
+        return _walk_samples(rows, model, max_steps, samples, seed)
     rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     rows = rows.withColumn("activity", F.lit(None).cast("string"))
     done = decode_steps(rows, model, max_steps, pick="draw", draw_keys=[CASE, "prefix_len", "sample"], seed=seed, every=8)
     return done.select(CASE, "prefix_len", "sample", upto_eos(F.col("seq")).alias("suffix"))
 
 
+def _walk_samples(rows: DataFrame, model: NextModel, max_steps: int, samples: int, seed: int, walks: int = 1 << 15) -> DataFrame:
+    """All samples of a batch of prefixes side by side, one step at a time."""
+    table = model.table.collect()
+    number = {r["state"]: k for k, r in enumerate(table)}
+    names = sorted({e["label"] for r in table for e in r["entries"]})
+    label_of = {n: k for k, n in enumerate(names)}
+    held = rows.sparkSession.sparkContext.broadcast(
+        [
+            (
+                np.array([e["cum"] for e in r["entries"]]),
+                np.array([label_of[e["label"]] for e in r["entries"]]),
+                np.array([number.get(e["next_state"], -1) for e in r["entries"]]),
+            )
+            for r in table
+        ]
+    )
+    end = label_of.get(EOS, -1)
+    vocabulary = pa.array(names, pa.string())
+
+    def draws(keys: list[str], who: np.ndarray, step: int) -> np.ndarray:
+        tail = f"|{step}|{seed}"
+        found = [int(hashlib.md5((keys[k] + tail).encode()).hexdigest()[:13], 16) for k in who.tolist()]
+        return np.array(found, dtype=float) / float(16**13)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, max(1, walks // samples)):
+                batch = whole.slice(low, max(1, walks // samples))
+                n = batch.num_rows * samples
+                row, sample = np.repeat(np.arange(batch.num_rows), samples), np.tile(np.arange(1, samples + 1), batch.num_rows)
+                cases, lengths = batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).cast(pa.string()).to_pylist()
+                keys = [f"{cases[r]}|{lengths[r]}|{s}" for r, s in zip(row.tolist(), sample.tolist(), strict=True)]
+                limit = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), samples)
+                state = np.repeat(np.array([number[x] for x in batch.column(3).to_pylist()], dtype=np.int64), samples)
+                path, live = [], np.arange(n)
+                for step in range(max_steps):
+                    if not len(live):
+                        break
+                    u = draws(keys, live, step)
+                    taken = np.empty(len(live), np.int64)
+                    then = np.empty(len(live), np.int64)
+                    for s in np.unique(state[live]).tolist():
+                        own = np.flatnonzero(state[live] == s)
+                        cum, labels, following = held.value[s]
+                        at = np.minimum(np.searchsorted(cum, u[own], "right"), len(cum) - 1)
+                        taken[own], then[own] = labels[at], following[at]
+                    column = np.full(n, -1, np.int64)
+                    column[live] = np.where(taken == end, -1, taken)
+                    path.append(column)
+                    state[live] = then
+                    live = live[(taken != end) & (step + 1 < limit[live])]
+                steps = np.stack(path, axis=1) if path else np.zeros((n, 0), np.int64)
+                size = (steps >= 0).sum(axis=1)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                suffix = pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(steps[steps >= 0])))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(sample.astype(np.int32)), suffix], [CASE, "prefix_len", "sample", "suffix"]
+                )
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, f"{CASE} {kinds[CASE]}, prefix_len {kinds['prefix_len']}, sample int, suffix array<string>")
+
+
 def collect_samples(prefixes: DataFrame, sampled: DataFrame) -> DataFrame:
     """All samples of a prefix in one row."""
     lists = sampled.groupBy(CASE, "prefix_len").agg(

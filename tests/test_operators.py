@@ -183,3 +183,16 @@ def test_no_guidance_equals_plain_and_one_beam_equals_argmax(spark):
     assert rows_of(plain) == rows_of(guided)
     beam = decode_beam(pairs, model, steps, 1).select("case_id", "prefix_len", F.get("decoded_suffixes", F.lit(0)).alias("s"))
     assert rows_of(plain) == rows_of(beam)
+
+
+def test_samples_in_one_pass_equal_those_step_by_step(spark, monkeypatch):
+    from caseloom.operators import predict
+    from caseloom.operators.cases import prefix_suffix_pairs
+    from caseloom.sources.logs import orders_log
+
+    log = orders_log(spark, SF)
+    model = predict.count_model(log, 2, 5)
+    pairs = predict.with_limit(prefix_suffix_pairs(log, 9, 5), 9, 5).where("case_id < '12'")
+    once = rows_of(predict.decode_samples(pairs, model, 4, 3))
+    monkeypatch.setattr(predict, "HELD_ENTRIES", 0)
+    assert once == rows_of(predict.decode_samples(pairs, model, 4, 3)) and len(once) == 3 * pairs.count() > 0
