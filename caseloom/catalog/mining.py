@@ -218,11 +218,16 @@ def rule_texts(spark, sf_dir):
     f"""WITH {sql.ORDERS}, {DATA_GUARDS} SELECT place, label,
       '(c_mktsegment not in {{' || segment || '}}) AND (c_nationkey in {{' || array_to_string(nations[1:5], ', ') || '}}' ||
       CASE WHEN len(nations) > 5 THEN ' (+' || (len(nations) - 5) || ' more)' ELSE '' END || ') AND (o_orderstatus in {{' || array_to_string(statuses[1:5], ', ') || '}}) AND (o_totalprice > ' ||
-      format('{{:,}}', CAST(low * 2 + 1000 AS BIGINT)) || ') AND (o_totalprice_past_avg <= ' || format('{{:,}}', CAST(high * 2 + 1000 AS BIGINT)) || ')' AS rule FROM dg""",
+      format('{{:,}}', CAST(low AS BIGINT)) || ') AND (o_totalprice_past_avg <= ' || format('{{:,}}', CAST(high AS BIGINT)) || ')' AS rule FROM dg""",
 )
 def rule_texts_in_units(spark, sf_dir):
-    found = as_guards(data_guards(orders_log(spark, sf_dir)))
-    return found.select("place", "label", displayed_rule({"o_totalprice": (1000.0, 2.0)}).alias("rule"))
+    """Bounds scaled as mining sees them, shown in original units again."""
+    log = orders_log(spark, sf_dir)
+    fitted = scaler_values(scalers(log.events, ["o_totalprice"]))
+    mean, scale = fitted["o_totalprice"]
+    bounds = {c: (F.col(c) - mean) / scale for c in ("low", "high")}
+    found = as_guards(data_guards(log).withColumns(bounds))
+    return found.select("place", "label", displayed_rule(fitted).alias("rule"))
 
 
 # --- learned models ---------------------------------------------------------

@@ -31,6 +31,7 @@ from caseloom.operators.mine import distributions, feature_state, guards, prior_
 from caseloom.operators.predict import (
     attach_state,
     attribute_model,
+    category_model,
     collect_samples,
     count_model,
     decode_beam,
@@ -39,6 +40,7 @@ from caseloom.operators.predict import (
     next_distribution,
     roll_attributes,
     roll_state,
+    sample_category,
     sample_number,
     start_state_features,
     with_limit,
@@ -182,6 +184,32 @@ def sampled_next_attributes(spark, sf_dir):
     return rows.select("case_id", "pos", F.round(price, 4).alias("price"))
 
 
+OPTIONS = """cnt AS (SELECT activity, o_orderstatus AS v, count(*) AS n FROM train WHERE o_orderstatus IS NOT NULL GROUP BY ALL),
+    share AS (SELECT *, n / sum(n) OVER (PARTITION BY activity) AS share FROM cnt),
+    opt AS (SELECT activity, v, ln(share) AS logit, greatest(-6.0, least(6.0, ln(greatest((1 - share) / n, 1e-12)))) AS logvar FROM share)"""
+
+
+@query(
+    "sampled_categories",
+    "J5",
+    f"""WITH {sql.ORDERS}, {sql.SPLIT}, train AS (SELECT log.* FROM log JOIN split USING (case_id) WHERE split = 'train'), {OPTIONS},
+    d AS (SELECT case_id, pos, v, logit, exp(0.5 * logvar) * sqrt(-2 * ln(greatest({uniform_sql("case_id || '|' || pos || '|' || v || '|n1'")}, 1e-12)))
+        * cos(2 * pi() * {uniform_sql("case_id || '|' || pos || '|' || v || '|n2'")}) AS noise,
+      -ln(-ln(greatest({uniform_sql("case_id || '|' || pos || '|' || v || '|g'")}, 1e-12))) AS gumbel FROM log JOIN opt USING (activity))
+    SELECT case_id, pos, arg_max(v, {{'s': round(logit + gumbel, 9), 'v': v}}) AS drawn, arg_max(v, {{'s': round(logit + noise + gumbel, 9), 'v': v}}) AS drawn_with_noise,
+      arg_max(v, {{'s': round(logit + noise, 9), 'v': v}}) AS best_with_noise, arg_max(v, {{'s': round(logit, 9), 'v': v}}) AS best FROM d GROUP BY case_id, pos""",
+)
+def sampled_categories(spark, sf_dir):
+    log = orders_log(spark, sf_dir)
+    train = only_split(with_split(log, split_cases(log.events)), "train")
+    rows = log.events.join(small(category_model(train, "o_orderstatus")), "activity")
+    keys = [F.col("case_id"), F.col("pos")]
+    return rows.select(
+        "case_id", "pos", sample_category(F.col("options"), keys).alias("drawn"), sample_category(F.col("options"), keys, noise=True).alias("drawn_with_noise"),
+        sample_category(F.col("options"), keys, noise=True, best=True).alias("best_with_noise"), sample_category(F.col("options"), keys, best=True).alias("best"),
+    )
+
+
 @query(
     "rolled_attributes",
     "J6 J7",

@@ -138,9 +138,12 @@ def window_size(log: EventLog, min_suffix: int, with_end_rows: bool = True) -> i
 
 
 def prefix_rows(
-    log: EventLog, columns: Sequence[str], window: int, statics: Sequence[str] = ()
+    log: EventLog, columns: Sequence[str], window: int, statics: Sequence[str] = (), keep_block: bool = False
 ) -> DataFrame:
-    """Every prefix 1..n with the last ``window`` values of each column."""
+    """Every prefix 1..n with the last ``window`` values of each column.
+
+    ``keep_block`` leaves the block in, for a later join with one row per case.
+    """
 
     def collect(df: DataFrame, w) -> DataFrame:
         frame = w.rowsBetween(-(window - 1), 0)
@@ -153,9 +156,9 @@ def prefix_rows(
         F.col("pos").alias("prefix_len"),
         *[F.col(f"items.item_{c}").alias(c) for c in columns],
     )
-    if not statics:
-        return rows.drop("block")
-    return join_cases(rows, static_values(log, statics), log.spans).drop("block")
+    if statics:
+        rows = join_cases(rows, static_values(log, statics), log.spans)
+    return rows if keep_block else rows.drop("block")
 
 
 def window_rows(log: EventLog, columns: Sequence[str], window: int, min_suffix: int) -> DataFrame:

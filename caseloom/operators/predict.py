@@ -564,6 +564,39 @@ def attribute_model(train: EventLog, cats: Sequence[str], nums: Sequence[str]) -
     return out
 
 
+def category_model(train: EventLog, column: str) -> DataFrame:
+    """``activity, options``: per activity the values of a category with logit and log-variance.
+
+    The logit is the log of the value's share; its variance (1 - share) / count is
+    that of a log share, kept between e**-6 and e**6.
+    """
+    counts = train.events.where(F.col(column).isNotNull()).groupBy("activity", F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("activity"))
+    spread = F.ln(F.greatest((1 - F.col("share")) / F.col("n"), F.lit(1e-12)))
+    option = F.struct("v", F.ln("share").alias("logit"), F.greatest(F.lit(-6.0), F.least(F.lit(6.0), spread)).alias("logvar"))
+    return counts.withColumn("share", share).groupBy("activity").agg(F.array_sort(F.collect_list(option)).alias("options"))
+
+
+def sample_category(options: Column, keys: Sequence[Column], noise: bool = False, best: bool = False) -> Column:
+    """A category from its options (v, logit, logvar): the most likely one, or a draw.
+
+    A draw adds a Gumbel variate to each logit and takes the largest, which is a
+    draw from the softmax of the logits. ``noise`` moves each logit first by a
+    Gaussian of its own variance. Randomness is hashed from the keys and the value;
+    scores are compared at 9 places, ties go to the later value in order.
+    """
+
+    def score(o: Column) -> Column:
+        value = o["logit"]
+        if noise:
+            value = value + F.exp(0.5 * o["logvar"]) * normal(uniform(*keys, o["v"], F.lit("n1")), uniform(*keys, o["v"], F.lit("n2")))
+        if not best:
+            value = value - F.ln(-F.ln(F.greatest(uniform(*keys, o["v"], F.lit("g")), F.lit(1e-12))))
+        return F.struct(F.round(value, 9).alias("score"), o["v"].alias("v"))
+
+    return F.array_max(F.transform(options, score))["v"]
+
+
 def roll_attributes(
     df: DataFrame, attributes: DataFrame, cats: Sequence[str], nums: Sequence[str], activity: Column, monotone: Sequence[str] = ()
 ) -> DataFrame:

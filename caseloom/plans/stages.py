@@ -101,9 +101,9 @@ def build_base(log: EventLog, path: str, threshold: float = 0.0, min_suffix: int
     train = only_split(log, "train")
     window = window_size(train, min_suffix)
     columns = ["activity", *log.dyn_cat, *log.dyn_num]
-    prefixes = prefix_rows(log, columns, window, [*log.sta_cat, *log.sta_num])
+    prefixes = prefix_rows(log, columns, window, [*log.sta_cat, *log.sta_num], keep_block=True)
     splits = log.events.where("pos = 1").select(CASE, "split")
-    write_by_split(join_cases(prefixes, splits, log.spans), f"{path}/prefixes")
+    write_by_split(join_cases(prefixes, splits, log.spans).drop("block"), f"{path}/prefixes")
     vocab = None
     for c in ("activity", *log.dyn_cat, *log.sta_cat):
         part = vocabulary(train.events, c)
@@ -217,3 +217,25 @@ def evaluate_guided(
     scored = cut(score_rows(rows.withColumn("mode", F.lit(f"guided {decode}"))))
     summary = guided_summary(plain_summary(scored, dataset, "counts", variant, f"guided {decode}"), counters)
     return scored, told, summary
+
+
+@dataclass
+class Evaluation:
+    """Scored rows and the summary row; reasoning rows where decoding was guided."""
+
+    rows: DataFrame
+    summary: DataFrame
+    reasoning: DataFrame | None = None
+
+
+def evaluate(base: BaseData, model: NextModel, dataset: str, data: DecisionData | None = None, decode: str = "mode", **options) -> Evaluation:
+    """Decode and score every test prefix, plain, or guided where mined decisions are given.
+
+    ``options`` are those of :func:`evaluate_plain` (count) or :func:`evaluate_guided`
+    (variant, cfg, count); any other is an error.
+    """
+    if data is None:
+        rows, summary = evaluate_plain(base, model, dataset, decode, **options)
+        return Evaluation(rows, summary)
+    rows, told, summary = evaluate_guided(base, data, model, dataset, decode=decode, **options)
+    return Evaluation(rows, summary, told)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.distributions import Guidance
 from caseloom.operators.mine import ModelConfig
-from caseloom.plans.stages import build_base, evaluate_guided, evaluate_plain, mine_and_label, next_model
+from caseloom.plans.stages import build_base, evaluate, mine_and_label, next_model
 from caseloom.session import scratch_path
 from caseloom.sources.logs import PLANTED_AMOUNT, planted_log
 
@@ -22,9 +22,12 @@ def test_stages_find_the_planted_rule(spark):
     assert data.labelled.where("pos < n and place is null").count() == 0
 
     model = next_model(base)
-    scored, summary = evaluate_plain(base, model, "planted")
+    plain = evaluate(base, model, "planted")
+    scored, summary = plain.rows, plain.summary
+    assert plain.reasoning is None
     assert summary.first()["n_rows"] == scored.count() > 0
-    guided, told, totals = evaluate_guided(base, data, model, "planted", cfg=Guidance(support_threshold=0.2))
+    done = evaluate(base, model, "planted", data, cfg=Guidance(support_threshold=0.2))
+    guided, told, totals = done.rows, done.reasoning, done.summary
     row = totals.first()
     assert guided.count() == scored.count() and row["decision_steps"] == told.count()
     parts = sum(row[c] for c in ("conflicts", "explained_steps", "rule_unmatched", "matched_trivial_rule", "no_rule_for_branch"))
