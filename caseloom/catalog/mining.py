@@ -267,6 +267,22 @@ def place_models(spark, sf_dir):
     )
 
 
+@query(
+    "learned_decisions",
+    "G5 G9 H2",
+    f"""WITH {sql.PLANTED}, {TRAINED}
+    SELECT r.case_id, place, ord, CASE WHEN l.o_totalprice > 250000 THEN 'REVIEW' ELSE 'APPROVE' END AS decided
+    FROM records r JOIN split ON split.case_id = r.case_id JOIN log l ON l.case_id = r.case_id AND l.pos = greatest(sync_index, 1) WHERE split = 'test'""",
+)
+def learned_decisions(spark, sf_dir):
+    """What the models say goes on after each decision of the test cases; the planted rule is the amount's."""
+    _, _, rows, result = planted_models(spark, sf_dir)
+    scored = predict(rows.where("split = 'test'"), result)
+    goes_on = F.map_entries(F.map_filter("z", lambda label, _: label != "EOS"))
+    best = F.array_max(F.transform(goes_on, lambda e: F.struct(e["value"].alias("p"), e["key"].alias("label"))))
+    return scored.select("case_id", "place", "ord", best["label"].alias("decided"))
+
+
 @query("boosted_place_models", "G5 G9")
 def boosted_place_models(spark, sf_dir):
     _, _, rows, result = mined_models(spark, sf_dir, turns_log, [], ["chars"])

@@ -38,7 +38,7 @@ from pyspark.sql.types import DoubleType, MapType, StringType, StructField, Stru
 from caseloom.operators.encode import MISSING
 from caseloom.session import cut
 
-FINE = 1024
+FINE = 4096
 BORDERS = 127
 #: how many borders a place may use, finest first
 SIZES = (127, 63, 31, 15, 7, 3)
@@ -68,7 +68,7 @@ def _candidates(rows: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> Da
     parts = None
     if nums:
         shares = [i / FINE for i in range(FINE + 1)]
-        found = rows.groupBy("place").agg(*[F.percentile_approx(c, shares, 20 * FINE).alias(c) for c in nums])
+        found = rows.groupBy("place").agg(*[F.percentile_approx(c, shares, 10 * FINE).alias(c) for c in nums])
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.array_distinct(F.coalesce(c, F.array().cast("array<double>"))).alias("borders")) for c in nums]))
         parts = found.select("place", each.alias("f")).select("place", "f.feature", "f.borders", F.array().cast("array<string>").alias("values"))
     if cats:
