@@ -7,9 +7,9 @@ lower bound is out; the rest are recomputed from the original vectors in double
 precision and kept in one heap per query. The tiles' heaps are merged per query.
 The bounds are strict, so the answer is exact (recall 1).
 
-Vectors that are null, empty, zero, of another length than most others in their
-tile's query block, or hold null or non-finite components take no part. Rows that
-repeat an id are candidates each; a query never returns its own id.
+Vectors that are null, empty, zero, or hold null or non-finite components take no
+part, nor do rows with a null id. A vector is compared with those of its own length
+only. Rows that repeat an id are candidates each; a query never returns its own id.
 """
 
 from __future__ import annotations

@@ -135,3 +135,12 @@ def test_pruned_products_lose_no_pair():
             i, j, s = negatives.survivors(a, x, least)
             assert {*zip(i.tolist(), j.tolist(), s.tolist(), strict=True)} == {(p, q, int(full[p, q])) for p, q in zip(*np.nonzero(full >= least[:, None]), strict=True)}
         assert len(negatives.survivors(a, x, np.full(20, negatives.NONE))[0]) == full.size
+
+
+def test_nearest_of_mixed_lengths_and_repeated_ids(spark):
+    from caseloom.llm import ann
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0, 0.0]), (50, [1.0, 0.1, 0.0]), (3, []), (4, None), (5, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=5).collect())
+    assert got == [(0, 1, 5), (0, 2, 1), (0, 3, 1), (50, 1, 2)]
