@@ -8,9 +8,9 @@ similarity is at least 0.8.
 1. One pass gives each text a digest of its set and 240 MinHash values. Equal sets
    make one class, whose copies are never paired.
 2. Classes that agree on one of 40 bands of six values are candidates. A band's
-   classes are joined to its least class only, and connected components of these
-   edges hold every candidate pair. A pair at exactly 0.8 is missed with
-   probability 5e-6, a closer one with less.
+   classes are joined to its least class only, its leader. A class goes to the least
+   of its leaders, and connected components of the leaders hold every candidate
+   pair. A pair at exactly 0.8 is missed with probability 5e-6, a closer one with less.
 3. Within a component, blocks of classes meet. For each pair MinHash values are
    compared 48 at a time; the pair is dropped as soon as the posterior probability
    (uniform prior) that its similarity reaches 0.8 falls below 1e-6. The rest are
@@ -218,11 +218,19 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # candidate components
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     held = stored(classes.select("key", F.explode(bands).alias("band")), "bands")
-    shared = held.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("band", "least")
-    comps = components(held.join(shared, "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct())
+    shared = held.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("uses")).where("least <> most")
+    met = join_groups(held, stored(shared.select("band", "least", "uses"), "shared"), "band", "uses", held.count())
+    # a class goes to the least of its bands' leaders; leaders are joined to each other, not classes
+    near = met.groupBy("key").agg(F.collect_set("least").alias("leaders")).withColumn("first", F.array_min("leaders"))
+    near = stored(near, "leaders")
+    leaders = components(near.select(F.explode("leaders").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
+    firsts = near.groupBy("first").agg(F.count(F.lit(1)).alias("uses"))
+    firsts = stored(firsts.join(leaders.withColumnRenamed("node", "first"), "first", "left"), "firsts")
+    comps = join_groups(near.select("key", "first"), firsts, "first", "uses", near.count()).select("key", F.coalesce("label", "first").alias("comp"))
+    comps = stored(comps, "components")
     # blocks of each component
-    sizes = comps.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    comps = comps.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+    sizes = stored(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    comps = join_groups(comps, sizes, "comp", "members", comps.count()).select("key", "comp", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
     chosen = comps.join(classes, "key").select("key", "comp", "parts", "size", "uid", "sig")
     sets = with_sets(chosen, rows.select("uid", "text"))
     spot = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
