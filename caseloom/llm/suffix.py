@@ -9,6 +9,8 @@ the difference-cover algorithm over the suffixes that may repeat.
    share known bytes: its key. With strings of 400 bytes grams have 64, keys share
    232 and about two in 337 bytes are anchors; with 101 bytes it is 16, 58 and 86.
    Half and key decide which task compares them; its context is all their bytes.
+   Keys are counted first: an anchor whose key occurs once holds no repeat and goes
+   no further.
 2. Contexts that occur as a whole more than once are settled by counting: each
    string in them repeats. Keys with one context hold no repeat.
 3. The rest, one row per distinct context of a key, go to the key's task, which
@@ -39,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.bpe import spread
+from caseloom.llm.exact import BLOCK_BITS, _bit
 from caseloom.llm.spans import _BYTE, _powers, mix64, slices, text_bytes
 from caseloom.llm.tables import fresh, join_groups, lean, stored, text_of
 
@@ -46,6 +49,8 @@ from caseloom.llm.tables import fresh, join_groups, lean, stored, text_of
 LENGTH = 400
 EIGHTHS = 8
 GROUP = 4096
+#: bits for each repeated key in the filter of anchors
+KEY_BITS = 16
 BATCH = 1 << 20
 
 
@@ -178,6 +183,35 @@ def anchors(rows: DataFrame, strings: Strings) -> DataFrame:
     return rows.mapInArrow(lean(run), "uid long, at long, side int, key long, context long")
 
 
+def anchor_keys(rows: DataFrame, strings: Strings) -> DataFrame:
+    """The keys of all anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found in text_anchors(*text_bytes(batch.column(0)), strings):
+                yield pa.RecordBatch.from_arrays([pa.array(found["key"])], ["key"])
+
+    return rows.select("text").mapInArrow(lean(run), "key long")
+
+
+def possible_anchors(rows: DataFrame, strings: Strings, broadcast_mb: int = 64) -> DataFrame:
+    """All anchors whose key occurs twice or more, and the few whose key falls on the same bit as one of those.
+
+    Repeated keys become bitmaps of ``KEY_BITS`` bits a key, which are broadcast
+    while they have at most ``broadcast_mb``; beyond that anchors meet the keys by
+    a shuffle, keys of many anchors apart.
+    """
+    keys = stored(anchor_keys(rows, strings).groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "keys")
+    count, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("uses"), F.lit(0))).first()
+    every = anchors(rows, strings)
+    blocks = max(1, -(-count * KEY_BITS // BLOCK_BITS))
+    if blocks * BLOCK_BITS // 8 > broadcast_mb << 20:
+        return join_groups(every, keys, "key", "uses", total).drop("uses")
+    block, place = F.pmod(F.col("key"), F.lit(blocks)), F.pmod(F.xxhash64("key"), F.lit(BLOCK_BITS)).cast("int")
+    bitmaps = keys.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(place.cast("long")).alias("bits"))
+    return every.withColumn("block", block).join(F.broadcast(bitmaps), "block").where(_bit(F.col("bits"), place)).drop("block", "bits")
+
+
 # ---- the suffix array of one batch
 
 
@@ -413,7 +447,7 @@ def repeated_ranges(rows: DataFrame, group: int = GROUP, length: int = LENGTH) -
     """uid and the list of ranges of its repeated starts, from rows (uid, text)."""
     strings = Strings(length)
     sides = strings.sides
-    found = stored(anchors(rows, strings), "anchors")
+    found = stored(possible_anchors(rows, strings), "anchors")
     contexts = found.groupBy("context").agg(
         F.count(F.lit(1)).alias("uses"), F.first("key").alias("key"), F.first("uid").alias("uid"), F.first("at").alias("at"), F.first("side").alias("side")
     )
