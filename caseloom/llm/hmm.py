@@ -259,9 +259,9 @@ def expected(blocks: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def first_model(k: int, prior: np.ndarray, seed: int = 1) -> Hmm:
-    """States that tend to stay, each with the shares of all training words times a random factor per class."""
+    """States that mostly stay, so that they part early, each with the shares of all training words times a random factor per class."""
     factor = np.random.default_rng(seed).standard_gamma(1.0, (len(prior), k))
-    return Hmm.from_counts(np.ones(k), np.ones((k, k)) + k * np.eye(k), 1000 * prior[:, None] * factor, prior)
+    return Hmm.from_counts(np.ones(k), np.ones((k, k)) + 20 * k * np.eye(k), 1000 * prior[:, None] * factor, prior)
 
 
 def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     return total
 
 
-def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states: int = 8, rounds: int = 14, seed_docs: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states: int = 8, rounds: int = 10, seed_docs: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``seed_docs`` has no effect any more: the first model is not drawn from single texts.
@@ -306,7 +306,9 @@ def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states:
     for _ in range(rounds):
         model = Hmm.from_counts(*expected(blocks, model), prior)
 
-    looked = known.join(counts.select("word", "c"), "word").groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("found"))
+    # two plain lists of one aggregate, so in one order: a list of pairs takes three times the room
+    looked = known.select("word", "block", "place").join(counts.select("word", "c"), "word")
+    looked = looked.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("c").alias("found"))
     whole = blocks.select("block", "docs", "train", "sizes", "codes", "classes").join(looked, "block", "left")
     base_log = -np.log10(tokens + 0.5 * (distinct + 1))
     class_log = -np.log10(by_class[:, 0] + 0.5 * (by_class[:, 1] + 1))
@@ -319,9 +321,9 @@ def language_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), states:
                 classes, starts, sizes, train = coded(one, table)
                 own = in_table(np.frombuffer(one["classes"], dtype=np.int32), table)
                 c = np.zeros(len(own))
-                pairs = row.column("found")[0].values
-                if pairs is not None and len(pairs):
-                    c[pairs.field("place").to_numpy()] = pairs.field("c").to_numpy()
+                places, found = row.column("places")[0].values, row.column("found")[0].values
+                if places is not None and len(places):
+                    c[places.to_numpy()] = found.to_numpy()
                 codes = from_planes(one["codes"])
                 doc = np.repeat(np.arange(len(sizes)), sizes - 1)
                 n = len(sizes)
