@@ -105,7 +105,7 @@ def to_blocks(docs: DataFrame, held_out: tuple[int, int], doc_id: str, text: str
 
     parts, left_out = held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (remainder(doc_id, parts) == left_out).alias("held"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(lean(run), BLOCK), "hmm-blocks")
+    return stored(rows.mapInArrow(lean(run), BLOCK), "hmm-blocks", "zstd")
 
 
 def _between(starts, ends, low, high):

@@ -216,3 +216,17 @@ def test_anchors_do_not_depend_on_the_piece(length):
         return out
 
     assert rows(3000) == rows(1 << 20)
+
+
+@pytest.mark.parametrize("broadcast_mb", [64, -1])
+def test_anchors_of_repeated_keys_stay(spark, broadcast_mb):
+    shared = " ".join(f"passage{k}" for k in range(30))
+    rows = spark.createDataFrame([(k, f"{'x' * k} own{k} " + (shared if k % 3 else "") + " ".join(f"t{k}n{j}" for j in range(60))) for k in range(12)], "uid long, text string")
+    strings = suffix.Strings(101)
+    every = [tuple(r) for r in suffix.anchors(rows, strings).collect()]
+    uses = collections.Counter(r[3] for r in every)
+    want = {r for r in every if uses[r[3]] > 1}
+    columns = ["uid", "at", "side", "key", "context"]
+    got = {tuple(r) for r in suffix.possible_anchors(rows, strings, broadcast_mb).select(*columns).collect()}
+    assert want and want <= got <= set(every)
+    assert broadcast_mb > 0 or got == want
