@@ -166,7 +166,7 @@ def evaluate_plain(
     elif decode == "beam":
         rows = decode_beam(pairs, model, steps, count)
     elif decode == "probabilistic":
-        rows = collect_samples(pairs, decode_samples(pairs, model, steps, count))
+        rows = collect_samples(pairs, decode_samples(pairs, model, steps, count, together=True))
     else:
         raise ValueError(f"unknown decoder {decode}")
     scored = cut(score_rows(rows))
