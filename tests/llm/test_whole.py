@@ -230,3 +230,25 @@ def test_anchors_of_repeated_keys_stay(spark, broadcast_mb):
     got = {tuple(r) for r in suffix.possible_anchors(rows, strings, broadcast_mb).select(*columns).collect()}
     assert want and want <= got <= set(every)
     assert broadcast_mb > 0 or got == want
+
+
+@pytest.mark.parametrize("length", [37, 101, 400])
+def test_suffix_arrays_leave_out_what_a_group_shares(length, monkeypatch):
+    rnd = random.Random(length)
+    strings = suffix.Strings(length)
+    _, far = strings.sides[0]
+    shared = bytes(rnd.choices(range(97, 123), k=length - far))
+    left, right = bytes(rnd.choices(range(97, 123), k=far)), bytes(rnd.choices(range(97, 123), k=far))
+    rows = []
+    for k in range(60):
+        keep = rnd.randint(0, far), rnd.randint(0, far)
+        text = bytes([65 + k] * (far - keep[0])) + left[far - keep[0] :] + shared + right[: keep[1]] + bytes([65 + k] * (far - keep[1]))
+        rows.append({"key": 1, "uid": k, "low": 5 * k, "near": 0, "far": far, "anchor": 5 * k + far, "bytes": text})
+    sizes, build = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s: (sizes.append(len(s)), build(s))[1])
+    uid, place = suffix.batch_repeats(rows, length)
+    starts = [(r["uid"], r["low"] + i, r["bytes"][i : i + length]) for r in rows for i in range(far + 1)]
+    uses = collections.Counter(b for *_, b in starts)
+    want = [(u, i) for u, i, b in starts if uses[b] > 1]
+    assert want and list(zip(uid.tolist(), place.tolist(), strict=True)) == want
+    assert sizes[0] < len(starts)
