@@ -43,6 +43,7 @@ KEYS = (1 << 31) - 1
 END = 0
 BLOCK_BYTES = 4 << 20
 SEGMENT = 256
+PAD = 136
 
 BLOCK = "block long, docs array<long>, train binary, sizes binary, codes binary, hashes binary, classes binary, uses binary"
 
@@ -157,11 +158,19 @@ class Hmm:
         return x / x.sum()
 
 
+def over_states(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the columns, neighbouring rows first: whole rows are added, which is faster than many short columns."""
+    while len(x) > 2 and len(x) % 2 == 0:
+        x = x[0::2] + x[1::2]
+    return np.add(x[0], x[1], out=out) if len(x) == 2 else x.sum(axis=0, out=out)
+
+
 class Counts:
     """Expected counts of one task."""
 
     def __init__(self, k: int, table: int = CLASSES) -> None:
         self.start, self.step, self.emit, self.log10 = np.zeros(k), np.zeros((k, k)), np.zeros((table, k)), 0.0
+        self.room, self.columns = (np.zeros(0, dtype=np.float32), np.zeros((k, 0))), 0
 
     def add(self, model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """One pass forward and backward over texts, cut into segments that run side by side."""
@@ -175,37 +184,56 @@ class Counts:
             self._segments(model, classes, begin[low : low + 1024], length[low : low + 1024], opening[low : low + 1024])
 
     def _segments(self, model, classes, begin, length, opening) -> None:
+        """Each step has its tables, a row per state and a column per segment; steps lie one after the other and are filled in place."""
         k = len(model.start)
-        emit, step = model.emit.astype(np.float32), model.step.astype(np.float32)
-        alive = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-        alphas, seen, scales = [], [], []
-        alpha = np.where(opening[:, None], model.start, model.rest()).astype(np.float32)
-        for t, n in enumerate(alive):
-            b = emit[classes[begin[:n] + t]]
-            alpha = (alpha if t == 0 else alpha[:n] @ step) * b
-            c = alpha.sum(axis=1, keepdims=True)
-            alpha = alpha / c
-            alphas.append(alpha)
-            seen.append(b)
-            scales.append(c)
-        self.log10 += float(sum(np.log10(c.astype(np.float64)).sum() for c in scales))
-        beta = np.zeros((0, k), np.float32)
-        gammas = [None] * len(alive)
-        for t in range(len(alive) - 1, -1, -1):
-            n, later = int(alive[t]), len(beta)
-            out = np.ones((n, k), np.float32)
+        emit, step = np.ascontiguousarray(model.emit.T, dtype=np.float32), model.step.T.astype(np.float32)
+        alive = np.searchsorted(-length, -np.arange(int(length[0])), "left").tolist()
+        total = sum(alive)
+        which = classes[np.concatenate([begin[:n] + t for t, n in enumerate(alive)])].astype(np.int64)
+        alphas, seen, scales, gamma = self._room(total, k)
+        steps, low = [], 0
+        for n in alive:
+            high = low + n
+            steps.append((low, high, alphas[k * low : k * high].reshape(k, n), seen[k * low : k * high].reshape(k, n), scales[low:high]))
+            low = high
+        previous = np.where(opening, model.start[:, None], model.rest()[:, None]).astype(np.float32)
+        for low, high, alpha, b, c in steps:
+            np.take(emit, which[low:high], axis=1, out=b, mode="clip")
+            if low == 0:
+                np.multiply(previous, b, out=alpha)
+            else:
+                np.matmul(step, previous[:, : high - low], out=alpha)
+                alpha *= b
+            over_states(alpha, out=c)
+            alpha /= c
+            previous = alpha
+        self.log10 += float(np.log10(scales, dtype=np.float64).sum())
+        ahead = np.zeros((k, 0), np.float32)
+        for low, high, alpha, b, c in reversed(steps):
+            later = ahead.shape[1]
+            beta = np.ones((k, high - low), np.float32)
             if later:
-                ahead = seen[t + 1] * beta / scales[t + 1]
-                self.step += model.step * (alphas[t][:later].T @ ahead)
-                out[:later] = ahead @ step.T
-            beta = out
-            g = alphas[t] * beta
-            gammas[t] = g / g.sum(axis=1, keepdims=True)
-        self.start += gammas[0][opening].sum(axis=0)
-        which = np.concatenate([classes[begin[:n] + t] for t, n in enumerate(alive)])
-        gamma = np.concatenate(gammas)
+                # copies, as the product's rounding depends on how its sides lie
+                self.step += model.step * (np.ascontiguousarray(alpha[:, :later].T).T @ np.ascontiguousarray(ahead.T))
+                np.matmul(step.T, ahead, out=beta[:, :later])
+            alpha *= beta
+            np.divide(alpha, over_states(alpha), out=alpha)
+            gamma[:, low:high] = alpha
+            b *= beta
+            b /= c
+            ahead = b
+        self.start += np.ascontiguousarray(gamma[:, : alive[0]][:, opening].T, dtype=np.float32).sum(axis=0)
         for j in range(k):
-            self.emit[:, j] += np.bincount(which, gamma[:, j], minlength=len(self.emit))
+            self.emit[:, j] += np.bincount(which, gamma[j], minlength=len(self.emit))
+
+    def _room(self, columns: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Room for two tables and a row of so many columns, and a table of doubles, in memory that is used again."""
+        if self.columns < columns:
+            self.columns = columns
+            # rows a power of two apart would meet in the same lines of the processor's cache
+            self.room = np.empty(columns * (2 * k + 1), dtype=np.float32), np.empty((k, columns + PAD))
+        flat, table = self.room
+        return flat[: k * columns], flat[k * columns : 2 * k * columns], flat[2 * k * columns : (2 * k + 1) * columns], table[:, :columns]
 
 
 def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -269,6 +297,7 @@ def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     order = np.argsort(-sizes, kind="stable")
     begin, length = starts[order], sizes[order]
     total = np.zeros(len(sizes))
+    one = np.ones(len(model.start))
     for low in range(0, len(begin), 4096):
         b, n = begin[low : low + 4096], length[low : low + 4096]
         alive = np.searchsorted(-n, -np.arange(int(n[0])), "left")
@@ -276,7 +305,7 @@ def forward(model: Hmm, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarr
         alpha = model.start[None]
         for t, m in enumerate(alive.tolist()):
             alpha = (alpha if t == 0 else alpha[:m] @ model.step) * model.emit[classes[b[:m] + t]]
-            c = alpha.sum(axis=1)
+            c = alpha @ one  # a plain sum of so short rows takes longer than all the rest
             alpha /= c[:, None]
             log[:m] += np.log10(c)
         total[order[low : low + 4096]] = log

@@ -252,3 +252,44 @@ def test_suffix_arrays_leave_out_what_a_group_shares(length, monkeypatch):
     want = [(u, i) for u, i, b in starts if uses[b] > 1]
     assert want and list(zip(uid.tolist(), place.tolist(), strict=True)) == want
     assert sizes[0] < len(starts)
+
+
+@pytest.mark.parametrize("k", [2, 5, 8])
+def test_expected_counts_of_segments_in_reused_memory(k):
+    rng = np.random.default_rng(k)
+    table, sizes = 40, np.array([1, 3, 256, 700, 5, 1])
+    starts = np.cumsum(sizes) - sizes
+    classes = rng.integers(0, table, int(sizes.sum())).astype(np.int32)
+    model = hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(table), k).T.copy())
+    start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((table, k))
+    log10 = 0.0
+    for at, n in zip(starts, sizes, strict=True):
+        for low in range(0, n, hmm.SEGMENT):
+            x = classes[at + low : at + min(low + hmm.SEGMENT, n)]
+            alpha, c = [], []
+            for t, o in enumerate(x):
+                a = ((model.start if low == 0 else model.rest()) if t == 0 else alpha[-1] @ model.step) * model.emit[o]
+                c.append(a.sum())
+                alpha.append(a / c[-1])
+            beta = np.ones(k)
+            for t in range(len(x) - 1, -1, -1):
+                if t < len(x) - 1:
+                    ahead = model.emit[x[t + 1]] * beta / c[t + 1]
+                    step += model.step * np.outer(alpha[t], ahead)
+                    beta = model.step @ ahead
+                emit[x[t]] += alpha[t] * beta / (alpha[t] @ beta)
+            start += alpha[0] * beta / (alpha[0] @ beta) if low == 0 else 0
+            log10 += np.log10(c).sum()
+    counts, rooms = hmm.Counts(k, table), set()
+    for part in (slice(3, 4), slice(0, 3), slice(4, 6)):  # the longest first: the others find its memory
+        counts.add(model, classes, starts[part], sizes[part])
+        rooms.add(id(counts.room[0]))
+    assert len(rooms) == 1
+    # a little more than the memory at hand
+    hmm.Counts.add(more := hmm.Counts(k, table), model, classes, starts[:3], sizes[:3])
+    more.add(model, classes, starts[2:3], sizes[2:3] + 20)
+    assert math.isclose(more.emit.sum(), sizes[:3].sum() + 276, rel_tol=1e-5)
+    assert np.allclose(counts.start, start, rtol=1e-4) and np.allclose(counts.step, step, rtol=1e-4, atol=1e-4)
+    assert np.allclose(counts.emit, emit, rtol=1e-4, atol=1e-4) and math.isclose(counts.log10, log10, rel_tol=1e-5)
+    x = rng.random((k, 7)).astype(np.float32)
+    assert np.allclose(hmm.over_states(x), x.sum(axis=0), rtol=1e-6)
