@@ -135,19 +135,29 @@ class Binning:
     borders: dict[tuple[str, str], np.ndarray]
     values: dict[tuple[str, str], list[str]]
 
-    def codes(self, place: str, columns: dict[str, np.ndarray], size: int) -> np.ndarray:
-        """Bins of rows of one place: (rows, features), numbers after categories."""
+    def codes(self, place: str, columns: dict[str, np.ndarray], sizes: Sequence[int]) -> np.ndarray:
+        """Bins of rows of one place for each number of borders: (rows, sizes, features), numbers after categories.
+
+        A row is looked up once, among the most borders; fewer borders are some of those.
+        """
         n = len(next(iter(columns.values()))) if columns else 0
-        out = np.zeros((n, len(self.cats) + len(self.nums)), dtype=np.int32)
+        out = np.zeros((n, len(sizes), len(self.cats) + len(self.nums)), dtype=np.int32)
+        most = max(sizes)
         for k, c in enumerate(self.cats):
-            known = {v: i + 1 for i, v in enumerate(self.values.get((place, c), ())[:size])}
-            names, at = np.unique(columns[c].astype(str), return_inverse=True)
-            out[:, k] = np.array([known.get(v, 0) for v in names.tolist()], dtype=np.int32)[at]
+            known = {v: i + 1 for i, v in enumerate(self.values.get((place, c), ())[:most])}
+            at, names = pd.factorize(columns[c], use_na_sentinel=False)
+            code = np.array([known.get(v, 0) for v in names.astype(str).tolist()], dtype=np.int32)
+            for j, size in enumerate(sizes):
+                out[:, j, k] = np.where(code <= size, code, 0)[at]
         for k, c in enumerate(self.nums, len(self.cats)):
             x = columns[c]
-            edges = np.sort(self.borders.get((place, c), np.zeros(0))[:size])
-            code = np.searchsorted(edges, x, "left") + 1
-            out[:, k] = np.where(np.isnan(x), 0, code)
+            borders = self.borders.get((place, c), np.zeros(0))
+            edges = np.sort(borders[:most])
+            at = np.where(np.isnan(x), 0, np.searchsorted(edges, x, "left") + 1)
+            for j, size in enumerate(sizes):
+                # 0 is a missing number; else how many borders, of those in use, are less
+                less = np.searchsorted(np.sort(borders[:size]), edges, "right") + 1
+                out[:, j, k] = np.concatenate(([0, 1], less))[at]
         return out
 
 
@@ -221,30 +231,30 @@ def cells(rows: DataFrame, bins: Binning, max_cells: int) -> tuple[DataFrame, Da
     held = rows.sparkSession.sparkContext.broadcast(bins)
     slim = rows.select("place", F.col("target").cast("string").alias("target"), "holdout", *bins.cats, *bins.nums)
 
-    def code(size_of):
+    def code(size_of, sizes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = held.value
             for batch in batches:
                 columns = _columns(batch, b.cats, b.nums)
-                out: list = [None] * batch.num_rows
+                packed = np.zeros((batch.num_rows, sizes, len(b.cats) + len(b.nums)), dtype="<i4")
                 for place, at in _by_place(batch):
-                    part = {c: x[at] for c, x in columns.items()}
-                    packed = [b.codes(place, part, s).astype("<i4") for s in size_of(place)]
-                    for k, row in enumerate(at.tolist()):
-                        out[row] = [p[k].tobytes() for p in packed]
+                    packed[at] = b.codes(place, {c: x[at] for c, x in columns.items()}, size_of(place))
+                bounds = np.arange(batch.num_rows * sizes + 1, dtype=np.int32) * np.int32(4 * packed.shape[2])
+                items = pa.Array.from_buffers(pa.binary(), batch.num_rows * sizes, [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
+                out = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(sizes), items)
                 place, target, holdout = (batch.column(batch.schema.get_field_index(c)) for c in ("place", "target", "holdout"))
-                yield pa.RecordBatch.from_arrays([place, target, holdout, pa.array(out, pa.list_(pa.binary()))], ["place", "target", "holdout", "bins"])
+                yield pa.RecordBatch.from_arrays([place, target, holdout, out], ["place", "target", "holdout", "bins"])
 
         return run
 
     schema = "place string, target string, holdout boolean, bins array<binary>"
-    counted = slim.mapInArrow(code(lambda _: SIZES), schema).groupBy("place").agg(
+    counted = slim.mapInArrow(code(lambda _: SIZES, len(SIZES)), schema).groupBy("place").agg(
         *[F.approx_count_distinct(F.xxhash64(F.col("bins")[k]), 0.03).alias(f"n{k}") for k in range(len(SIZES))]
     )
     finest = F.coalesce(*[F.when(F.col(f"n{k}") <= max_cells, F.lit(s)) for k, s in enumerate(SIZES)], F.lit(1))
     sizes = cut(counted.select("place", finest.alias("size")))
     size_of = {r["place"]: r["size"] for r in sizes.collect()}
-    coded = slim.mapInArrow(code(lambda place: (size_of[place],)), schema)
+    coded = slim.mapInArrow(code(lambda place: (size_of[place],), 1), schema)
     table = coded.groupBy("place", F.col("bins")[0].alias("bins"), "target", "holdout").agg(F.count(F.lit(1)).alias("n"))
     return table, sizes
 

@@ -191,3 +191,20 @@ def test_store_and_load(spark, mined):
     with pytest.raises(ValueError, match="not what its manifest says"):
         load_results(spark, half)
     assert back.skipped.collect() == [("empty place",)] and back.places.where(F.col("kind") == "boosted").count() == 3
+
+
+def test_bins_of_several_sizes_come_from_one_lookup(monkeypatch):
+    rng = np.random.default_rng(3)
+    values = [f"v{k}" for k in rng.permutation(127)]
+    bins = boost.Binning(["c"], ["x"], {("p", "x"): rng.permutation(np.arange(127) / 2)}, {("p", "c"): values})
+    columns = {"c": np.array([f"v{k}" for k in rng.integers(0, 140, 500)], dtype=object), "x": np.where(rng.random(500) < 0.1, np.nan, rng.integers(-4, 140, 500) / 2)}
+    lookups, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, side="left": (lookups.append(len(v)), search(a, v, side))[1])
+    got = bins.codes("p", columns, boost.SIZES)
+    for j, size in enumerate(boost.SIZES):
+        edges = sorted(bins.borders["p", "x"][:size])
+        want = [0 if x != x else sum(e < x for e in edges) + 1 for x in columns["x"].tolist()]
+        assert got[:, j, 1].tolist() == want
+        assert got[:, j, 0].tolist() == [values[:size].index(v) + 1 if v in values[:size] else 0 for v in columns["c"]]
+    assert lookups.count(500) == 1
+    assert bins.codes("q", columns, (3,))[:, 0].tolist() == [[0, 0 if x != x else 1] for x in columns["x"].tolist()]
