@@ -42,7 +42,8 @@ from caseloom.llm.tables import lean, stored
 K1, B = 1.2, 0.75
 NEIGHBOURS = 24
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 20
-STEP_BYTES = 8 << 20
+#: bytes of text tokenised at a time: its arrays take up to 150 bytes for each, and two workers run beside each executor's heap
+STEP_BYTES = 1 << 19
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -88,6 +89,23 @@ def split_at(raw: bytes, off: np.ndarray, added: dict[bytes, int]) -> tuple[np.n
     return np.array([*bounds, int(off[-1])], dtype=np.int64), np.array([*first, len(ids)]), np.array(ids, dtype=np.int64)
 
 
+def token_steps(batch: pa.RecordBatch, encoder: tiktoken.Encoding, added: dict[bytes, int], end_id: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, k1, k2, ids of a batch of (doc_id, text), ``STEP_BYTES`` of text at a time; a longer text makes its own step."""
+    encode = encoder.encode_ordinary
+    data, off = text_bytes(batch.column(1))
+    for a, b in slices(off, STEP_BYTES):
+        raw = data[off[a] : off[b]].tobytes()
+        bounds, first, special = split_at(raw, off[a : b + 1] - off[a], added)
+        parts = Batch(np.frombuffer(raw, dtype=np.uint8), bounds)
+        distinct = [encode(raw[i:j].decode()) for i, j in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)]
+        count = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
+        flat = np.fromiter((x for ids in distinct for x in ids), dtype=np.uint32, count=int(count.sum()))
+        pieces = [x if s < 0 else np.array([s], np.uint32) for (_, x), s in zip(parts.assemble(flat, count), special.tolist(), strict=True)]
+        ids = [np.concatenate((*pieces[i:j], [np.uint32(end_id)])).astype(kind).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        low, high = min_keys(parts.hashes, parts.row[first])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(low), pa.array(high), pa.array(ids, pa.binary())], ["doc_id", "k1", "k2", "ids"])
+
+
 def tokenised(docs: DataFrame, ranks_path: str, end_id: int, kind: str, doc_id: str, text: str) -> DataFrame:
     """doc_id, two min-hash keys and the ids with the end id, as little-endian integers of ``kind``.
 
@@ -96,22 +114,8 @@ def tokenised(docs: DataFrame, ranks_path: str, end_id: int, kind: str, doc_id:
     added = added_tokens(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_path).encode_ordinary
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
-            for a, b in slices(off, STEP_BYTES):
-                raw = data[off[a] : off[b]].tobytes()
-                bounds, first, special = split_at(raw, off[a : b + 1] - off[a], added)
-                parts = Batch(np.frombuffer(raw, dtype=np.uint8), bounds)
-                distinct = [encode(raw[i:j].decode()) for i, j in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)]
-                count = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-                flat = np.fromiter((x for ids in distinct for x in ids), dtype=np.uint32, count=int(count.sum()))
-                pieces = [x if s < 0 else np.array([s], np.uint32) for (_, x), s in zip(parts.assemble(flat, count), special.tolist(), strict=True)]
-                ids = [np.concatenate((*pieces[i:j], [np.uint32(end_id)])).astype(kind).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                low, high = min_keys(parts.hashes, parts.row[first])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(low), pa.array(high), pa.array(ids, pa.binary())], ["doc_id", "k1", "k2", "ids"]
-                )
+            yield from token_steps(batch, _encoder(ranks_path), added, end_id, kind)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(lean(run), "doc_id long, k1 long, k2 long, ids binary")
