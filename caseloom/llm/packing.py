@@ -44,6 +44,8 @@ NEIGHBOURS = 24
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 20
 #: bytes of text tokenised at a time: its arrays take up to 150 bytes for each, and two workers run beside each executor's heap
 STEP_BYTES = 1 << 19
+#: a code point that is no character; it stands between the pre-tokens of one call
+SEPARATOR = "\U0010ffff"
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -53,7 +55,19 @@ def _encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     # whole pre-tokens come in, so the pattern takes each as it is
-    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={SEPARATOR: max(ranks.values()) + 1})
+
+
+def piece_ids(encoder: tiktoken.Encoding, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pre-tokens, end to end, and how many each has: one call for all, or one for each where the separator is in them."""
+    mark = SEPARATOR.encode()
+    flat = encoder.encode_to_numpy(mark.join([*parts, b""]).decode(), allowed_special={SEPARATOR})
+    is_mark = flat == encoder.encode_single_token(mark)
+    ends = np.flatnonzero(is_mark)
+    if len(ends) == len(parts):
+        return flat[~is_mark], np.diff(ends, prepend=-1) - 1
+    each = [encoder.encode_ordinary(part.decode()) for part in parts]
+    return np.array([x for ids in each for x in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -91,15 +105,12 @@ def split_at(raw: bytes, off: np.ndarray, added: dict[bytes, int]) -> tuple[np.n
 
 def token_steps(batch: pa.RecordBatch, encoder: tiktoken.Encoding, added: dict[bytes, int], end_id: int, kind: str) -> Iterator[pa.RecordBatch]:
     """doc_id, k1, k2, ids of a batch of (doc_id, text), ``STEP_BYTES`` of text at a time; a longer text makes its own step."""
-    encode = encoder.encode_ordinary
     data, off = text_bytes(batch.column(1))
     for a, b in slices(off, STEP_BYTES):
         raw = data[off[a] : off[b]].tobytes()
         bounds, first, special = split_at(raw, off[a : b + 1] - off[a], added)
         parts = Batch(np.frombuffer(raw, dtype=np.uint8), bounds)
-        distinct = [encode(raw[i:j].decode()) for i, j in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)]
-        count = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
-        flat = np.fromiter((x for ids in distinct for x in ids), dtype=np.uint32, count=int(count.sum()))
+        flat, count = piece_ids(encoder, [raw[i:j] for i, j in zip(parts.starts.tolist(), parts.ends.tolist(), strict=True)])
         pieces = [x if s < 0 else np.array([s], np.uint32) for (_, x), s in zip(parts.assemble(flat, count), special.tolist(), strict=True)]
         ids = [np.concatenate((*pieces[i:j], [np.uint32(end_id)])).astype(kind).tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         low, high = min_keys(parts.hashes, parts.row[first])
@@ -182,12 +193,16 @@ class Bm25:
         tokens = np.concatenate([d[:-1] for d in docs]).astype(np.int64)
         pair, tf = np.unique(np.repeat(np.arange(n), size) << 32 | tokens, return_counts=True)
         doc, term = pair >> 32, pair & 0xFFFFFFFF
-        terms, at, here = np.unique(term, return_inverse=True, return_counts=True)
+        every = np.bincount(term)
+        terms = np.flatnonzero(every)
+        here = every[terms]
+        at = (np.cumsum(every > 0) - 1)[term]
         df = corpus.df[terms]
         idf = np.log1p((corpus.docs - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * size / max(corpus.mean, 1.0))
         weight = idf[at] * tf * (K1 + 1) / (tf + norm[doc])
-        order = np.argsort(at, kind="stable")
+        # two-byte numbers are sorted by their digits
+        order = np.argsort(at.astype(np.uint16) if len(terms) <= 1 << 16 else at, kind="stable")
         self.n, self.docs, self.weights = n, doc[order], weight[order]
         self.posting = np.concatenate(([0], np.cumsum(here)))
         # terms in many documents have their weights as a row of a matrix, which sums faster than postings
@@ -328,7 +343,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = 1024, end_id:
             )
             sequence += int(table[:, 3].max()) + 1
 
-    kind = "<u2" if max(_encoder(ranks_path).n_vocab, end_id + 1, *(i + 1 for i in added_tokens(ranks_path).values())) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(_encoder(ranks_path).n_vocab - 1, end_id + 1, *(i + 1 for i in added_tokens(ranks_path).values())) <= 1 << 16 else "<u4"
     # written once: the ranges are drawn from the keys alone, without tokenising again
     rows = stored(tokenised(docs, ranks_path, end_id, kind, doc_id, text).withColumn("tie", F.xxhash64("doc_id", "ids")), "token-ids")
     corpus = docs.sparkSession.sparkContext.broadcast(corpus_counts(rows, kind))
