@@ -208,3 +208,38 @@ def test_bins_of_several_sizes_come_from_one_lookup(monkeypatch):
         assert got[:, j, 0].tolist() == [values[:size].index(v) + 1 if v in values[:size] else 0 for v in columns["c"]]
     assert lookups.count(500) == 1
     assert bins.codes("q", columns, (3,))[:, 0].tolist() == [[0, 0 if x != x else 1] for x in columns["x"].tolist()]
+
+
+def test_a_place_of_many_cells_keeps_all_borders(spark):
+    df = spark.createDataFrame(some_rows(2), SCHEMA)
+
+    def nodes(cells):
+        found = boost.fit_places(df, ["colour", "extra"], ["amount"], ModelConfig(rounds=10, min_leaf=10, max_cells=cells)).collect()
+        return sorted(found, key=lambda r: (r["place"], r["part"], r["tree"] or 0, r["node"] or 0))
+
+    few, many = nodes(20), nodes(50_000)
+    assert len(few) == len(many) and sum(r["threshold"] is not None for r in few) > 20
+    for a, b in zip(few, many, strict=True):
+        assert all(a[c] == b[c] for c in a.asDict() if c != "values")
+        assert np.allclose(a["values"], b["values"])
+
+
+def test_cells_in_files_are_those_in_memory(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = sorted((rng.integers(0, m, 2).astype("<i4").tobytes(), "ab"[k % 2], bool(k % 7 == 0)) for k in range(900) for m in (9,))
+    target = ["a" if np.frombuffer(b, "<i4")[0] > 4 else t for b, t, _ in rows]
+    bins = boost.Binning([], ["x", "y"], {("p", c): np.arange(9.0) for c in "xy"}, {})
+
+    def fitted(held, batch):
+        monkeypatch.setattr(boost, "HELD_BYTES", held)
+        found = boost.Gathered(["a", "b"], 2)
+        for low in range(0, 900, batch):
+            part = slice(low, low + batch)
+            found.add([r[0] for r in rows[part]], target[part], np.array([r[2] for r in rows[part]]), np.ones(len(rows[part])))
+        code, fit, hold = found.arrays()
+        assert isinstance(fit, np.memmap) == (held < 1000) and fit.sum() + hold.sum() == 900
+        assert [c.astype("<i4").tobytes() for c in code] == sorted({r[0] for r in rows})
+        return boost.fit_place("p", ["a", "b"], code, fit, hold, bins, ModelConfig(rounds=5, min_leaf=5, max_cells=7))
+
+    want = fitted(1 << 20, 900)
+    assert len(want) > 10 and want.astype(str).equals(fitted(100, 11).astype(str))
