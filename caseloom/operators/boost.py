@@ -563,6 +563,21 @@ class Forest:
     values: np.ndarray
     known: dict[str, dict[str, int]]
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Class probabilities of rows of features: codes of known values, -1 for others; numbers, -inf for missing."""
+        out = np.tile(self.start, (len(x), 1))
+        step = max(1, (1 << 19) // max(1, len(self.roots)))
+        for low in range(0, len(x) if len(self.roots) else 0, step):
+            part = x[low : low + step]
+            at = np.tile(self.roots, (len(part), 1))
+            row = np.arange(len(part))[:, None]
+            while (self.left[at] >= 0).any():
+                v = part[row, self.feature[at]]
+                goes_right = np.where(self.is_cat[at], v == self.bound[at], v > self.bound[at])
+                at = np.where(self.left[at] < 0, at, np.where(goes_right, self.right[at], self.left[at]))
+            out[low : low + step] += self.values[at].sum(axis=1)
+        return softmax(out)
+
     def scores(self, columns: dict[str, np.ndarray], names: Sequence[str], cats: int) -> np.ndarray:
         """Class probabilities of rows, a block of rows at a time, all trees together."""
         n = len(columns[names[0]])
@@ -574,18 +589,7 @@ class Forest:
                 x[:, k] = np.array([known.get(v, -1) for v in found.tolist()], dtype=float)[at]
             else:
                 x[:, k] = np.where(np.isnan(columns[c]), -np.inf, columns[c])
-        out = np.tile(self.start, (n, 1))
-        step = max(1, (1 << 19) // max(1, len(self.roots)))
-        for low in range(0, n if len(self.roots) else 0, step):
-            part = x[low : low + step]
-            at = np.tile(self.roots, (len(part), 1))
-            row = np.arange(len(part))[:, None]
-            while (self.left[at] >= 0).any():
-                v = part[row, self.feature[at]]
-                goes_right = np.where(self.is_cat[at], v == self.bound[at], v > self.bound[at])
-                at = np.where(self.left[at] < 0, at, np.where(goes_right, self.right[at], self.left[at]))
-            out[low : low + step] += self.values[at].sum(axis=1)
-        return softmax(out)
+        return self.probabilities(x)
 
 
 def forests(nodes: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> dict[str, Forest]:
@@ -652,4 +656,6 @@ def score_places(spark: SparkSession, models: dict[str, Forest], cats: Sequence[
 
         return ready.mapInArrow(run, schema)
 
+    # for those that score rows inside their own tasks
+    score.models, score.cats, score.nums = models, list(cats), list(nums)
     return score
